@@ -100,3 +100,63 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# ---- naive Bayes in SQL (language id / intent), mirroring roomgrid.operators.textmodel ----
+SHENG_SQL_LIST = ("['poa', 'sasa', 'msee', 'hao', 'niko', 'rada', 'mbona', 'nani', 'chill', "
+                  "'flani', 'ngoja', 'buda', 'sijui', 'fanya', 'piga', 'genje', 'keja', 'single', "
+                  "'Bed moja', 'mtaa', 'mraazi', 'bonga', 'wazi', 'stage', 'tulia', 'hama', "
+                  "'kuinama', 'westi', 'kanairo', 'kasa', 'tao', 'bukla', 'punch', 'mat', "
+                  "'caretaker']")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def blank_sql(x: str) -> str:
+    return f"coalesce({strip_sql(x)}, '') = ''"
+
+
+def keyword_stage_sql(x: str) -> str:
+    return (f"CASE WHEN {blank_sql(x)} THEN 'other' "
+            f"WHEN list_has_any(string_split_regex(lower({strip_sql(x)}), '\\s+'), {SHENG_SQL_LIST}) "
+            f"THEN 'sheng' END")
+
+
+def grams_sql(x: str) -> str:
+    return f"regexp_replace(lower({x}), '\\s+', ' ', 'g')"
+
+
+def nb_lang_ctes(prefix: str, src: str, key: str, text: str, n: int = 3) -> str:
+    """CTEs ending in {prefix}_best(k, label): char n-gram NB trained on documents.lang."""
+    p = prefix
+    return f"""
+{p}_dt AS (SELECT lang AS label, {grams_sql('text')} AS t FROM documents WHERE lang IS NOT NULL),
+{p}_tg AS (SELECT label, substring(t, i, {n}) AS token
+           FROM (SELECT label, t, unnest(generate_series(1, length(t) - {n - 1})) AS i FROM {p}_dt)),
+{p}_counts AS (SELECT label, token, count(*) AS n FROM {p}_tg GROUP BY label, token),
+{p}_cls AS (SELECT label, count(*) AS n_docs,
+                   sum(CASE WHEN length(t) >= {n} THEN length(t) - {n - 1} ELSE 0 END) AS total
+            FROM {p}_dt GROUP BY label),
+{p}_voc AS (SELECT count(DISTINCT token) AS v FROM {p}_counts),
+{p}_tot AS (SELECT sum(n_docs) AS nd FROM {p}_cls),
+{p}_pt AS (SELECT {key} AS k, {grams_sql(text)} AS t FROM {src}),
+{p}_pg AS (SELECT k, substring(t, i, {n}) AS token
+           FROM (SELECT k, t, unnest(generate_series(1, length(t) - {n - 1})) AS i FROM {p}_pt)),
+{p}_tf AS (SELECT k, token, count(*) AS tf FROM {p}_pg GROUP BY k, token),
+{p}_pn AS (SELECT k, CASE WHEN length(t) >= {n} THEN length(t) - {n - 1} ELSE 0 END AS n_tok FROM {p}_pt),
+{p}_part AS (SELECT k, label, sum(tf * ln(n + 1.0)) AS s
+             FROM {p}_tf JOIN {p}_counts USING (token) GROUP BY k, label),
+{p}_score AS (SELECT pn.k, c.label,
+                     ln(c.n_docs / tot.nd) - pn.n_tok * ln(c.total + voc.v) + coalesce(pp.s, 0) AS score
+              FROM {p}_pn pn CROSS JOIN {p}_cls c CROSS JOIN {p}_voc voc CROSS JOIN {p}_tot tot
+              LEFT JOIN {p}_part pp ON pp.k = pn.k AND pp.label = c.label),
+{p}_best AS (SELECT k, label FROM (
+               SELECT k, label, row_number() OVER (PARTITION BY k ORDER BY score DESC, label) AS rn
+               FROM {p}_score) WHERE rn = 1)"""
+
+
+def map_code_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'other' WHEN {x} = 'sw' THEN 'sw' "
+            f"WHEN starts_with({x}, 'en') THEN 'en' ELSE {x} END")

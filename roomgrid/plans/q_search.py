@@ -41,3 +41,236 @@ def knn_batch(spark, d):
                            columns=["id"] + RESULT_COLS)
     return res.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id",
                       *RESULT_COLS, "similarity")
+
+
+SINGLE_THRESHOLD = 0.0
+SINGLE_K = 10
+
+
+@register("knn_single", views=("listings_v",), sql=f"""
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+           FROM embeddings),
+c AS (SELECT list(m ORDER BY i) AS q FROM (SELECT i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY i)),
+le AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id IN (SELECT id FROM listings_v)),
+s AS (SELECT le.id, list_cosine_similarity(le.embedding::DOUBLE[], c.q) AS sim FROM le, c)
+SELECT id, round(sim, 6) AS similarity FROM s WHERE sim > {SINGLE_THRESHOLD}
+ORDER BY similarity DESC, id LIMIT {SINGLE_K}
+""")
+def knn_single(spark, d):
+    """One query (the centroid of all stored vectors) through the JVM-native kernel:
+    cosine as a higher-order-function expression, global top-k as TakeOrderedAndProject."""
+    emb = V.listing_embeddings(spark, d)
+    q = S.centroid(emb).first()["embedding"]  # one row of `dim` doubles
+    return S.knn_single_native(S.searchable(emb, V.listings(spark, d)), q, SINGLE_THRESHOLD,
+                               SINGLE_K)
+
+
+@register("knn_best_match", views=("listings_v",), sql=f"""
+WITH le AS (SELECT vec_id AS id, embedding FROM embeddings
+            WHERE vec_id IN (SELECT id FROM listings_v)),
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings),
+s AS (SELECT q.query_id, le.id,
+             round(list_cosine_similarity(le.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity,
+             list_cosine_similarity(le.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+      FROM q, le WHERE q.query_id <> le.id)
+SELECT query_id, arg_max(id, (similarity, -id)) AS id, max(similarity) AS similarity
+FROM s WHERE sim > {BATCH_THRESHOLD} GROUP BY query_id
+""")
+def knn_best_match(spark, d):
+    """Best other listing per stored vector (self excluded): top-1 with max_by."""
+    emb = S.searchable(V.listing_embeddings(spark, d), V.listings(spark, d))
+    hits = S.knn(emb, _queries_all(spark, d), BATCH_THRESHOLD, 2)
+    others = hits.filter(F.col("query_id") != F.col("id"))
+    return others.groupBy("query_id").agg(
+        F.max_by("id", F.struct("similarity", -F.col("id"))).alias("id"),
+        F.max("similarity").alias("similarity"))
+
+
+@register("knn_lsh")
+def knn_lsh(spark, d):
+    """Approximate search (LSH join + exact re-score); checked by row count only."""
+    emb = S.searchable(V.listing_embeddings(spark, d), V.listings(spark, d))
+    return S.lsh_candidates(emb, _queries_all(spark, d), BATCH_THRESHOLD, BATCH_K)
+
+
+# ---- rerank ----------------------------------------------------------------------------
+RERANK_POOL = 20
+RERANK_K = 5
+RERANK_TYPE, RERANK_MAX_PRICE, RERANK_FURNISHING = "STANDARD", 1500, "furnished"
+
+
+def _candidates(spark, d):
+    lst = V.listings(spark, d)
+    hits = S.match_listings(V.listing_embeddings(spark, d), lst, _queries_all(spark, d),
+                            BATCH_THRESHOLD, RERANK_POOL,
+                            columns=["id", "property_type", "price", "furnishing",
+                                     "neighborhood_rating"])
+    return hits.withColumnRenamed("rank", "input_rank")
+
+
+def _rerank_sql(params: str) -> str:
+    return f"""
+WITH le AS (SELECT vec_id AS id, embedding FROM embeddings
+            WHERE vec_id IN (SELECT id FROM listings_v)),
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings),
+s AS (SELECT q.query_id, le.id,
+             list_cosine_similarity(le.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+      FROM q, le),
+f AS (SELECT query_id, id, round(sim, 6) AS similarity FROM s WHERE sim > {BATCH_THRESHOLD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS input_rank
+      FROM f),
+c AS (SELECT r.*, l.property_type, l.price, l.furnishing, l.neighborhood_rating
+      FROM r JOIN listings_v l ON l.id = r.id WHERE r.input_rank <= {RERANK_POOL}),
+p AS ({params}),
+sc AS (SELECT c.*,
+         coalesce(similarity, 0.0)
+         + CASE WHEN coalesce(p.pt, '') <> '' AND coalesce(property_type, '') <> ''
+                     AND contains(lower(property_type), lower(p.pt)) THEN 0.2 ELSE 0.0 END
+         + CASE WHEN coalesce(p.mp, 0) <> 0 AND coalesce(price, 0) <> 0
+                THEN greatest(0.0, 0.2 - abs(price - p.mp) / (p.mp + 1.0) * 0.2) ELSE 0.0 END
+         + CASE WHEN coalesce(p.pf, '') <> '' AND coalesce(furnishing, '') <> ''
+                     AND contains(lower(furnishing), lower(p.pf)) THEN 0.1 ELSE 0.0 END
+         + CASE WHEN coalesce(neighborhood_rating, 0) <> 0 THEN neighborhood_rating / 10.0 ELSE 0.0 END
+         AS score
+       FROM c LEFT JOIN p ON p.query_id = c.query_id),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, input_rank) AS rerank
+       FROM sc)
+SELECT query_id, rerank, id, input_rank, round(score, 6) AS score FROM rr WHERE rerank <= {RERANK_K}
+"""
+
+
+@register("rerank", views=("listings_v",), sql=_rerank_sql(
+    f"SELECT vec_id AS query_id, '{RERANK_TYPE}' AS pt, CAST({RERANK_MAX_PRICE} AS DOUBLE) AS mp, "
+    f"'{RERANK_FURNISHING}' AS pf FROM embeddings"))
+def rerank(spark, d):
+    """Vector candidates re-ranked with one request's boosts (literals)."""
+    from roomgrid.operators.rerank import rerank as rr
+    out = rr(_candidates(spark, d), RERANK_K, p_type=RERANK_TYPE, p_max_price=RERANK_MAX_PRICE,
+             p_furnishing=RERANK_FURNISHING)
+    return out.select("query_id", F.col("rerank").cast("bigint").alias("rerank"), "id",
+                      F.col("input_rank").cast("bigint").alias("input_rank"),
+                      F.round("score", 6).alias("score"))
+
+
+@register("rerank_batch", views=("listings_v",), sql=_rerank_sql(
+    "SELECT e.vec_id AS query_id, l.property_type AS pt, l.price AS mp, l.furnishing AS pf "
+    "FROM embeddings e LEFT JOIN listings_v l ON l.id = e.vec_id"))
+def rerank_batch(spark, d):
+    """Each query carries its own boost parameters (those of the listing it came from),
+    joined as columns: a request table, not one literal request."""
+    from roomgrid.operators.rerank import rerank as rr
+    lst = V.listings(spark, d)
+    params = (_queries_all(spark, d).select("query_id")
+              .join(lst.select(F.col("id").alias("query_id"), F.col("property_type").alias("pt"),
+                               F.col("price").alias("mp"), F.col("furnishing").alias("pf")),
+                    "query_id", "left"))
+    cand = _candidates(spark, d).join(params, "query_id", "left")
+    out = rr(cand, RERANK_K, p_type=F.col("pt"), p_max_price=F.col("mp"), p_furnishing=F.col("pf"))
+    return out.select("query_id", F.col("rerank").cast("bigint").alias("rerank"), "id",
+                      F.col("input_rank").cast("bigint").alias("input_rank"),
+                      F.round("score", 6).alias("score"))
+
+
+# ---- attribute search ---------------------------------------------------------------
+SEARCH_LOCATION, SEARCH_MAX_PRICE, SEARCH_TYPE = "NATION_1", 1500, "STAND"
+
+
+@register("search_listings", views=("listings_v",), sql=f"""
+SELECT id, title, property_type, location, price FROM listings_v
+WHERE location ILIKE '%{SEARCH_LOCATION}%' AND price <= {SEARCH_MAX_PRICE}
+  AND property_type ILIKE '%{SEARCH_TYPE}%'
+ORDER BY id LIMIT 100
+""")
+def search_listings(spark, d):
+    """Optional-conjunct attribute search; the limit of 100 is the operator's own."""
+    from roomgrid.operators.rerank import filter_listings
+    out = filter_listings(V.listings(spark, d), SEARCH_LOCATION, SEARCH_MAX_PRICE, SEARCH_TYPE)
+    return out.select("id", "title", "property_type", "location", "price")
+
+
+# ---- cards / replies ---------------------------------------------------------------
+CARD_SQL = """
+concat_ws(chr(10), 'Listing: ' || coalesce(l.title, '(no title)'),
+          CASE WHEN coalesce(l.location, '') <> '' THEN 'Area: ' || l.location END,
+          CASE WHEN coalesce(l.price, 0) <> 0 THEN 'Rent: KES ' || CAST(l.price AS VARCHAR) END,
+          CASE WHEN coalesce(l.property_type, '') <> '' THEN 'Type: ' || l.property_type END,
+          'Contact: ' || coalesce(nullif(ll.contact_number, ''), 'No contact'),
+          'ID: ' || CAST(l.id AS VARCHAR))"""
+
+
+@register("listing_cards", views=("listings_v", "landlords_v"), sql=f"""
+SELECT l.id, {CARD_SQL} AS card
+FROM listings_v l LEFT JOIN landlords_v ll ON ll.id = l.landlord_id
+""")
+def listing_cards(spark, d):
+    from roomgrid.operators.dialogue import listing_cards as cards
+    return cards(V.listings(spark, d), V.landlords(spark, d))
+
+
+@register("search_replies", views=("listings_v", "landlords_v"), sql=f"""
+WITH le AS (SELECT vec_id AS id, embedding FROM embeddings
+            WHERE vec_id IN (SELECT id FROM listings_v)),
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings),
+s AS (SELECT q.query_id, le.id,
+             list_cosine_similarity(le.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+      FROM q, le),
+f AS (SELECT query_id, id, round(sim, 6) AS similarity FROM s WHERE sim > {BATCH_THRESHOLD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM f),
+cards AS (SELECT r.query_id, r.rank, {CARD_SQL} AS card
+          FROM r JOIN listings_v l ON l.id = r.id LEFT JOIN landlords_v ll ON ll.id = l.landlord_id
+          WHERE r.rank <= 3),
+agg AS (SELECT query_id, string_agg(card, chr(10) || chr(10) ORDER BY rank) AS cards
+        FROM cards GROUP BY query_id)
+SELECT q.query_id, 'en' AS lang,
+       CASE WHEN agg.cards IS NULL
+            THEN 'Sorry, I couldn''t find matching listings for now. Shall I widen the search?'
+            ELSE 'Listings that match your request:' || chr(10) || chr(10) || agg.cards || chr(10) || chr(10)
+                 || chr(10) || 'Send ''save <ID>'' to keep a listing, or ''more'' for other options.'
+       END AS reply
+FROM q LEFT JOIN agg ON agg.query_id = q.query_id
+""")
+def search_replies(spark, d):
+    """Reply text per query: header, first three cards in rank order, footer; queries
+    without any hit get the no-result text (left join from the query table)."""
+    from roomgrid.operators.dialogue import listing_cards as cards
+    from roomgrid.operators.dialogue import search_replies as replies
+    lst = V.listings(spark, d)
+    hits = S.knn(S.searchable(V.listing_embeddings(spark, d), lst), _queries_all(spark, d),
+                 BATCH_THRESHOLD, BATCH_K)
+    top = hits.filter(F.col("rank") <= 3)
+    with_cards = top.join(cards(lst, V.landlords(spark, d)), "id")
+    queries = _queries_all(spark, d).select("query_id", F.lit("en").alias("lang"))
+    return replies(spark, queries, with_cards)
+
+
+# ---- landlord lookups ----------------------------------------------------------------
+@register("complexes_by_landlord", views=("users_v", "landlords_v", "complexes_v"), sql="""
+SELECT u.phone_number, ll.id AS landlord_id, c.id AS complex_id, c.name, c.location
+FROM users_v u JOIN landlords_v ll ON CAST(ll.user_id AS VARCHAR) = u.id
+JOIN complexes_v c ON c.landlord_id = ll.id
+""")
+def complexes_by_landlord(spark, d):
+    """phone -> user -> landlord -> complexes (equi joins)."""
+    u = V.users(spark, d)
+    ll = V.landlords(spark, d).select(F.col("id").alias("landlord_id"),
+                                      F.col("user_id").cast("string").alias("uid"))
+    c = V.complexes(spark, d).select(F.col("id").alias("complex_id"), "name", "location",
+                                     F.col("landlord_id"))
+    return (u.join(ll, u.id == ll.uid).join(c, "landlord_id")
+            .select("phone_number", "landlord_id", "complex_id", "name", "location"))
+
+
+@register("units_by_landlord", views=("listings_v", "complexes_v"), sql="""
+SELECT c.landlord_id AS complexes_landlord_id, l.id, l.complex_id, l.title
+FROM listings_v l JOIN complexes_v c ON c.id = l.complex_id
+""")
+def units_by_landlord(spark, d):
+    """Units (listings inside a complex) with the owning landlord nested as
+    ``complexes.landlord_id`` (flattened for the output), inner join on the complex."""
+    units = V.listings(spark, d).filter(F.col("complex_id").isNotNull()) \
+        .select("id", "complex_id", "title")
+    c = V.complexes(spark, d).select(F.col("id").alias("complex_id"),
+                                     F.struct(F.col("landlord_id")).alias("complexes"))
+    j = units.join(c, "complex_id")
+    return j.select(F.col("complexes.landlord_id").alias("complexes_landlord_id"), "id",
+                    "complex_id", "title")
