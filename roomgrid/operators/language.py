@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roomgrid.functions.text import blank, strip_ws
 from roomgrid.operators import textmodel as nb
+from roomgrid.session import spread
 
 # The reference's Sheng keyword list, in its order.  Membership is tested
 # against lower-cased whitespace tokens, so the entry with a capital and a space can
@@ -40,8 +41,9 @@ def map_code(code: Column) -> Column:
 
 def train_profile(labelled: DataFrame, text: str = "text", lang: str = "lang",
                   n: int = GRAM) -> nb.NBModel:
-    return nb.fit(labelled.filter(F.col(lang).isNotNull()), nb.char_grams(F.col(text), n),
-                  F.col(lang))
+    docs = spread(labelled.filter(F.col(lang).isNotNull())) \
+        .withColumn("_chars", nb.char_array(F.col(text)))
+    return nb.fit(docs, nb.char_grams(F.col("_chars"), n), F.col(lang))
 
 
 def profile_table(model: nb.NBModel) -> DataFrame:
@@ -58,8 +60,9 @@ def detect(model: nb.NBModel, df: DataFrame, key: str, text: str = "text",
            n: int = GRAM) -> DataFrame:
     """-> df + lang: keyword stage first; otherwise the n-gram model's best language."""
     kw = df.select(key, keyword_stage(F.col(text)).alias("kw"), F.col(text))
-    todo = kw.filter(F.col("kw").isNull())
-    pred = nb.predict(model, todo, key, nb.char_grams(F.col(text), n)) \
+    todo = spread(kw.filter(F.col("kw").isNull()), key) \
+        .withColumn("_chars", nb.char_array(F.col(text)))
+    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_chars"), n)) \
         .select(key, F.col("label").alias("code"))
     out = kw.join(pred, key, "left").select(
         key, F.when(F.col("kw").isNotNull(), F.col("kw")).otherwise(map_code(F.col("code")))

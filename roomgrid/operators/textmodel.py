@@ -20,16 +20,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# whitespace class spelled out so Java, RE2 and Python agree on it
+WS = r"[ \t\n\r\f\x0B]+"
 MAX_CLASSES = 10_000  # class constants travel as literals; bounded by this check
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """All character n-grams of the lower-cased text with whitespace runs folded to one
-    space (code points, as Python and DuckDB count them)."""
-    t = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.when(F.length(t) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(t) - n + 1),
-        lambda i: F.call_function("substr", t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def char_array(text: Column) -> Column:
+    """Characters of the lower-cased text with whitespace runs folded to one space."""
+    return F.split(F.regexp_replace(F.lower(text), WS, " "), "")
+
+
+def char_grams(chars: Column, n: int) -> Column:
+    """All character n-grams from a character array: n shifted slices of the array are
+    zipped element-wise.  Lambdas only see their own arguments, so nothing is recomputed
+    per element even when Catalyst inlines ``chars`` (O(n * length) per row)."""
+    m = F.size(chars) - n + 1
+    grams = F.slice(chars, 1, m)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, j + 1, m), lambda a, b: F.concat(a, b))
+    return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def word_tokens(text: Column) -> Column:

@@ -125,7 +125,7 @@ def keyword_stage_sql(x: str) -> str:
 
 
 def grams_sql(x: str) -> str:
-    return f"regexp_replace(lower({x}), '\\s+', ' ', 'g')"
+    return f"regexp_replace(lower({x}), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')"
 
 
 def nb_lang_ctes(prefix: str, src: str, key: str, text: str, n: int = 3) -> str:

@@ -31,4 +31,4 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     return REGISTRY
 
 
-MODULES = ["q_search"]
+MODULES = ["q_search", "q_text", "q_dialogue"]

@@ -77,3 +77,13 @@ def local_dir(path: str) -> str:
         path = path[5:]
     os.makedirs(path, exist_ok=True)
     return path
+
+
+def spread(df, *keys):
+    """Hash-repartition a frame whose scan yields fewer partitions than the cluster has
+    cores (e.g. one large row group) before CPU-heavy per-row work; a no-op when the
+    input is already split at least that finely, which is the case at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
