@@ -18,9 +18,12 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def norm(v):
+    import pandas as pd
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
         return round(v, 9)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
@@ -33,7 +36,7 @@ def rows_of(pdf):
     cols = sorted(pdf.columns)
     out = []
     for r in pdf[cols].itertuples(index=False):
-        out.append(tuple(norm(None if (isinstance(x, float) and math.isnan(x)) else x) if not hasattr(x, "__len__") or isinstance(x, str) else norm(x) for x in r))
+        out.append(tuple(norm(x) for x in r))
     return cols, sorted(out, key=repr)
 
 
