@@ -48,10 +48,10 @@ routed AS (
   FROM messages_v m LEFT JOIN p_best b ON b.k = m.message_id)"""
 
 
-def routed_messages(spark, d):
+def routed_messages(spark, d, msgs=None, model=None):
     """messages -> user key, language, route and parsed command fields."""
-    msgs = V.messages(spark, d)
-    model = LANG.train_profile(read_table(spark, d, "documents"))
+    msgs = V.messages(spark, d) if msgs is None else msgs
+    model = model or LANG.train_profile(read_table(spark, d, "documents"))
     m = LANG.detect(model, msgs, "message_id")
     m = m.withColumn("user_key", normalize_user_key(F.col("from_raw"))) \
          .withColumn("intent", F.lit(NO_INTENT)) \

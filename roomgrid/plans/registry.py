@@ -31,4 +31,4 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     return REGISTRY
 
 
-MODULES = ["q_search", "q_text", "q_dialogue", "q_history", "q_limits", "q_integrity", "q_load", "q_ingest"]
+MODULES = ["q_search", "q_text", "q_dialogue", "q_history", "q_limits", "q_integrity", "q_load", "q_ingest", "q_stream"]

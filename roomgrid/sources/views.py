@@ -117,8 +117,11 @@ def message_ts(message_id: Column) -> Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as inbound messages.  Every row is kept; the sender format and a
     command prefix are derived from the ids so that each routing branch occurs."""
-    n_part = row_count(spark, sf_dir, "part")
-    cv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return messages_from(read_table(spark, sf_dir, "conversations"), row_count(spark, sf_dir, "part"))
+
+
+def messages_from(conversations: DataFrame, n_part: int) -> DataFrame:
+    cv = conversations.filter(F.col("role") == "user")
     mid = F.col("conv_id") * 1000 + F.col("turn")
     lid = pad8(mid % F.lit(n_part))
     k = F.col("conv_id") % 5
