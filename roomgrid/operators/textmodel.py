@@ -57,15 +57,19 @@ class NBModel:
 
 def fit(docs: DataFrame, tokens: Column, label: Column) -> NBModel:
     """docs -> token counts per label (partial aggregation before the shuffle, so a
-    frequent token or a dominant label does not load one task)."""
+    frequent token or a dominant label does not load one task).  The count table is
+    persisted (recomputable from lineage) because the class totals and the vocabulary
+    size are read from it; the tokens of the corpus are produced once."""
     t = docs.select(label.cast("string").alias("label"), tokens.alias("toks"))
     counts = (t.select("label", F.explode("toks").alias("token"))
-              .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")))
-    cls = (t.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"),
-                                  F.sum(F.size("toks")).alias("total")))
-    if cls.count() > MAX_CLASSES:
+              .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))).persist()
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
+    ndocs = docs.groupBy(label.cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
+    cls = ndocs.join(totals, "label", "left")
+    rows = cls.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
         raise ValueError("too many classes for a naive Bayes class table")
-    classes = [(r["label"], int(r["n_docs"]), int(r["total"] or 0)) for r in cls.collect()]
+    classes = [(r["label"], int(r["n_docs"]), int(r["total"] or 0)) for r in rows]
     vocab = counts.select("token").distinct().count()
     return NBModel(counts, sorted(classes), vocab)
 
@@ -78,9 +82,11 @@ def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column) -> DataFr
     denom = [math.log(c[2] + model.vocab) for c in model.classes]
 
     d = docs.select(F.col(key), tokens.alias("toks"))
-    n_tok = d.select(key, F.size("toks").alias("n_tok"))
     tf = (d.select(key, F.explode("toks").alias("token"))
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
+    # tokens per document from the same aggregate (documents without tokens get 0)
+    n_tok = docs.select(key).join(tf.groupBy(key).agg(F.sum("tf").alias("n_tok")), key, "left") \
+        .select(key, F.coalesce(F.col("n_tok"), F.lit(0)).alias("n_tok"))
     part = (tf.join(model.counts, "token")
             .groupBy(key, "label")
             .agg(F.sum(F.col("tf") * F.log(F.col("n") + F.lit(1.0))).alias("s")))
