@@ -25,7 +25,7 @@ def bucket_of(token: Column, dim: int = HASH_DIM) -> Column:
 
 def token_buckets(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFrame:
     """(key, bucket, cnt) sparse term counts; partial aggregation before the shuffle."""
-    t = df.select(key, F.explode(word_tokens(F.col(text))).alias("tok"))
+    t = df.select(key, F.explode_outer(word_tokens(F.col(text))).alias("tok")).filter(F.col("tok").isNotNull())
     return t.groupBy(key, bucket_of(F.col("tok"), dim).alias("bucket")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
 

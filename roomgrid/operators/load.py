@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomgrid import schemas as SC
+from roomgrid.sources.files import read_labelled_text, read_nested_records  # noqa: F401
 
 
 def hashed_id(prefix: str, key: Column) -> Column:
@@ -19,23 +20,6 @@ def hashed_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(key.cast("string"), 256), 1, 16))
 
 
-# ---- sources ------------------------------------------------------------------------
-def read_nested_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of {landlord, complex | null, listing} records, explicit schema."""
-    return spark.read.schema(SC.LOAD_RECORD).option("multiLine", True).json(path)
-
-
-def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
-    """(text, intent) CSV with a header; lines that do not have exactly two fields are
-    dropped (PERMISSIVE mode routes them to the corrupt-record column)."""
-    df = (spark.read.schema(SC.LABELLED_TEXT).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("encoding", "UTF-8")
-          .csv(path))
-    df = df.cache()  # required before filtering on the corrupt-record column
-    return df.filter(F.col("_corrupt_record").isNull() & F.col("intent").isNotNull()) \
-        .select("text", "intent")
-
-
 def split_nested(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """records -> (landlord.*, complex.*, listing.*) keyed by the record's position."""
     r = records.withColumn("rec_no", F.monotonically_increasing_id()) \

@@ -57,11 +57,14 @@ class NBModel:
 
 def fit(docs: DataFrame, tokens: Column, label: Column) -> NBModel:
     """docs -> token counts per label (partial aggregation before the shuffle, so a
-    frequent token or a dominant label does not load one task).  The count table is
+    frequent token or a dominant label does not load one task).  ``explode_outer`` +
+    a null filter is used instead of ``explode``: for ``explode`` the optimizer infers a
+    ``size(tokens) > 0`` filter and pushes it below any repartition, which would build
+    every token array once more before the work is spread.  The count table is
     persisted (recomputable from lineage) because the class totals and the vocabulary
     size are read from it; the tokens of the corpus are produced once."""
     t = docs.select(label.cast("string").alias("label"), tokens.alias("toks"))
-    counts = (t.select("label", F.explode("toks").alias("token"))
+    counts = (t.select("label", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))).persist()
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     ndocs = docs.groupBy(label.cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -82,7 +85,7 @@ def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column) -> DataFr
     denom = [math.log(c[2] + model.vocab) for c in model.classes]
 
     d = docs.select(F.col(key), tokens.alias("toks"))
-    tf = (d.select(key, F.explode("toks").alias("token"))
+    tf = (d.select(key, F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
     # tokens per document from the same aggregate (documents without tokens get 0)
     n_tok = docs.select(key).join(tf.groupBy(key).agg(F.sum("tf").alias("n_tok")), key, "left") \

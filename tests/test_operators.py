@@ -220,3 +220,17 @@ def test_cascade_semi_and_set_null(spark):
     assert [r.id for r in I.semi(kids, "pid", parents.filter("id = 1")).collect()] == [10]
     out = {r.id: r.pid for r in I.set_null(kids, "pid", parents.filter("id = 1")).collect()}
     assert out == {10: None, 11: 3, 12: None}
+
+
+def test_json_bodies_quarantine_and_jsonl_sink(spark, tmp_path):
+    from roomgrid.sources.files import parse_message_bodies, write_jsonl
+    raw = spark.createDataFrame([('{"message": "habari, niko Kasarani"}',), ('{"msg": 1}',), ("not json",)],
+                                "body string")
+    good, bad = parse_message_bodies(raw)
+    assert [r.text for r in good.collect()] == ["habari, niko Kasarani"]
+    assert bad.count() == 2
+    out = str(tmp_path / "traces")
+    write_jsonl(good.select("text"), out)
+    write_jsonl(good.select("text"), out)
+    back = spark.read.schema("text string").json(out)
+    assert [r.text for r in back.collect()] == ["habari, niko Kasarani"] * 2
