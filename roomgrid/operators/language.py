@@ -62,7 +62,8 @@ def detect(model: nb.NBModel, df: DataFrame, key: str, text: str = "text",
     kw = df.select(key, keyword_stage(F.col(text)).alias("kw"), F.col(text))
     todo = spread(kw.filter(F.col("kw").isNull()), key) \
         .withColumn("_chars", nb.char_array(F.col(text)))
-    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_chars"), n)) \
+    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_chars"), n),
+                      nb.n_char_grams(F.col("_chars"), n)) \
         .select(key, F.col("label").alias("code"))
     out = kw.join(pred, key, "left").select(
         key, F.when(F.col("kw").isNotNull(), F.col("kw")).otherwise(map_code(F.col("code")))

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomgrid.session import spread
+
 # whitespace class spelled out so Java, RE2 and Python agree on it
 WS = r"[ \t\n\r\f\x0B]+"
 MAX_CLASSES = 10_000  # class constants travel as literals; bounded by this check
@@ -41,6 +43,10 @@ def char_grams(chars: Column, n: int) -> Column:
     return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def n_char_grams(chars: Column, n: int) -> Column:
+    return F.greatest(F.size(chars) - n + 1, F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
@@ -63,6 +69,7 @@ def fit(docs: DataFrame, tokens: Column, label: Column) -> NBModel:
     every token array once more before the work is spread.  The count table is
     persisted (recomputable from lineage) because the class totals and the vocabulary
     size are read from it; the tokens of the corpus are produced once."""
+    docs = spread(docs)
     t = docs.select(label.cast("string").alias("label"), tokens.alias("toks"))
     counts = (t.select("label", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
               .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))).persist()
@@ -77,19 +84,22 @@ def fit(docs: DataFrame, tokens: Column, label: Column) -> NBModel:
     return NBModel(counts, sorted(classes), vocab)
 
 
-def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """-> (key, label, score) for the best class (score desc, label asc on ties)."""
+def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column,
+            n_tokens: Column | None = None) -> DataFrame:
+    """-> (key, label, score) for the best class (score desc, label asc on ties).
+    ``n_tokens`` (tokens per document) may be given as a cheap expression so that the
+    token arrays are built only once, for the term-frequency aggregation."""
     total_docs = sum(c[1] for c in model.classes)
     labels = [c[0] for c in model.classes]
     prior = [math.log(c[1] / total_docs) for c in model.classes]
     denom = [math.log(c[2] + model.vocab) for c in model.classes]
 
+    docs = spread(docs, key)
     d = docs.select(F.col(key), tokens.alias("toks"))
     tf = (d.select(key, F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
-    # tokens per document from the same aggregate (documents without tokens get 0)
-    n_tok = docs.select(key).join(tf.groupBy(key).agg(F.sum("tf").alias("n_tok")), key, "left") \
-        .select(key, F.coalesce(F.col("n_tok"), F.lit(0)).alias("n_tok"))
+    n_tok = docs.select(key, (n_tokens if n_tokens is not None else F.size(tokens))
+                        .cast("long").alias("n_tok"))
     part = (tf.join(model.counts, "token")
             .groupBy(key, "label")
             .agg(F.sum(F.col("tf") * F.log(F.col("n") + F.lit(1.0))).alias("s")))
