@@ -11,9 +11,11 @@ from roomgrid import schemas as SC
 MESSAGE_BODY = "message string"
 
 
-def read_nested_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of {landlord, complex | null, listing} records."""
-    return spark.read.schema(SC.LOAD_RECORD).option("multiLine", True).json(path)
+def read_nested_records(spark: SparkSession, path: str, multiline: bool = True,
+                        schema=None) -> DataFrame:
+    """{landlord, complex | null, listing} records: a JSON array file (``multiline``) or
+    JSON lines (splittable, the form to use for large inputs)."""
+    return spark.read.schema(schema or SC.LOAD_RECORD).option("multiLine", multiline).json(path)
 
 
 def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
