@@ -130,7 +130,11 @@ def knn(emb: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD
         dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
         method = "broadcast" if n_q * max(dim, 1) * 8 <= max_broadcast_bytes else "blocked"
     if method == "broadcast":
-        scores = _broadcast_scan(emb, queries, threshold, k)
+        try:
+            scores = _broadcast_scan(emb, queries, threshold, k)
+        except Exception:  # no broadcast variables on this client: block-join instead
+            scores = _blocked_scan(emb, queries, threshold, k, n_q, emb.count(),
+                                   q_block_rows, e_block_rows)
     else:
         scores = _blocked_scan(emb, queries, threshold, k, n_q, emb.count(),
                                q_block_rows, e_block_rows)

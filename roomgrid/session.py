@@ -60,9 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="roomgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+    except Exception:  # no SparkContext on this client (e.g. a remote session)
+        pass
     return d
 
 
@@ -83,7 +86,10 @@ def spread(df, *keys):
     """Hash-repartition a frame whose scan yields fewer partitions than the cluster has
     cores (e.g. one large row group) before CPU-heavy per-row work; a no-op when the
     input is already split at least that finely, which is the case at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no SparkContext on this client: leave partitioning to the plan
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
