@@ -42,3 +42,10 @@ def parse_message_bodies(raw: DataFrame, body: str = "body") -> tuple[DataFrame,
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Append one JSON object per line (non-ASCII kept as is)."""
     df.write.mode("append").json(path)
+
+
+def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Append rows to a table folder, creating it when it does not exist yet (the
+    reference tolerates a missing trace table; here the first append creates it).
+    Write failures are raised, not swallowed."""
+    df.write.mode("append").format(fmt).save(path)

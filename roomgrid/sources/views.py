@@ -142,7 +142,10 @@ def messages_from(conversations: DataFrame, n_part: int) -> DataFrame:
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn + assistant turn at turn+1 of the same conversation."""
-    cv = read_table(spark, sf_dir, "conversations")
+    return chats_from(read_table(spark, sf_dir, "conversations"))
+
+
+def chats_from(cv: DataFrame) -> DataFrame:
     u = cv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_message"))
     a = cv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("bot_response"))

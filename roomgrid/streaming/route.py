@@ -35,3 +35,24 @@ def run_route(spark: SparkSession, source_dir: str, route_batch, table: str = "c
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return {n: spark.read.parquet(f"{base}/{n}") for n in sorted(names)}
+
+
+def run_trace_log(spark: SparkSession, source_dir: str, to_chats, table: str = "conversations",
+                  max_files_per_trigger: int = 1) -> DataFrame:
+    """Streaming trace log: every micro-batch of turns becomes chats (``to_chats``), one
+    trace per chat is built and appended as JSON lines (one object per line)."""
+    from roomgrid.operators.history import build_traces, trace_payload
+    out = scratch_path(spark, "trace-log")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        payload = trace_payload(build_traces(to_chats(batch)))
+        payload.write.mode("overwrite").json(f"{out}/batch_id={batch_id}")
+
+    stream = (spark.readStream.schema(DRIVER[table])
+              .option("pathGlobFilter", f"{table}*.parquet")
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(source_dir))
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("id string, payload string, created_at timestamp").json(out)

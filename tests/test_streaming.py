@@ -16,3 +16,25 @@ def test_stream_limiter_equals_batch(spark, sf, tmp_path):
     want = RL.sessions(read_table(spark, sf, "events"), 6 * 3600, 2)
     cols = ["event_id", "user_id", "session_no", "ordinal", "allowed"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_trace_log_stream_and_append_sink(spark, sf, tmp_path):
+    import json
+    from roomgrid.sources.files import append_table
+    from roomgrid.sources.views import chats, chats_from
+    from roomgrid.streaming.route import run_trace_log
+    t = pq.read_table(f"{sf}/conversations.parquet")
+    n = t.num_rows
+    pq.write_table(t.slice(0, n // 2), tmp_path / "conversations_0.parquet")
+    pq.write_table(t.slice(n // 2, n - n // 2), tmp_path / "conversations_1.parquet")
+    got = run_trace_log(spark, str(tmp_path), chats_from)
+    rows = got.collect()
+    # turns split across files lose their reply partner only at the cut; every user turn
+    # still yields exactly one trace with four ordered steps
+    assert len(rows) == chats(spark, sf).count()
+    steps = json.loads(rows[0].payload)["steps"]
+    assert [s["step_type"] for s in steps] == ["plan", "act", "critique", "decision"]
+    out = str(tmp_path / "agent_traces")
+    append_table(got, out)
+    append_table(got, out)
+    assert spark.read.parquet(out).count() == 2 * len(rows)
