@@ -25,6 +25,7 @@ from roomgrid.session import spread
 # whitespace class spelled out so Java, RE2 and Python agree on it
 WS = r"[ \t\n\r\f\x0B]+"
 MAX_CLASSES = 10_000  # class constants travel as literals; bounded by this check
+MAX_BROADCAST_COUNTS = 5_000_000  # (token, class) rows above which scoring shuffles by token
 
 
 def char_array(text: Column) -> Column:
@@ -96,13 +97,19 @@ def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column,
 
     docs = spread(docs, key)
     d = docs.select(F.col(key), tokens.alias("toks"))
-    tf = (d.select(key, F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
-          .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
+    occ = d.select(key, F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
+    if model.vocab * len(labels) <= MAX_BROADCAST_COUNTS:
+        # model table of checked size: broadcast it and score every token occurrence
+        # map-side; the partial (doc, label) sums are the only shuffle
+        part = (occ.join(F.broadcast(model.counts), "token")
+                .groupBy(key, "label").agg(F.sum(F.log(F.col("n") + F.lit(1.0))).alias("s")))
+    else:
+        tf = occ.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+        part = (tf.join(model.counts, "token")
+                .groupBy(key, "label")
+                .agg(F.sum(F.col("tf") * F.log(F.col("n") + F.lit(1.0))).alias("s")))
     n_tok = docs.select(key, (n_tokens if n_tokens is not None else F.size(tokens))
                         .cast("long").alias("n_tok"))
-    part = (tf.join(model.counts, "token")
-            .groupBy(key, "label")
-            .agg(F.sum(F.col("tf") * F.log(F.col("n") + F.lit(1.0))).alias("s")))
     per_doc = part.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m"))
     j = n_tok.join(per_doc, key, "left")
     scores = F.array(*[
