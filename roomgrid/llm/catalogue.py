@@ -43,3 +43,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"),
                         quality.score(F.col("text"), model).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import neardup
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomgrid.llm import words as W
 
@@ -162,7 +163,7 @@ def score_texts(col: pa.Array, model: np.ndarray, bits: int = BITS) -> np.ndarra
 
 def score(text: Column, model: np.ndarray, bits: int = BITS) -> Column:
     """Probability of label 1 as a column."""
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def run(t: pa.Array) -> pa.Array:
         return pa.array(score_texts(t, model, bits), type=pa.float64())
     return run(text)
