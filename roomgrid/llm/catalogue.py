@@ -49,3 +49,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import neardup
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing queries use (a parameter of the operator)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import packing
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())

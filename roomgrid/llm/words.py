@@ -117,8 +117,9 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     size = end - start
     total = int(size.sum())
     at = np.cumsum(size) - size
-    pos = np.arange(total, dtype=np.int64) - np.repeat(at, size)
-    byte = buf[pos + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
+    kind = np.int32 if len(buf) < 1 << 31 else np.int64
+    pos = np.arange(total, dtype=kind) - np.repeat(at.astype(kind), size)
+    byte = buf[pos + np.repeat(start.astype(kind), size)].astype(np.uint64) + np.uint64(1)
     byte *= powers(int(size.max()))[pos]
     return mix(np.add.reduceat(byte, at) + size.astype(np.uint64))
 
