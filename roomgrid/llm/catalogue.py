@@ -61,3 +61,9 @@ def tokenizer_path() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import packing
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import mixing
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
