@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomgrid.llm import chat
 from roomgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import mixing
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat", chat.oracle_sql())
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(told)
+    turns = chat.canonical_turns(chat.from_rows(rows), "record")
+    return chat.digests(chat.format_turns(turns).withColumnRenamed("conv", "conv_id"), "conv_id")
+
+
+@query("op10_compression")
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import compression
+    m = read_table(spark, sf_dir, "documents").select("doc_id", compression.measure(F.col("text")).alias("m"))
+    failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    return m.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+                    failed.alias("base_failed"), (~failed & F.col("m.in_band")).alias("kept"),
+                    F.col("m.ratio").alias("ratio"), F.col("m.chunk_share").alias("chunk_share"))
