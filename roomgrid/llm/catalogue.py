@@ -89,3 +89,9 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
                     failed.alias("base_failed"), (~failed & F.col("m.in_band")).alias("kept"),
                     F.col("m.ratio").alias("ratio"), F.col("m.chunk_share").alias("chunk_share"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import secrets
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
