@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,9 @@ BASE_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()   # applications that have the package
+
+
 def get_spark(master: str | None = None, app: str = "roomgrid",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -37,11 +41,13 @@ def get_spark(master: str | None = None, app: str = "roomgrid",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL confs on a session someone else built."""
+    """Set the runtime SQL confs on a session someone else built, and ship the package."""
+    ship_package(spark)
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql."):
             try:
@@ -50,6 +56,27 @@ def apply_runtime_conf(spark: SparkSession) -> None:
                 pass
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python stages work
+    wherever the driver was started and on workers that do not have it installed."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext on this client (a remote session ships its own files)
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="roomgrid-package-"), "roomgrid.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("roomgrid", os.path.relpath(full, root)))
+    sc.addPyFile(path)  # from here the driver serves it
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
