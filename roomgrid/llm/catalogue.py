@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomgrid.llm import chat
+from roomgrid.llm import chat, pivots
 from roomgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import secrets
     return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_top_k", pivots.ORACLE)
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import licenses
+    return licenses.scan(read_table(spark, sf_dir, "documents"))

@@ -81,7 +81,7 @@ def slices(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 class Words:
     """Words of a batch: ``start``/``end`` byte spans, ``doc`` row number, ``hash``."""
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    def __init__(self, col: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE):
         buf, offs = buffers(col)
         self.buf, self.offs, self.n_docs = buf, offs, len(col)
         if len(buf) == 0:
@@ -90,7 +90,7 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
             self.count = np.zeros(self.n_docs, np.int64)
             return
-        space = _SPACE[buf]
+        space = separators[buf]
         border = np.zeros(len(buf) + 1, dtype=bool)   # a text begins here
         border[offs[:-1]] = True
         border = border[:-1]
