@@ -106,3 +106,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import licenses
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import lm
+    scored = lm.score(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
