@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from roomgrid.llm import words as W
 from roomgrid.llm.ngram_trie import Trie
 
-PRIOR = 100.0               # m
+PRIOR = 1000.0              # m
 SEGMENT_BYTES = 6 << 20
 WORD_ENTRIES = 2_000_000    # words of all segments that a vocabulary shard gets, about
 PAIR_TOKENS = 1_500_000     # tokens that a pair shard gets, about
