@@ -16,9 +16,10 @@ probability Jaccard similarity.
    0.8 falls under 0.55 of 64 registers about once in ten million); the others are verified
    on their whole texts: Jaccard of the shingle sets at or above ``threshold``.
 4. Linked texts form classes (connected components).  Buckets that still hold texts of
-   several classes are the rest: all their pairs between different classes are compared by
-   signature, in tiles of bounded size, and verified.  So no link between texts that share a
-   bucket is lost, and no pair inside a class is expanded.
+   several classes are the rest: in tiles of bounded size, each text of a smaller class is
+   compared with all texts of other classes at once, and only links are emitted, one for each
+   text and other class.  So no link between classes that share a bucket is lost, and no pair
+   is expanded.
 
 Defined results: a null text or null id is alone (its class is its own id); texts without any
 word are copies of each other; rows of equal words are exact copies, whatever their spaces;
@@ -43,7 +44,7 @@ THRESHOLD = 0.8
 REGISTERS = 64
 BANDS = 16
 PREFILTER = 0.55
-TILE = 2048            # texts of a bucket compared in one piece
+TILE_CHARS = 4 << 20   # text of a bucket's tile; two tiles are compared in one piece
 FILTER_BITS = 26       # places of the fixed-size membership filter (8 MB)
 
 
@@ -115,7 +116,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys
 
 
-SIG_SCHEMA = "id {}, has_text boolean, d1 long, d2 long, sig binary, bands array<long>"
+SIG_SCHEMA = "id {}, has_text boolean, d1 long, d2 long, chars long, sig binary, bands array<long>"
 
 
 def fingerprint(docs: DataFrame, id_col: str, text_col: str, m: int, bands: int, n: int) -> DataFrame:
@@ -135,10 +136,10 @@ def fingerprint(docs: DataFrame, id_col: str, text_col: str, m: int, bands: int,
                 offs = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), known.slice(a, b - a),
-                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(w.offs)),
                      pa.array([s.tobytes() if k else None for s, k in zip(sig, some)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(offs), flat)],
-                    names=["id", "has_text", "d1", "d2", "sig", "bands"])
+                    names=["id", "has_text", "d1", "d2", "chars", "sig", "bands"])
 
     return rows.mapInArrow(run, SIG_SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
 
@@ -170,18 +171,9 @@ def jaccard_texts(a: pa.Array, b: pa.Array, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, sig: DataFrame, texts: DataFrame, threshold: float, prefilter: float,
-            n: int, agreed: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids -> links whose texts are similar enough."""
-    if not agreed:
-        one = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-        two = sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-        pairs = (pairs.join(one, "a").join(two, "b")
-                 .filter(agreement("sa", "sb") >= prefilter).select("a", "b"))
-    pairs = pairs.checkpoint()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # A filter of fixed size, however many ids: it only spares most other texts the shuffle;
-    # the joins below decide.
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts (id, t) of the given ids and of few others: a filter of fixed size, however many
+    ids there are, only spares most other texts the shuffle; the join that follows decides."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     words64 = (ids.select((place / 64).cast("int").alias("w"), F.pmod(place, F.lit(64)).cast("int").alias("k"))
                .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")))
@@ -194,79 +186,119 @@ def _verify(pairs: DataFrame, sig: DataFrame, texts: DataFrame, threshold: float
         p = np.mod(h.to_numpy(zero_copy_only=False).astype(np.int64), 1 << FILTER_BITS)
         return pa.array(((bits[p >> 6] >> (p & 63)) & 1).astype(bool))
 
+    return texts.filter(maybe(F.xxhash64("id")))
+
+
+def _verify(pairs: DataFrame, sig: DataFrame, texts: DataFrame, threshold: float, prefilter: float, n: int) -> DataFrame:
+    """Pairs (a, b) of ids -> links whose texts are similar enough."""
+    one = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    two = sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    pairs = (pairs.join(one, "a").join(two, "b")
+             .filter(agreement("sa", "sb") >= prefilter).select("a", "b").checkpoint())
+    few = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
+
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(jaccard_texts(a, b, n))
 
-    few = texts.filter(maybe(F.xxhash64("id")))
     return (pairs.join(few.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
             .join(few.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-            .withColumn("similarity", jaccard("ta", "tb"))
-            .filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity").checkpoint())
-
-
-def _rest(buckets: DataFrame, sig: DataFrame, classes: DataFrame, centres: DataFrame,
-          prefilter: float) -> DataFrame:
-    """Pairs between different classes of one bucket that agree well enough and do not
-    involve the bucket's centre (those pairs were verified before)."""
-    rows = (buckets.filter("n > 2").join(classes, F.col("rep") == F.col("node"), "left")
-            .withColumn("class", F.coalesce("component", "rep")).select("key", "rep", "class"))
-    per = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
-    split = (per.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("n"),
-                                    F.max(F.struct("n", "class")).alias("major")).filter("k > 1")
-             .select("key", F.col("major.class").alias("major"),
-                     F.ceil(F.col("major.n") / TILE).cast("int").alias("t_major"),
-                     F.ceil((F.col("n") - F.col("major.n")) / TILE).cast("int").alias("t_minor")))
-    rows = (rows.join(split, "key").join(centres, "key").filter("rep != centre")
-            .withColumn("big", F.col("class") == F.col("major")))
-    tile = F.pmod(F.xxhash64("rep"), F.when(F.col("big"), F.col("t_major")).otherwise(F.col("t_minor"))).cast("int")
+            .filter(jaccard("ta", "tb") >= threshold - 1e-12).select("a", "b").checkpoint())
+
+
+def links_in_piece(reps: np.ndarray, classes: np.ndarray, minor: np.ndarray, sig: np.ndarray, col: pa.Array,
+                   threshold: float, prefilter: float, n: int) -> list[tuple[int, int]]:
+    """Row pairs of a piece that link different classes, one for each text of a smaller class
+    and other class.  A text is compared with all others at once: its shingles are marked and
+    counted in each of them."""
+    w = W.Words(col)
+    h, doc = shingles(w, n)
+    _, at = np.unique(W.chain(doc.astype(np.uint64), h), return_index=True)
+    at.sort()
+    h, doc = h[at], doc[at]
+    _, code = np.unique(h, return_inverse=True)
+    size = np.bincount(doc, minlength=len(reps))
+    cut = np.concatenate([[0], np.cumsum(size)])
+    has = np.flatnonzero(size)
+    mark = np.zeros(code.max() + 1 if len(code) else 1, dtype=np.int64)
+    out = []
+    for x in np.flatnonzero(minor & (size > 0)):
+        other = classes != classes[x]
+        if not ((sig[other] == sig[x]).mean(axis=1) >= prefilter).any():
+            continue
+        own = code[cut[x]:cut[x + 1]]
+        mark[own] = 1
+        shared = np.zeros(len(reps), np.int64)
+        shared[has] = np.add.reduceat(mark[code], cut[has])
+        mark[own] = 0
+        near = np.flatnonzero(other & (shared >= (threshold - 1e-12) * (size + size[x] - shared)))
+        _, first = np.unique(classes[near], return_index=True)
+        out += [(int(x), int(y)) for y in near[first]]
+    return out
+
+
+def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float,
+          prefilter: float, n: int) -> DataFrame:
+    """Verified links between different classes that share a bucket.
+
+    A bucket is dealt into tiles of about ``TILE_CHARS`` of text, those of its largest class
+    (major) apart from all others (minor), and each minor tile meets every tile once."""
+    rows = (buckets.filter("n > 2").select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left")
+            .join(reps.select("rep", "chars"), "rep")
+            .select("key", "rep", "chars", F.coalesce("component", "rep").alias("class")))
+    per = rows.groupBy("key", "class").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
+    tiles = lambda c: F.ceil(c / F.lit(TILE_CHARS)).cast("int") + 1
+    split = (per.groupBy("key").agg(F.count("*").alias("k"), F.sum("chars").alias("all"),
+                                    F.max(F.struct("c", "chars", "class")).alias("major")).filter("k > 1")
+             .select("key", F.col("major.class").alias("major"), tiles(F.col("major.chars")).alias("t_major"),
+                     tiles(F.col("all") - F.col("major.chars")).alias("t_minor")))
+    rows = rows.join(split, "key").withColumn("minor", F.col("class") != F.col("major"))
+    tile = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("t_minor")).otherwise(F.col("t_major"))).cast("int")
     rows = rows.withColumn("tile", tile)
     # a piece is a pair of tiles: (minor, minor) or (minor, -1 - major)
-    pieces = F.when(F.col("big"), F.expr("transform(sequence(0, t_minor - 1), i -> struct(i as x, -1 - tile as y))")
+    pieces = F.when(~F.col("minor"), F.expr("transform(sequence(0, t_minor - 1), i -> struct(i as x, -1 - tile as y))")
                     ).otherwise(F.expr("""concat(
                         transform(sequence(0, t_minor - 1), i -> struct(least(i, tile) as x, greatest(i, tile) as y)),
                         transform(sequence(0, t_major - 1), j -> struct(tile as x, -1 - j as y)))"""))
-    rows = (rows.select("key", "rep", "class", F.explode(pieces).alias("p"))
-            .select("key", "p.x", "p.y", "rep", "class").join(sig.select("rep", "sig"), "rep")
-            .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
-            .select("key", "x", "y", "rep", "class", "sig"))
+    rows = rows.select("key", "rep", "class", "minor", F.explode(pieces).alias("p")).checkpoint()
+    few = _texts_of(rows.select(F.col("rep").alias("id")).distinct(), texts)
+    one = few.groupBy(F.col("id").alias("rep")).agg(F.min("t").alias("t"))
+    rows = (rows.join(reps.select("rep", "sig"), "rep").join(one, "rep")
+            .select("key", "p.x", "p.y", "rep", "class", "minor", "sig", "t")
+            .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep"))
     kind = dict(rows.dtypes)["rep"]
-    schema = f"a {kind}, b {kind}"
-
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-        c = t.column("class").to_pandas().factorize()[0]
-        left, right = [], []
-        step = max(1, (1 << 24) // (len(s) * s.shape[1]))
-        for i in range(0, len(s), step):
-            j = min(i + step, len(s))
-            near = (s[i:j, None, :] == s[None, i + 1:, :]).mean(axis=2) >= prefilter
-            near &= c[i:j, None] != c[None, i + 1:]
-            near &= np.arange(i, j)[:, None] < np.arange(i + 1, len(s))[None, :]
-            x, y = np.nonzero(near)
-            left.append(x + i)
-            right.append(y + i + 1)
-        left, right = np.concatenate(left), np.concatenate(right)
-        reps = t.column("rep").combine_chunks()
-        return pa.RecordBatch.from_arrays([reps.take(pa.array(left)), reps.take(pa.array(right))], names=["a", "b"])
+
+    def links_of(t: pa.Table) -> pa.RecordBatch:
+        ids = t.column("rep").combine_chunks()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+        cls = t.column("class").to_pandas().factorize()[0]
+        minor = t.column("minor").to_numpy().astype(bool)
+        found = links_in_piece(ids, cls, minor, sig, W.as_large_strings(t.column("t")), threshold, prefilter, n)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)],
+                                          names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None    # the rows of the piece at the end of what was read
+        held: list[pa.Table] = []    # the rows of the piece at the end of what was read
+        last = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(t.num_rows for t in held) > 1:
+                yield links_of(pa.concat_tables(held))
+            held.clear()
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            k = np.stack([held.column(c).to_numpy() for c in ("key", "x", "y")])
-            cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-            for a, b in zip(np.concatenate([[0], cut[:-1]]), cut) if len(cut) else ():
-                if b - a > 1:
-                    yield pairs_of(held.slice(a, b - a))
-            if len(cut):
-                held = held.slice(cut[-1])
-        if held is not None and held.num_rows > 1:
-            yield pairs_of(held)
+            k = list(zip(*(t.column(c).to_pylist() for c in ("key", "x", "y"))))
+            a = 0
+            for b in range(1, len(k) + 1):
+                if b == len(k) or k[b] != k[a]:
+                    if k[a] != last:
+                        yield from done()
+                    held.append(t.slice(a, b - a))
+                    last, a = k[a], b
+        yield from done()
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct().checkpoint()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -278,8 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = part.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = (part.filter(F.col("bands").isNotNull() & (F.size("bands") > 0))
             .join(copies, ["d1", "d2"]).filter("id = rep")
-            .groupBy("rep").agg(F.min_by(F.struct("sig", "bands"), F.struct("d1", "d2")).alias("s"))
-            .select("rep", "s.sig", "s.bands").checkpoint())
+            .groupBy("rep").agg(F.min_by(F.struct("sig", "bands", "chars"), F.struct("d1", "d2")).alias("s"))
+            .select("rep", "s.sig", "s.bands", "s.chars").checkpoint())
     sig = reps.select("rep", "sig")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -292,8 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
     links = _verify(star, sig, texts, threshold, prefilter, shingle)
     classes = connected_components(links, "a", "b").checkpoint()
-    rest = _rest(buckets, sig, classes, centres, prefilter)
-    more = _verify(rest, sig, texts, threshold, prefilter, shingle, agreed=True)
+    more = _rest(buckets, reps, classes, texts, threshold, prefilter, shingle)
     if not more.isEmpty():
         classes = connected_components(
             classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")),

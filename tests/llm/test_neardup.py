@@ -89,7 +89,7 @@ def test_signature_estimates_similarity():
 
 
 def test_join_parts_tile_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "TILE_CHARS", 300)
     rows = corpus(9)
     got = dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), m=16, bands=16).collect())
     assert got == brute(rows)
