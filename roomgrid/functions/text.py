@@ -11,14 +11,24 @@ ID_PATTERN = r"([0-9a-fA-F\-]{8,})"
 CHANNEL_PREFIX = "whatsapp:"
 ANON = "anon"
 COMPOSE_SEPARATOR = " | "
-COMPOSE_CAP = 16000
+COMPOSE_CAP = 16000   # default of ``compose_listing_text(cap=...)``: the embedding model's limit
 COMPOSE_FIELDS = ["title", "description", "location", "property_type", "furnishing",
                   "utilities", "renovations"]
 
 
+# The characters that Python's ``str.isspace`` accepts, as one regex class (the
+# characters themselves, so that every engine reads the same class).
+SPACE = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: all leading/trailing whitespace, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: all leading/trailing Unicode whitespace."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def split_ws(c: Column) -> Column:
+    """Python ``str.split()`` of a stripped text."""
+    return F.split(strip_ws(c), f"{SPACE}+")
 
 
 def blank(c: Column) -> Column:
@@ -31,15 +41,24 @@ def nonempty(c: Column) -> Column:
 
 
 def num_str(c: Column) -> Column:
-    """Number as Python prints it for the values in the model (float -> '900.0')."""
-    return c.cast("string")
+    """A float as Python prints it: '900.0', '15000000.0', '1.5e+16', '5e-05'."""
+    d = c.cast("double")
+    raw, size = d.cast("string"), F.abs(d)
+    plain = F.regexp_replace(raw.cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.regexp_extract(raw, "E(-?\\d+)$", 1).cast("int")
+    exponent = F.concat(F.regexp_replace(F.regexp_replace(raw, "E.*$", ""), "\\.0$", ""),
+                        F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
+    return (F.when(F.isnan(d), "nan").when(size == float("inf"), F.when(d > 0, "inf").otherwise("-inf"))
+            .when((size >= 1e16) | ((size < 1e-4) & (size > 0)), exponent)
+            .when((size >= 1e7) | ((size < 1e-3) & (size > 0)), plain).otherwise(raw))
 
 
 def normalize_user_key(raw: Column) -> Column:
     """trim -> drop every channel prefix -> strip leading '+' -> add the channel prefix.
     An empty sender becomes the anonymous user (the reference's fallback, made reachable)."""
-    core = F.regexp_replace(F.replace(F.trim(raw), F.lit(CHANNEL_PREFIX), F.lit("")), r"^\++", "")
-    return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", F.lit(ANON)) \
+    core = F.regexp_replace(F.replace(strip_ws(raw), F.lit(CHANNEL_PREFIX), F.lit("")), r"^\++", "")
+    return F.when(blank(raw), F.lit(ANON)) \
         .otherwise(F.concat(F.lit(CHANNEL_PREFIX), core))
 
 
@@ -55,9 +74,9 @@ def tail_after(text: Column, token: Column) -> Column:
     return strip_ws(F.call_function("substr", text, start))
 
 
-def compose_listing_text(cols: dict[str, Column] | None = None) -> Column:
+def compose_listing_text(cols: dict[str, Column] | None = None, cap: int | None = COMPOSE_CAP) -> Column:
     """Embedding text of a listing: present fields in fixed order, then amenities, price
-    and size, joined by ' | ', capped at 16000 characters (code points)."""
+    and size, joined by ' | ', cut after ``cap`` characters (code points; None: never)."""
     c = cols or {}
 
     def col(n):
@@ -70,13 +89,9 @@ def compose_listing_text(cols: dict[str, Column] | None = None) -> Column:
     parts.append(F.when(price.isNotNull() & (price != 0), F.concat(F.lit("Price: "), num_str(price))))
     parts.append(F.when(size.isNotNull() & (size != 0),
                         F.concat(F.lit("Size: "), num_str(size), F.lit(" sqm"))))
-    return F.substring(F.concat_ws(COMPOSE_SEPARATOR, *parts), 1, COMPOSE_CAP)
+    text = F.concat_ws(COMPOSE_SEPARATOR, *parts)
+    return text if cap is None else F.substring(text, 1, cap)
 
 
 def first_token(c: Column) -> Column:
-    return F.element_at(F.split(strip_ws(c), r"\s+"), 1)
-
-
-def tokens(c: Column) -> Column:
-    """Lower-cased whitespace tokens (Python ``lower().split()``)."""
-    return F.filter(F.split(strip_ws(F.lower(c)), r"\s+"), lambda t: t != "")
+    return F.element_at(split_ws(c), 1)

@@ -24,50 +24,43 @@ def l2_normalise_expr(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), n))
 
 
-def stack_unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """Stack a sequence of float arrays into an (n, d) float64 matrix of unit rows.
-    Returns (matrix, valid) where zero-norm rows are marked invalid (similarity null)."""
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else \
-        np.zeros((0, 0))
-    if m.size == 0:
-        return m, np.zeros(len(vectors), dtype=bool)
+def usable(a: Column, dim: int) -> Column:
+    """A vector of the declared dimension without null or non-finite components."""
+    bad = F.exists(a, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.coalesce((F.size(a) == dim) & ~bad, F.lit(False))
+
+
+def unit_rows(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stack float arrays into an (n, dim) float64 matrix of unit rows.  Returns (matrix,
+    valid); zero rows are not valid (their similarity is null)."""
+    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64).reshape(len(vectors), dim)
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     valid = norms > 0
     m[valid] /= norms[valid][:, None]
-    m[~valid] = 0.0
     return m, valid
 
 
-def trim_topk(qidx: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int,
-              slack: float = 1e-6):
-    """Keep, per query index, the k best (sim desc) plus anything within ``slack`` of the
-    k-th best, so that a later exact ranking on rounded scores sees every candidate."""
-    if len(sims) == 0:
-        return qidx, ids, sims
-    order = np.lexsort((ids, -sims, qidx))
-    q, i, s = qidx[order], ids[order], sims[order]
-    _, start, count = np.unique(q, return_index=True, return_counts=True)
-    grp = np.repeat(np.arange(len(start)), count)
-    kth = start + np.minimum(count, k) - 1
-    cut = s[kth] - slack
-    keep = s >= cut[grp]
-    return q[keep], i[keep], s[keep]
-
-
-def block_scores(e_unit: np.ndarray, e_valid: np.ndarray, q_unit: np.ndarray,
-                 q_valid: np.ndarray, threshold: float, max_cells: int = 4_000_000):
-    """All (query, row) pairs with cosine > threshold, computed as unit-matrix products in
-    row chunks so that a chunk's score matrix stays under ``max_cells`` doubles."""
+def block_top(e: np.ndarray, e_valid: np.ndarray, q: np.ndarray, q_valid: np.ndarray, id_rank: np.ndarray,
+              threshold: float, k: int, max_cells: int = 2_000_000):
+    """(query row, candidate row, similarity) of the best ``k`` candidates above the threshold
+    for each query: by similarity rounded to six places, then by ``id_rank``.  Exactly k rows at
+    most, however many tie.  A chunk's score matrix has at most ``max_cells`` cells."""
     out_q, out_r, out_s = [], [], []
-    if e_unit.size == 0 or q_unit.size == 0:
+    step = max(1, max_cells // max(1, len(e)))
+    for lo in range(0, len(q), step):
+        sims = q[lo:lo + step] @ e.T
+        sims[:, ~e_valid] = -np.inf
+        sims[~q_valid[lo:lo + step]] = -np.inf
+        for i, row in enumerate(sims):
+            at = np.flatnonzero(row > threshold)
+            if len(at) > k:      # the k-th best rounded score, then every candidate at or above it
+                r = np.round(row[at], 6)
+                at = at[r >= np.partition(r, len(r) - k)[len(r) - k]]
+                r = np.round(row[at], 6)
+                at = at[np.lexsort((id_rank[at], -r))[:k]]
+            out_q.append(np.full(len(at), lo + i))
+            out_r.append(at)
+            out_s.append(row[at])
+    if not out_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    step = max(1, max_cells // max(1, q_unit.shape[0]))
-    for lo in range(0, e_unit.shape[0], step):
-        blk = e_unit[lo:lo + step] @ q_unit.T
-        blk[~e_valid[lo:lo + step], :] = -np.inf
-        blk[:, ~q_valid] = -np.inf
-        r, c = np.nonzero(blk > threshold)
-        out_r.append(r + lo)
-        out_q.append(c)
-        out_s.append(blk[r, c])
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)

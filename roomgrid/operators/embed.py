@@ -8,6 +8,7 @@ plugged in as an Arrow ``pandas_udf`` over the composed text (``model_udf``).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,39 +48,44 @@ def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFr
 
 
 def model_udf(fn, dim: int):
-    """Wrap a batch embedding function (list[str] -> list[list[float]]) as a pandas UDF."""
-    import pandas as pd
-
-    @F.pandas_udf(f"array<float>")
+    """Wrap a batch embedding function (list[str] -> list[list[float]]) as a pandas UDF; a
+    vector of another length than ``dim`` fails the row's task with a clear error."""
+    @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(fn(texts.fillna("").tolist())))
+        out = [list(map(float, v)) for v in fn(texts.fillna("").tolist())]
+        if any(len(v) != dim for v in out):
+            raise ValueError(f"the embedding function must return vectors of length {dim}")
+        return pd.Series(out, index=texts.index)
     return embed
 
 
 def ingest_split(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compose the text of every listing; rows without an id, with an empty text or
-    without a landlord are rejected with a reason instead of aborting the job."""
+    """Compose the text of every listing.  Rows without an id, and rows with an empty text
+    (which stands for a call of the embedding model that fails), are rejected with a reason
+    instead of aborting the job; a listing without a landlord is embedded like any other."""
     t = listings.withColumn("text", compose_listing_text())
     reason = (F.when(F.col("id").isNull(), F.lit("missing id"))
-              .when(F.col("text") == "", F.lit("empty text"))
-              .when(F.col("landlord_id").isNull(), F.lit("missing landlord")))
+              .when(F.col("text") == "", F.lit("empty text")))
     t = t.withColumn("reject_reason", reason)
     return t.filter(F.col("reject_reason").isNull()), t.filter(F.col("reject_reason").isNotNull())
 
 
-def ingest(listings: DataFrame, store: DataFrame, dim: int = HASH_DIM) -> DataFrame:
-    """Batch ingest: compose -> (re-)embed -> keyed upsert against the store
-    (listing_id, text_hash).  Only rows whose text hash changed are re-embedded."""
+def ingest(listings: DataFrame, store: DataFrame, now: Column, dim: int = HASH_DIM) -> DataFrame:
+    """Batch ingest: compose -> (re-)embed -> keyed upsert against the store (listing_id,
+    text_hash, embedding, updated_at).  Returns the whole store after the upsert, with
+    ``action``: insert, update, unchanged (same text: vector and time are kept), or kept
+    (not in the batch).  Only changed texts are embedded; one join meets the store."""
     good, _ = ingest_split(listings)
-    g = good.select(F.col("id").alias("listing_id"), "text",
-                    F.sha2(F.col("text"), 256).alias("text_hash"))
-    s = store.select("listing_id", F.col("text_hash").alias("_old"))
-    j = g.join(s, "listing_id", "left")
-    action = (F.when(F.col("_old").isNull() & ~F.col("_in_store"), F.lit("insert"))
-              .when(F.col("_old").isNull() | (F.col("_old") != F.col("text_hash")), F.lit("update"))
-              .otherwise(F.lit("unchanged")))
-    j = j.join(store.select("listing_id").withColumn("_in_store", F.lit(True)), "listing_id", "left") \
-        .withColumn("_in_store", F.coalesce("_in_store", F.lit(False))).withColumn("action", action)
-    todo = j.filter(F.col("action") != "unchanged")
-    emb = hashed_tf(todo, "listing_id", "text", dim)
-    return j.select("listing_id", "text_hash", "action").join(emb, "listing_id", "left")
+    g = good.select(F.col("id").alias("listing_id"), "text", F.sha2("text", 256).alias("_new"))
+    s = store.select("listing_id", F.col("text_hash").alias("_old"), F.col("embedding").alias("_vec"),
+                     F.col("updated_at").alias("_at"), F.lit(True).alias("_stored"))
+    j = g.join(s, "listing_id", "full_outer")
+    action = (F.when(F.col("_new").isNull(), "kept").when(F.col("_stored").isNull(), "insert")
+              .when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("update"))
+    j = j.withColumn("action", action)
+    changed = F.col("action").isin("insert", "update")
+    emb = hashed_tf(j.filter(changed), "listing_id", "text", dim).select("listing_id", F.col("embedding").alias("_made"))
+    j = j.join(emb, "listing_id", "left")
+    return j.select("listing_id", F.coalesce("_new", "_old").alias("text_hash"), "action",
+                    F.when(changed, F.col("_made")).otherwise(F.col("_vec")).alias("embedding"),
+                    F.when(changed, now).otherwise(F.col("_at")).alias("updated_at"))

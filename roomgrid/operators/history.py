@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomgrid.functions.text import ANON
 from roomgrid.operators.dialogue import critique
 
-TRACE_TASK = "rent_search_or_portfolio"
-STEP_TYPES = ["plan", "act", "critique", "decision"]
+TRACE_TASK = "answer a renter's message"   # default of ``build_traces(task=...)``
+TRACE_TOOL = "route_message"
+SUBSTEPS = ["read the message", "choose a route", "compose the reply"]
+TRADEOFF_STOP = "the reply stands; another round would only cost time"
+TRADEOFF_REVISE = "another round costs time but the reply does not help yet"
 
 
 def save_chats(rows: DataFrame) -> DataFrame:
@@ -50,35 +53,32 @@ def chat_history(recent: DataFrame) -> DataFrame:
                     F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
-def build_traces(chats: DataFrame) -> DataFrame:
-    """One trace per chat: deterministic id, epoch ms, session id, the four ordered steps
-    (plan, act, critique, decision) as an array of structs with JSON content, result."""
+def build_traces(chats: DataFrame, task: str = TRACE_TASK) -> DataFrame:
+    """One trace per chat: deterministic id, epoch ms, session id, task and goal, the four
+    ordered steps (plan, act, critique, decision) as an array of structs with JSON content, result.
+    The plan has its substeps, the act the tool and its arguments, the decision the tradeoff."""
     ok, decision, note = critique(F.col("bot_response"))
     msg = F.coalesce(F.col("user_message"), F.lit(""))
     reply = F.coalesce(F.col("bot_response"), F.lit(""))
+    excerpt = F.substring(msg, 1, 120)
+
+    def step(no: int, kind: str, content: list[Column], success: Column) -> Column:
+        return F.struct(F.lit(no).alias("step_no"), F.lit(kind).alias("step_type"),
+                        F.to_json(F.struct(*content)).alias("content"), success.alias("success"))
+
     steps = F.array(
-        F.struct(F.lit(1).alias("step_no"), F.lit("plan").alias("step_type"),
-                 F.to_json(F.struct(msg.alias("restated_goal"))).alias("content"),
-                 F.lit(True).alias("success")),
-        F.struct(F.lit(2).alias("step_no"), F.lit("act").alias("step_type"),
-                 F.to_json(F.struct(F.substring(msg, 1, 120).alias("message_excerpt"),
-                                    F.length(msg).alias("len"))).alias("content"),
-                 F.lit(True).alias("success")),
-        F.struct(F.lit(3).alias("step_no"), F.lit("critique").alias("step_type"),
-                 F.to_json(F.struct(F.substring(reply, 1, 200).alias("observation"),
-                                    ok.alias("meets_goal"), note.alias("note"))).alias("content"),
-                 ok.alias("success")),
-        F.struct(F.lit(4).alias("step_no"), F.lit("decision").alias("step_type"),
-                 F.to_json(F.struct(decision.alias("decision"))).alias("content"),
-                 F.lit(True).alias("success")),
-    )
+        step(1, "plan", [msg.alias("restated_goal"), F.array(*[F.lit(s) for s in SUBSTEPS]).alias("substeps")], F.lit(True)),
+        step(2, "act", [F.lit(TRACE_TOOL).alias("tool"), F.struct(excerpt.alias("message_excerpt"),
+                                                                  F.length(msg).alias("len")).alias("args")], F.lit(True)),
+        step(3, "critique", [F.substring(reply, 1, 200).alias("observation"), ok.alias("meets_goal"), note.alias("note")], ok),
+        step(4, "decision", [decision.alias("decision"),
+                             F.when(ok, F.lit(TRADEOFF_STOP)).otherwise(F.lit(TRADEOFF_REVISE)).alias("tradeoff")], F.lit(True)))
     ts_ms = F.unix_millis("created_at")
     return chats.select(
-        F.concat(F.lit("t-"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("trace_id"),
+        F.concat(F.lit("t-"), F.sha2(F.col("id").cast("string"), 256)).alias("trace_id"),
         F.col("id").alias("chat_id"), "user_id", ts_ms.alias("ts_ms"),
         F.concat(F.col("user_id"), F.lit("-"), F.floor(ts_ms / 1000).cast("string")).alias("session_id"),
-        F.lit(TRACE_TASK).alias("task"),
-        F.substring(msg, 1, 120).alias("message_excerpt"), F.length(msg).alias("msg_len"),
+        F.lit(task).alias("task"), excerpt.alias("goal"), F.length(msg).cast("long").alias("msg_len"),
         ok.alias("meets_goal"), decision.alias("decision"),
         F.substring(reply, 1, 200).alias("reply_preview"), steps.alias("steps"))
 

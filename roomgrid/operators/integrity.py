@@ -37,14 +37,65 @@ def duplicates(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
                     F.col("n"))
 
 
-def orphans(child: DataFrame, child_table: str, fk: str, parent: DataFrame, pk: str = "id",
-            key: str = "id") -> DataFrame:
-    """Child rows whose non-null FK has no parent (left anti join; AQE splits a hot key)."""
-    p = parent.select(F.col(pk).cast("string").alias("_pk"))
-    c = child.filter(F.col(fk).isNotNull()).withColumn("_fk", F.col(fk).cast("string"))
-    o = c.join(p, c["_fk"] == p["_pk"], "left_anti")
-    return o.select(F.lit(child_table).alias("child_table"), F.lit(fk).alias("fk_column"),
-                    F.col(key).cast("string").alias("child_key"))
+def references(tables: dict[str, DataFrame], keys: dict[str, str], foreign_keys) -> DataFrame:
+    """Every non-null foreign key value as a row (child_table, fk_column, child_key, parent,
+    value): one scan of each child table, however many foreign keys it has."""
+    parts = []
+    for child in dict.fromkeys(f[0] for f in foreign_keys):
+        own = [F.struct(F.lit(c).alias("fk_column"), F.lit(p).alias("parent"), F.col(c).cast("string").alias("value"))
+               for t, c, p, _ in foreign_keys if t == child]
+        parts.append(tables[child].select(F.lit(child).alias("child_table"), F.col(keys[child]).cast("string").alias("child_key"),
+                                          F.explode(F.array(*own)).alias("f"))
+                     .select("child_table", "f.fk_column", "child_key", "f.parent", "f.value"))
+    return reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
+
+
+def orphans(tables: dict[str, DataFrame], keys: dict[str, str], foreign_keys) -> DataFrame:
+    """Child rows whose non-null foreign key has no parent, for all declared foreign keys: one
+    scan of each table and one anti join on (parent, key), which AQE splits for a hot key."""
+    parents = reduce(DataFrame.unionByName, [
+        tables[p].select(F.lit(p).alias("parent"), F.col(keys[p]).cast("string").alias("value"))
+        for p in dict.fromkeys(f[2] for f in foreign_keys)])
+    return references(tables, keys, foreign_keys).join(parents, ["parent", "value"], "left_anti") \
+        .select("child_table", "fk_column", "child_key")
+
+
+def delete(tables: dict[str, DataFrame], keys: dict[str, str], foreign_keys, roots: dict[str, DataFrame]
+           ) -> dict[str, DataFrame]:
+    """The tables after deleting the rows whose keys are in ``roots`` (table -> one column
+    ``key``), with ON DELETE CASCADE and SET NULL along the declared foreign keys.  Tables are
+    visited parents first; a child's cascade keys are marked by left joins and the row goes
+    when any of them is deleted."""
+    gone: dict[str, DataFrame] = {}
+    left: dict[str, DataFrame] = {}
+    order: list[str] = []
+
+    def visit(t: str) -> None:
+        if t not in order:
+            for child, _, parent, _ in foreign_keys:
+                if child == t:
+                    visit(parent)
+            order.append(t)
+
+    for t in tables:
+        visit(t)
+    for t in order:
+        df = tables[t].withColumn("_gone", F.lit(False))
+        if t in roots:
+            k = roots[t].select(F.col("key").cast("string").alias("_k"), F.lit(True).alias("_hit")).distinct()
+            df = df.join(k, df[keys[t]].cast("string") == k["_k"], "left") \
+                .withColumn("_gone", F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
+        for child, column, parent, action in foreign_keys:
+            if child != t:
+                continue
+            k = gone[parent].select(F.col("key").alias("_k"), F.lit(True).alias("_hit"))
+            df = df.join(k, df[column].cast("string") == k["_k"], "left")
+            hit = F.coalesce("_hit", F.lit(False))
+            df = (df.withColumn("_gone", F.col("_gone") | hit) if action == "cascade"
+                  else df.withColumn(column, F.when(~hit, F.col(column)))).drop("_k", "_hit")
+        gone[t] = df.filter("_gone").select(F.col(keys[t]).cast("string").alias("key")).distinct()
+        left[t] = df.filter("NOT _gone").drop("_gone")
+    return left
 
 
 def vector_dims(emb: DataFrame, expected: int, col: str = "embedding") -> DataFrame:
@@ -52,12 +103,6 @@ def vector_dims(emb: DataFrame, expected: int, col: str = "embedding") -> DataFr
             .withColumn("ok", F.col("dim") == F.lit(expected)))
 
 
-def semi(child: DataFrame, fk: str, keys: DataFrame, anti: bool = False) -> DataFrame:
-    k = keys.select(F.col("id").cast("string").alias("_k")).distinct()
-    c = child.withColumn("_fk", F.col(fk).cast("string"))
-    return c.join(k, c["_fk"] == k["_k"], "left_anti" if anti else "left_semi").drop("_fk")
-
-
 def set_null(child: DataFrame, fk: str, deleted: DataFrame) -> DataFrame:
     """ON DELETE SET NULL: the FK of children of deleted parents becomes null."""
     k = deleted.select(F.col("id").cast("string").alias("_k"), F.lit(True).alias("_hit")).distinct()
@@ -97,10 +142,11 @@ def secure(df: DataFrame, table: str, command: str = "SELECT") -> DataFrame:
 
 
 def policy_matrix(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    rows = []
-    for name, df in tables.items():
-        for cmd in COMMANDS:
-            vis = secure(df, name, cmd).agg(F.count(F.lit(1)).alias("visible_rows"))
-            rows.append(vis.select(F.lit(name).alias("table_name"), F.lit(cmd).alias("command"),
-                                   F.lit(policy_allows(name, cmd)).alias("allowed"), "visible_rows"))
-    return reduce(DataFrame.unionByName, rows)
+    """Rows a caller may see, by table and command: each table is counted once and meets the
+    policy table (one row for each table and command)."""
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
+    rules = spark.createDataFrame([(t, c, policy_allows(t, c)) for t in tables for c in COMMANDS],
+                                  "table_name string, command string, allowed boolean")
+    return rules.join(counts, "table_name").select(
+        "table_name", "command", "allowed", F.when(F.col("allowed"), F.col("n")).otherwise(F.lit(0)).alias("visible_rows"))

@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomgrid.functions.text import blank, strip_ws
+from roomgrid.functions.text import blank, split_ws
 from roomgrid.operators import textmodel as nb
-from roomgrid.session import spread
 
 # The reference's Sheng keyword list, in its order.  Membership is tested
 # against lower-cased whitespace tokens, so the entry with a capital and a space can
@@ -24,7 +23,7 @@ GRAM = 3
 
 def keyword_stage(text: Column, strip_punct: bool = False) -> Column:
     """'other' for blank text, 'sheng' when a whitespace token is a keyword, else null."""
-    toks = F.split(F.lower(strip_ws(text)), r"\s+")
+    toks = split_ws(F.lower(text))
     if strip_punct:
         toks = F.transform(toks, lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", ""))
     hit = F.arrays_overlap(toks, F.array(*[F.lit(k) for k in SHENG_KEYWORDS]))
@@ -40,10 +39,9 @@ def map_code(code: Column) -> Column:
 
 
 def train_profile(labelled: DataFrame, text: str = "text", lang: str = "lang",
-                  n: int = GRAM) -> nb.NBModel:
-    docs = spread(labelled.filter(F.col(lang).isNotNull())) \
-        .withColumn("_chars", nb.char_array(F.col(text)))
-    return nb.fit(docs, nb.char_grams(F.col("_chars"), n), F.col(lang))
+                  n: int = GRAM, path: str | None = None) -> nb.NBModel:
+    """Gram counts per language over the letters of labelled texts, saved at ``path``."""
+    return nb.fit(labelled, nb.char_grams(nb.letter_text(F.col(text)), n), F.col(lang), path)
 
 
 def profile_table(model: nb.NBModel) -> DataFrame:
@@ -58,14 +56,12 @@ def profile_table(model: nb.NBModel) -> DataFrame:
 
 def detect(model: nb.NBModel, df: DataFrame, key: str, text: str = "text",
            n: int = GRAM) -> DataFrame:
-    """-> df + lang: keyword stage first; otherwise the n-gram model's best language."""
-    kw = df.select(key, keyword_stage(F.col(text)).alias("kw"), F.col(text))
-    todo = spread(kw.filter(F.col("kw").isNull()), key) \
-        .withColumn("_chars", nb.char_array(F.col(text)))
-    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_chars"), n),
-                      nb.n_char_grams(F.col("_chars"), n)) \
+    """-> df + lang: keyword stage first; otherwise the n-gram model's best language; a text
+    without any letter has no feature and is 'other'."""
+    kw = df.select(key, keyword_stage(F.col(text)).alias("kw"), nb.letter_text(F.col(text)).alias("_letters"))
+    todo = kw.filter(F.col("kw").isNull() & (F.col("_letters") != ""))
+    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_letters"), n),
+                      nb.n_char_grams(F.col("_letters"), n)) \
         .select(key, F.col("label").alias("code"))
-    out = kw.join(pred, key, "left").select(
-        key, F.when(F.col("kw").isNotNull(), F.col("kw")).otherwise(map_code(F.col("code")))
-        .alias("lang"))
-    return df.join(out, key, "left")
+    return df.join(pred, key, "left").withColumn(
+        "lang", F.coalesce(keyword_stage(F.col(text)), map_code(F.col("code")))).drop("code")

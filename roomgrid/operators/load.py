@@ -16,8 +16,8 @@ from roomgrid.sources.files import read_labelled_text, read_nested_records  # no
 
 
 def hashed_id(prefix: str, key: Column) -> Column:
-    """Deterministic id for a new row: prefix + first 16 hex chars of sha256(key)."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(key.cast("string"), 256), 1, 16))
+    """Deterministic id for a new row: prefix + sha256(key)."""
+    return F.concat(F.lit(prefix), F.sha2(key.cast("string"), 256))
 
 
 def split_nested(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,6 +55,13 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, key: str, order_col:
         new.select(*cols).withColumn("is_new", F.lit(True)))
 
 
+def first_per_key(table: DataFrame, key: str, order: list[str], value: str = "id") -> DataFrame:
+    """(key, value) of the first row of each key: what a lookup by a key that is not unique
+    finds, so that a join with it keeps every looked-up row once."""
+    return (table.filter(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.min_by(value, F.struct(*order)).alias(value)))
+
+
 # ---- keyed upsert ---------------------------------------------------------------------
 def upsert_users(users: DataFrame, incoming_keys: DataFrame) -> DataFrame:
     """Merge on phone_number: existing ids/attributes kept, new keys get hashed ids."""
@@ -76,10 +83,11 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame, key: str, order_col:
 
 
 # ---- conform -------------------------------------------------------------------------
-def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | None = None
-            ) -> tuple[DataFrame, DataFrame]:
-    """Cast every declared column with try_cast (missing -> null), apply defaults, and
-    split rows whose non-null input failed to cast into a reject frame."""
+def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | None = None,
+            not_null: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cast every declared column with try_cast (missing -> null), apply defaults, and split
+    off the rows whose non-null input failed to cast or that lack a ``not_null`` column, with
+    the reasons.  Both frames are outputs."""
     defaults = defaults or {}
     present = set(df.columns)
     outs, fails = [], []
@@ -88,11 +96,13 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] | N
             src = F.col(f.name)
             casted = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") \
                 if f.dataType.simpleString() != "string" else src.cast("string")
-            fails.append(F.when(src.isNotNull() & casted.isNull(), F.lit(f.name)))
+            fails.append(F.when(src.isNotNull() & casted.isNull(), F.lit(f"type:{f.name}")))
         else:
             casted = F.lit(None).cast(f.dataType)
         if f.name in defaults:
             casted = F.coalesce(casted, defaults[f.name])
+        if f.name in (not_null or []):
+            fails.append(F.when(casted.isNull(), F.lit(f"null:{f.name}")))
         outs.append(casted.alias(f.name))
     failed = F.concat_ws(",", *fails) if fails else F.lit("")
     t = df.select(*outs, failed.alias("_failed"))

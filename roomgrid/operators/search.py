@@ -7,102 +7,35 @@ Semantics of the search function in the reference DDL, per query vector:
 Set-at-a-time design:
 * embeddings are first semi-joined to listings (keys only) so orphan vectors never take
   a top-k slot, then scored, then the few surviving rows are joined for attributes;
-* scoring is a numpy matrix product per Arrow batch inside ``mapInPandas`` with the
-  query matrix broadcast, and each task emits only its own top-k per query
-  (map-side partial top-k), so the shuffle before the final ranking is
-  ``#tasks x #queries x k`` rows regardless of the embedding table size;
-* the query matrix is broadcast only when its measured size is under
-  ``max_broadcast_bytes``; beyond that both sides are split into hash blocks and joined
-  on the block pair (the replication scheme of distributed block matrix products), so
-  no task ever holds more than one block of each side;
+* vectors that are null, of another dimension, or hold null or non-finite components are
+  quarantined (``vector_rejects``), never scored;
+* queries and embeddings are dealt into blocks of ``BLOCK_BYTES`` by a hash of their ids and
+  every pair of blocks is one group (the replication scheme of distributed block matrix
+  products), so no task holds more than one block of each side and nothing goes through the
+  driver; a group returns at most k rows for each query, ties included;
+* ids may be of any orderable type;
 * ranking is deterministic: similarity rounded to 6 places desc, then listing id asc.
   The threshold is applied to the unrounded value.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomgrid.functions.vectors import (block_scores, cosine_expr, stack_unit_rows,
-                                        trim_topk)
-
-SCORE_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("sim", T.DoubleType()),
-])
+from roomgrid.functions.vectors import block_top, cosine_expr, unit_rows, usable
 
 # The reference's caller defaults.
 DEFAULT_THRESHOLD = 0.5
 DEFAULT_K = 5
+BLOCK_BYTES = 16 << 20
 
 
-def _scores_frame(q_ids, r_ids, sims) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": np.asarray(q_ids, dtype=np.int64),
-                         "id": np.asarray(r_ids, dtype=np.int64),
-                         "sim": np.asarray(sims, dtype=np.float64)})
-
-
-def _broadcast_scan(emb: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
-    spark = emb.sparkSession
-    qpdf = queries.select("query_id", "embedding").toPandas()  # size checked by caller
-    q_unit, q_valid = stack_unit_rows(list(qpdf["embedding"]))
-    bc = spark.sparkContext.broadcast((qpdf["query_id"].to_numpy(np.int64), q_unit, q_valid))
-
-    def scan(batches):
-        q_ids, qu, qv = bc.value
-        acc_q, acc_i, acc_s = [], [], []
-        held = 0
-        for pdf in batches:
-            if pdf.empty or qu.size == 0:
-                continue
-            e_unit, e_valid = stack_unit_rows(list(pdf["embedding"]))
-            qi, ri, s = block_scores(e_unit, e_valid, qu, qv, threshold)
-            ids = pdf["id"].to_numpy(np.int64)[ri]
-            qi, ids, s = trim_topk(qi, ids, s, k)
-            acc_q.append(qi); acc_i.append(ids); acc_s.append(s)
-            held += len(s)
-            if held > 8 * k * len(q_ids) + 100_000:  # bound task memory
-                qi, ids, s = trim_topk(np.concatenate(acc_q), np.concatenate(acc_i),
-                                       np.concatenate(acc_s), k)
-                acc_q, acc_i, acc_s, held = [qi], [ids], [s], len(s)
-        if acc_s:
-            qi, ids, s = trim_topk(np.concatenate(acc_q), np.concatenate(acc_i),
-                                   np.concatenate(acc_s), k)
-            yield _scores_frame(q_ids[qi], ids, s)
-
-    return emb.select("id", "embedding").mapInPandas(scan, SCORE_SCHEMA)
-
-
-def _blocked_scan(emb: DataFrame, queries: DataFrame, threshold: float, k: int,
-                  n_q: int, n_e: int, q_block_rows: int, e_block_rows: int) -> DataFrame:
-    qb = max(1, math.ceil(n_q / q_block_rows))
-    eb = max(1, math.ceil(n_e / e_block_rows))
-    q = (queries.select("query_id", "embedding")
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
-         .withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(eb - 1)).cast("array<bigint>"))))
-    e = (emb.select("id", "embedding")
-         .withColumn("eb", F.pmod(F.xxhash64("id"), F.lit(eb)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<bigint>"))))
-
-    def block(epdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if epdf.empty or qpdf.empty:
-            return _scores_frame([], [], [])
-        e_unit, e_valid = stack_unit_rows(list(epdf["embedding"]))
-        q_unit, q_valid = stack_unit_rows(list(qpdf["embedding"]))
-        qi, ri, s = block_scores(e_unit, e_valid, q_unit, q_valid, threshold)
-        ids = epdf["id"].to_numpy(np.int64)[ri]
-        qi, ids, s = trim_topk(qi, ids, s, k)
-        return _scores_frame(qpdf["query_id"].to_numpy(np.int64)[qi], ids, s)
-
-    return (e.groupBy("qb", "eb").cogroup(q.groupBy("qb", "eb"))
-            .applyInPandas(block, SCORE_SCHEMA))
+def block_count(rows: int, dim: int, block_bytes: int) -> int:
+    return max(1, -(-rows * dim * 8 // block_bytes))
 
 
 def rank_topk(scores: DataFrame, k: int, part: str = "query_id") -> DataFrame:
@@ -115,41 +48,58 @@ def rank_topk(scores: DataFrame, k: int, part: str = "query_id") -> DataFrame:
 
 
 def knn(emb: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-        k: int = DEFAULT_K, method: str = "auto",
-        max_broadcast_bytes: int = 256 << 20,
-        q_block_rows: int = 20_000, e_block_rows: int = 200_000) -> DataFrame:
+        k: int = DEFAULT_K, dim: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact top-k per query.
 
-    ``emb``: (id bigint, embedding array<float>); ``queries``: (query_id bigint,
-    embedding array<float>).  Returns (query_id, id, similarity, rank).
+    ``emb``: (id, embedding array<float>); ``queries``: (query_id, embedding array<float>);
+    ids of any orderable type.  ``dim`` is the declared dimension (default: the longest query);
+    other vectors take no part.  Returns (query_id, id, similarity, rank).
     """
-    if method not in ("auto", "broadcast", "blocked"):
-        raise ValueError(method)
-    n_q = queries.count()
-    if method == "auto":
-        dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
-        method = "broadcast" if n_q * max(dim, 1) * 8 <= max_broadcast_bytes else "blocked"
-    if method == "broadcast":
-        try:
-            scores = _broadcast_scan(emb, queries, threshold, k)
-        except Exception:  # no broadcast variables on this client: block-join instead
-            scores = _blocked_scan(emb, queries, threshold, k, n_q, emb.count(),
-                                   q_block_rows, e_block_rows)
-    else:
-        scores = _blocked_scan(emb, queries, threshold, k, n_q, emb.count(),
-                               q_block_rows, e_block_rows)
+    if dim is None:
+        dim = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    emb = emb.filter(F.col("id").isNotNull() & usable(F.col("embedding"), dim)).select("id", "embedding")
+    queries = queries.filter(usable(F.col("embedding"), dim)).select("query_id", "embedding")
+    # a count, not the rows: the sides stay where they are
+    n_q, n_e = queries.count(), emb.count()
+    qb, eb = block_count(n_q, dim, block_bytes), block_count(n_e, dim, block_bytes)
+
+    def dealt(df: DataFrame, key: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
+        return (df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))))
+
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("id", emb.schema["id"].dataType), T.StructField("sim", T.DoubleType())])
+
+    def block(epdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        ids, q_ids = epdf["id"], qpdf["query_id"]
+        if len(ids) and len(q_ids):
+            e, ev = unit_rows(epdf["embedding"].tolist(), dim)
+            q, qv = unit_rows(qpdf["embedding"].tolist(), dim)
+            qi, ri, s = block_top(e, ev, q, qv, ids.rank(method="first").to_numpy(), threshold, k)
+        else:
+            qi, ri, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return pd.DataFrame({"query_id": q_ids.iloc[qi].array, "id": ids.iloc[ri].array, "sim": s})
+
+    scores = (dealt(emb, "id", "eb", eb, "qb", qb).groupBy("qb", "eb")
+              .cogroup(dealt(queries, "query_id", "qb", qb, "eb", eb).groupBy("qb", "eb"))
+              .applyInPandas(block, schema))
     return rank_topk(scores, k)
 
 
-def searchable(embeddings: DataFrame, listings: DataFrame, dim: int | None = None) -> DataFrame:
+def searchable(embeddings: DataFrame, listings: DataFrame) -> DataFrame:
     """Embeddings that join a listing (keys only, so the semi join shuffles ids, not
-    listing rows), optionally with the declared dimension enforced."""
+    listing rows)."""
     e = embeddings.select(F.col("listing_id").alias("id"), "embedding")
-    if dim is not None:
-        e = e.filter(F.size("embedding") == dim)
     return e.join(listings.select("id"), "id", "left_semi")
 
 
+def vector_rejects(embeddings: DataFrame, dim: int, key: str = "listing_id") -> DataFrame:
+    """The vectors that no search uses, with the reason."""
+    v = F.col("embedding")
+    reason = (F.when(v.isNull(), "missing vector").when(F.size(v) != dim, "wrong dimension").otherwise("bad component"))
+    return embeddings.filter(~usable(v, dim)).select(key, reason.alias("reject_reason"))
+
+
 def match_listings(embeddings: DataFrame, listings: DataFrame, queries: DataFrame,
                    threshold: float = DEFAULT_THRESHOLD, k: int = DEFAULT_K,
                    columns: list[str] | None = None, **kw) -> DataFrame:
@@ -163,52 +113,46 @@ def match_listings(embeddings: DataFrame, listings: DataFrame, queries: DataFram
 def knn_single_native(emb: DataFrame, query_vector: list[float], threshold: float,
                       k: int) -> DataFrame:
     """One query, fully JVM side: the query vector is a literal array, similarity is a
-    higher-order-function expression, and the global top-k is a TakeOrderedAndProject."""
+    higher-order-function expression, and the global top-k is a TakeOrderedAndProject.  The
+    threshold is applied to the k rows (a filter below would score every vector twice)."""
     q = F.array(*[F.lit(float(x)) for x in query_vector])
-    sim = cosine_expr(F.col("embedding"), q)
-    scored = emb.select("id", sim.alias("sim")).filter(F.col("sim") > F.lit(threshold))
-    top = scored.withColumn("similarity", F.round("sim", 6)).drop("sim") \
-        .orderBy(F.col("similarity").desc(), F.col("id").asc()).limit(k)
-    return top
-
-
-def centroid(emb: DataFrame) -> DataFrame:
-    """Mean vector of an embedding table as a one-row DataFrame (partial aggregation per
-    dimension; the result size is the dimension, not the row count)."""
-    per_dim = (emb.select(F.posexplode("embedding").alias("pos", "x"))
-               .groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return per_dim.agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s")) \
-        .select(F.transform("s", lambda t: t["m"]).alias("embedding"))
-
-
-def lsh_candidates(emb: DataFrame, queries: DataFrame, threshold: float, k: int,
-                   bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate path: random-projection LSH join on unit vectors (cosine > t is
-    euclidean distance < sqrt(2(1-t)) there), then an exact re-score and top-k.
-    Recall < 1 by design; exact paths are ``knn``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from roomgrid.functions.vectors import l2_normalise_expr
-
-    def unit(df, idc):
-        return df.select(F.col(idc).alias("key"), F.col("embedding"),
-                         array_to_vector(l2_normalise_expr(F.col("embedding"))).alias("v")) \
-                 .filter(F.col("v").isNotNull())
-
-    e, q = unit(emb, "id"), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(e)
-    radius = math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
-    pairs = model.approxSimilarityJoin(q, e, radius, distCol="d")
-    scored = pairs.select(F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").alias("id"),
-                          cosine_expr(F.col("datasetA.embedding"),
-                                      F.col("datasetB.embedding")).alias("sim"))
+    emb = emb.filter(usable(F.col("embedding"), len(query_vector)))
+    scored = emb.select("id", cosine_expr(F.col("embedding"), q).alias("sim"))
+    top = scored.orderBy(F.round("sim", 6).desc_nulls_last(), F.col("id").asc()).limit(k)
+    return top.filter(F.col("sim") > F.lit(threshold)).select("id", F.round("sim", 6).alias("similarity"))
+
+
+def centroids(emb: DataFrame, by: str | None = None, out: str = "query_id") -> DataFrame:
+    """Mean vector per group (or of all): one summarizer aggregate with partial sums."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    rows = emb.select(*([F.col(by).alias(out)] if by else []),
+                      array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    mean = vector_to_array(Summarizer.mean(F.col("v"))).alias("embedding")
+    return (rows.groupBy(out) if by else rows.groupBy()).agg(mean)
+
+
+def lsh_candidates(emb: DataFrame, queries: DataFrame, threshold: float, k: int, dim: int,
+                   tables: int = 32, bits: int = 4, seed: int = 7) -> DataFrame:
+    """Approximate path: each of ``tables`` keys is the side of ``bits`` random hyperplanes a
+    vector lies on; vectors that share a key with a query are scored exactly and ranked.
+    Recall < 1 by design (a pair at angle a shares a key with probability
+    1 - (1 - (1 - a / pi) ** bits) ** tables); exact paths are ``knn``."""
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
+
+    @F.pandas_udf("array<int>")
+    def keys(v: pd.Series) -> pd.Series:
+        m = np.array(v.tolist(), dtype=np.float64).reshape(len(v), dim)
+        side = (m @ planes.T > 0).reshape(len(v), tables, bits)
+        return pd.Series(list((side @ (1 << np.arange(bits))).astype(np.int32) + (np.arange(tables) << bits)))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.filter(usable(F.col("embedding"), dim)).withColumn("_key", F.explode(keys("embedding")))
+
+    e = keyed(emb.select("id", "embedding")).select("_key", "id")
+    q = keyed(queries.select("query_id", "embedding")).select("_key", "query_id")
+    pairs = e.join(q, "_key").select("query_id", "id").distinct()
+    scored = (pairs.join(emb.select("id", F.col("embedding").alias("_e")), "id")
+              .join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+              .select("query_id", "id", cosine_expr(F.col("_e"), F.col("_q")).alias("sim")))
     return rank_topk(scored.filter(F.col("sim") > F.lit(threshold)), k)
-
-
-def attach(hits: DataFrame, listings: DataFrame, cols: list[str]) -> DataFrame:
-    return hits.join(listings.select("id", *cols), "id", "inner")
-
-
-def similarity_column(a: Column, b: Column) -> Column:
-    return cosine_expr(a, b)

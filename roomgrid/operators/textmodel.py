@@ -5,11 +5,14 @@ Used for language identification (character n-grams) and intent classification
 token counts tf(g) is
 
     ln P(c) + sum_g tf(g) * ln((n_cg + 1) / (T_c + V))
-  = ln P(c) - N_doc * ln(T_c + V) + sum_{g seen in c} tf(g) * ln(n_cg + 1)
+  = ln P(c) - N_doc * ln(T_c + V) + sum_{g seen in training} tf(g) * ln(n_cg + 1)
 
 (n_cg: count of g in class c, T_c: total tokens of c, V: vocabulary size, N_doc: tokens
-in the document).  Only grams seen in training contribute a join row; the constant part
-is applied per class from a small class table (one entry per label; its size is checked).
+in the document).  A trained model is three parquet tables below one folder: the counts,
+one row of class weights per token, and the classes.  Scoring joins every token occurrence
+to its weight row once and sums the classes in one aggregate per document; as the weights
+are read from files, Spark knows their size and broadcasts them only while they are under
+``spark.sql.autoBroadcastJoinThreshold``, else it shuffles and AQE splits hot tokens.
 """
 
 from __future__ import annotations
@@ -17,35 +20,26 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomgrid.session import spread
+from roomgrid.session import scratch_path
 
-# whitespace class spelled out so Java, RE2 and Python agree on it
-WS = r"[ \t\n\r\f\x0B]+"
-MAX_CLASSES = 10_000  # class constants travel as literals; bounded by this check
-MAX_BROADCAST_COUNTS = 5_000_000  # (token, class) rows above which scoring shuffles by token
 
+def letter_text(text: Column) -> Column:
+    """Lower-cased letters, every other run as one space, with a space at both ends; '' for
+    a text without letters.  So a text of one letter still has a trigram."""
+    t = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" "), t, F.lit(" ")))
 
-def char_array(text: Column) -> Column:
-    """Characters of the lower-cased text with whitespace runs folded to one space."""
-    return F.split(F.regexp_replace(F.lower(text), WS, " "), "")
 
+def char_grams(text: Column, n: int) -> Column:
+    """All overlapping character n-grams of a text, in one pass of the regex engine."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
-def char_grams(chars: Column, n: int) -> Column:
-    """All character n-grams from a character array: n shifted slices of the array are
-    zipped element-wise.  Lambdas only see their own arguments, so nothing is recomputed
-    per element even when Catalyst inlines ``chars`` (O(n * length) per row)."""
-    m = F.size(chars) - n + 1
-    grams = F.slice(chars, 1, m)
-    for j in range(1, n):
-        grams = F.zip_with(grams, F.slice(chars, j + 1, m), lambda a, b: F.concat(a, b))
-    return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-
-def n_char_grams(chars: Column, n: int) -> Column:
-    return F.greatest(F.size(chars) - n + 1, F.lit(0))
+def n_char_grams(text: Column, n: int) -> Column:
+    return F.greatest(F.length(text) - n + 1, F.lit(0))
 
 
 def word_tokens(text: Column) -> Column:
@@ -54,75 +48,78 @@ def word_tokens(text: Column) -> Column:
 
 @dataclass
 class NBModel:
+    path: str
     counts: DataFrame        # (label, token, n)
-    classes: list[tuple]     # [(label, n_docs, total_tokens)]
+    weights: DataFrame       # (token, w): ln(n + 1) by class, in the order of ``classes``
+    classes: list[tuple]     # [(label, n_docs, total_tokens)], one entry for each class
     vocab: int
 
     def class_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.classes, "label string, n_docs long, total long")
 
 
-def fit(docs: DataFrame, tokens: Column, label: Column) -> NBModel:
-    """docs -> token counts per label (partial aggregation before the shuffle, so a
-    frequent token or a dominant label does not load one task).  ``explode_outer`` +
+def load(spark: SparkSession, path: str) -> NBModel:
+    """A model that ``fit`` saved."""
+    classes = spark.read.schema("label string, n_docs long, total long, vocab long").parquet(f"{path}/classes")
+    rows = sorted((r["label"], r["n_docs"], r["total"], r["vocab"]) for r in classes.collect())
+    return NBModel(path, spark.read.schema("label string, token string, n long").parquet(f"{path}/counts"),
+                   spark.read.schema("token string, w array<double>").parquet(f"{path}/weights"),
+                   [r[:3] for r in rows], rows[0][3] if rows else 0)
+
+
+def fit(docs: DataFrame, tokens: Column, label: Column, path: str | None = None) -> NBModel:
+    """docs -> a saved model (below the shared scratch folder unless ``path`` is given).
+    Counts have partial aggregation before the shuffle, so a frequent token or a dominant
+    label does not load one task.  Rows without a label take no part.  ``explode_outer`` +
     a null filter is used instead of ``explode``: for ``explode`` the optimizer infers a
-    ``size(tokens) > 0`` filter and pushes it below any repartition, which would build
-    every token array once more before the work is spread.  The count table is
-    persisted (recomputable from lineage) because the class totals and the vocabulary
-    size are read from it; the tokens of the corpus are produced once."""
-    docs = spread(docs)
+    ``size(tokens) > 0`` filter and builds every token array once more for it."""
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "nb-model")
+    docs = docs.filter(label.isNotNull())
     t = docs.select(label.cast("string").alias("label"), tokens.alias("toks"))
-    counts = (t.select("label", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
-              .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))).persist()
+    (t.select("label", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
+     .groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts"))
+    counts = spark.read.schema("label string, token string, n long").parquet(f"{path}/counts")
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     ndocs = docs.groupBy(label.cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
-    cls = ndocs.join(totals, "label", "left")
-    rows = cls.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for a naive Bayes class table")
-    classes = [(r["label"], int(r["n_docs"]), int(r["total"] or 0)) for r in rows]
+    rows = ndocs.join(totals, "label", "left").collect()          # one row for each class
+    classes = sorted((r["label"], int(r["n_docs"]), int(r["total"] or 0)) for r in rows)
     vocab = counts.select("token").distinct().count()
-    return NBModel(counts, sorted(classes), vocab)
+    (spark.createDataFrame([(*c, vocab) for c in classes], "label string, n_docs long, total long, vocab long")
+     .coalesce(1).write.parquet(f"{path}/classes"))
+    order = F.array(*[F.lit(c[0]) for c in classes]).cast("array<string>")
+    (counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
+     .select("token", F.transform(order, lambda c: F.log(F.coalesce(F.col("m")[c], F.lit(0)) + F.lit(1.0))).alias("w"))
+     .write.parquet(f"{path}/weights"))
+    return load(spark, path)
 
 
 def predict(model: NBModel, docs: DataFrame, key: str, tokens: Column,
             n_tokens: Column | None = None) -> DataFrame:
-    """-> (key, label, score) for the best class (score desc, label asc on ties).
+    """-> (key, label, score, posterior) for the best class (score desc, label asc on ties).
     ``n_tokens`` (tokens per document) may be given as a cheap expression so that the
-    token arrays are built only once, for the term-frequency aggregation."""
+    token arrays are built only once.  Without any class nothing is predicted."""
     total_docs = sum(c[1] for c in model.classes)
     labels = [c[0] for c in model.classes]
-    prior = [math.log(c[1] / total_docs) for c in model.classes]
-    denom = [math.log(c[2] + model.vocab) for c in model.classes]
-
-    docs = spread(docs, key)
-    d = docs.select(F.col(key), tokens.alias("toks"))
-    occ = d.select(key, F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
-    if model.vocab * len(labels) <= MAX_BROADCAST_COUNTS:
-        # model table of checked size: broadcast it and score every token occurrence
-        # map-side; the partial (doc, label) sums are the only shuffle
-        part = (occ.join(F.broadcast(model.counts), "token")
-                .groupBy(key, "label").agg(F.sum(F.log(F.col("n") + F.lit(1.0))).alias("s")))
-    else:
-        tf = occ.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-        part = (tf.join(model.counts, "token")
-                .groupBy(key, "label")
-                .agg(F.sum(F.col("tf") * F.log(F.col("n") + F.lit(1.0))).alias("s")))
+    if not labels:
+        return docs.select(F.col(key)).limit(0).select(key, F.lit(None).cast("string").alias("label"),
+                                                       F.lit(None).cast("double").alias("score"),
+                                                       F.lit(None).cast("double").alias("posterior"))
+    constant = F.array(*[F.struct(F.lit(c[0]).alias("label"), F.lit(math.log(c[1] / total_docs)).alias("prior"),
+                                  F.lit(math.log(c[2] + model.vocab) if c[2] + model.vocab else 0.0).alias("denom"))
+                         for c in model.classes])
+    occ = (docs.select(key, F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+           .join(model.weights, "token"))
+    part = occ.groupBy(key).agg(F.array(*[F.sum(F.col("w")[i]) for i in range(len(labels))]).alias("s"))
     n_tok = docs.select(key, (n_tokens if n_tokens is not None else F.size(tokens))
                         .cast("long").alias("n_tok"))
-    per_doc = part.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m"))
-    j = n_tok.join(per_doc, key, "left")
-    scores = F.array(*[
-        F.struct((F.lit(prior[i]) - F.col("n_tok") * F.lit(denom[i])
-                  + F.coalesce(F.element_at(F.col("m"), F.lit(labels[i])), F.lit(0.0))).alias("score"),
-                 F.lit(labels[i]).alias("label"))
-        for i in range(len(labels))])
-    # best = max score, ties to the smallest label
-    best = F.aggregate(scores, scores[0], lambda acc, x: F.when(
-        (x["score"] > acc["score"]) | ((x["score"] == acc["score"]) & (x["label"] < acc["label"])),
-        x).otherwise(acc))
+    j = n_tok.join(part, key, "left").withColumn("_c", F.transform(
+        constant, lambda c, i: F.struct((c["prior"] - F.col("n_tok") * c["denom"]
+                                         + F.coalesce(F.col("s")[i], F.lit(0.0))).alias("score"), c["label"].alias("label"))))
+    # best = max score, ties to the smallest label (the classes are in that order)
+    j = j.withColumn("_b", F.aggregate("_c", F.col("_c")[0], lambda acc, x: F.when(
+        x["score"] > acc["score"], x).otherwise(acc)))
     # posterior of the best class: 1 / sum_c exp(s_c - s_best)
-    post = F.lit(1.0) / F.aggregate(scores, F.lit(0.0),
-                                     lambda acc, x: acc + F.exp(x["score"] - best["score"]))
-    return j.select(F.col(key), best["label"].alias("label"), best["score"].alias("score"),
+    post = F.lit(1.0) / F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - F.col("_b")["score"]))
+    return j.select(F.col(key), F.col("_b.label").alias("label"), F.col("_b.score").alias("score"),
                     post.alias("posterior"))

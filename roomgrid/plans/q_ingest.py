@@ -50,61 +50,102 @@ def embed_hash(spark, d):
     return e.join(top, "listing_id", "left").select("listing_id", "n_tokens", "nnz", "top_bucket")
 
 
-@register("embedding_ingest", views=("listings_v", "landlords_v"), sql=f"""
-WITH t AS (SELECT l.id AS listing_id, {COMPOSE_SQL} AS text, l.landlord_id FROM listings_v l),
-g AS (SELECT listing_id, text, sha256(text) AS text_hash FROM t
-      WHERE listing_id IS NOT NULL AND text <> '' AND landlord_id IS NOT NULL),
+# A stored vector's text hash: the current one for ids divisible by three, else an old one.
+NOW, BEFORE = "2024-06-01 00:00:00", "2024-01-01 00:00:00"
+
+
+def digits(vec):
+    """A vector as text, three decimals each: what the oracle compares."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ",")
+
+
+def stored(spark, d):
+    texts = V.listings(spark, d).select(F.col("id").alias("vec_id"), F.sha2(compose_listing_text(), 256).alias("h"))
+    return read_table(spark, d, "embeddings").join(texts, "vec_id", "left").select(
+        F.col("vec_id").alias("listing_id"),
+        F.when((F.col("vec_id") % 3 == 0) & F.col("h").isNotNull(), F.col("h")).otherwise("old").alias("text_hash"),
+        "embedding", F.lit(BEFORE).cast("timestamp").alias("updated_at"))
+
+
+@register("embedding_ingest", views=("ingest_v", "listings_v"), sql=f"""
+WITH t AS (SELECT id AS listing_id, {COMPOSE_SQL} AS text FROM ingest_v),
+g AS (SELECT listing_id, text, sha256(text) AS h FROM t WHERE listing_id IS NOT NULL AND text <> ''),
+s AS (SELECT e.vec_id AS listing_id, e.embedding,
+             CASE WHEN e.vec_id % 3 = 0 AND l.id IS NOT NULL THEN sha256({COMPOSE_SQL}) ELSE 'old' END AS old
+      FROM embeddings e LEFT JOIN listings_v l ON l.id = e.vec_id),
 k AS (SELECT listing_id, unnest({WORDS.format(x='text')}) AS tok FROM g),
 b AS (SELECT listing_id, {BUCKET} AS bucket, count(*) AS cnt FROM k GROUP BY 1, 2),
-e AS (SELECT listing_id, sum(cnt)::BIGINT AS n_tokens, count(*)::BIGINT AS nnz FROM b GROUP BY 1)
-SELECT g.listing_id, g.text_hash,
-       CASE WHEN g.listing_id IN (SELECT vec_id FROM embeddings) THEN 'update' ELSE 'insert' END AS action,
-       coalesce(e.n_tokens, 0) AS n_tokens, coalesce(e.nnz, 0) AS nnz
-FROM g LEFT JOIN e USING (listing_id)
+nrm AS (SELECT listing_id, sqrt(sum(cnt * cnt)) AS norm FROM b GROUP BY 1),
+dims AS (SELECT unnest(generate_series(0, {EM.HASH_DIM - 1})) AS i),
+made AS (SELECT g.listing_id, string_agg(CAST(CAST(round(coalesce(CAST(CAST(b.cnt / nrm.norm AS FLOAT) AS DOUBLE), 0.0) * 1000) AS INTEGER)
+                AS VARCHAR), ',' ORDER BY dims.i) AS v
+         FROM g CROSS JOIN dims LEFT JOIN b ON b.listing_id = g.listing_id AND b.bucket = dims.i
+                LEFT JOIN nrm ON nrm.listing_id = g.listing_id GROUP BY g.listing_id),
+old AS (SELECT listing_id, string_agg(CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS v
+        FROM (SELECT listing_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM s) GROUP BY listing_id),
+j AS (SELECT coalesce(g.listing_id, s.listing_id) AS listing_id, coalesce(g.h, s.old) AS text_hash,
+             CASE WHEN g.h IS NULL THEN 'kept' WHEN s.listing_id IS NULL THEN 'insert'
+                  WHEN s.old = g.h THEN 'unchanged' ELSE 'update' END AS action
+      FROM g FULL OUTER JOIN s ON s.listing_id = g.listing_id)
+SELECT j.listing_id, j.text_hash, j.action, CASE WHEN j.action IN ('insert', 'update') THEN made.v ELSE old.v END AS vector,
+       CASE WHEN j.action IN ('insert', 'update') THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{BEFORE}' END AS updated_at
+FROM j LEFT JOIN made USING (listing_id) LEFT JOIN old USING (listing_id)
 """)
 def embedding_ingest(spark, d):
-    """Compose -> embed -> upsert against the stored vectors (whose text hashes are
-    unknown, so every stored listing is updated and the rest inserted)."""
-    store = read_table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("listing_id"), F.lit(None).cast("string").alias("text_hash"))
-    out = EM.ingest(V.listings(spark, d), store)
-    return out.select("listing_id", "text_hash", "action", "n_tokens", "nnz")
-
-
-@register("ingest_rejects", views=("listings_v",), sql=f"""
-WITH t AS (SELECT id, {COMPOSE_SQL} AS text, landlord_id FROM listings_v)
-SELECT id, CASE WHEN id IS NULL THEN 'missing id' WHEN text = '' THEN 'empty text'
-                WHEN landlord_id IS NULL THEN 'missing landlord' END AS reject_reason
-FROM t WHERE id IS NULL OR text = '' OR landlord_id IS NULL
+    """Compose -> embed -> upsert: the whole store after the batch, vectors included."""
+    out = EM.ingest(V.ingest_batch(spark, d), stored(spark, d), F.lit(NOW).cast("timestamp"))
+    return out.select("listing_id", "text_hash", "action", digits(F.col("embedding")).alias("vector"), "updated_at")
+
+
+@register("ingest_rejects", views=("ingest_v",), sql=f"""
+WITH t AS (SELECT id, title, {COMPOSE_SQL} AS text FROM ingest_v)
+SELECT id, title, CASE WHEN id IS NULL THEN 'missing id' ELSE 'empty text' END AS reject_reason
+FROM t WHERE id IS NULL OR text = ''
 """)
 def ingest_rejects(spark, d):
-    _, bad = EM.ingest_split(V.listings(spark, d))
-    return bad.select("id", "reject_reason")
+    _, bad = EM.ingest_split(V.ingest_batch(spark, d))
+    return bad.select("id", "title", "reject_reason")
 
 
-@register("ingest_summary", views=("listings_v",), sql=f"""
-WITH t AS (SELECT id, {COMPOSE_SQL} AS text, landlord_id FROM listings_v)
-SELECT count(*) AS n_listings,
-       count(*) FILTER (WHERE id IS NULL OR text = '' OR landlord_id IS NULL) AS n_rejected,
-       count(*) FILTER (WHERE NOT (id IS NULL OR text = '' OR landlord_id IS NULL)) AS n_embedded
+@register("ingest_summary", views=("ingest_v",), sql=f"""
+WITH t AS (SELECT id, {COMPOSE_SQL} AS text FROM ingest_v)
+SELECT count(*) AS n_listings, count(*) FILTER (WHERE id IS NULL OR text = '') AS n_rejected,
+       count(*) FILTER (WHERE NOT (id IS NULL OR text = '')) AS n_embedded
 FROM t
 """)
 def ingest_summary(spark, d):
-    t = V.listings(spark, d).withColumn("text", compose_listing_text())
-    bad = F.col("id").isNull() | (F.col("text") == "") | F.col("landlord_id").isNull()
-    return t.agg(F.count(F.lit(1)).alias("n_listings"),
-                 F.sum(bad.cast("long")).alias("n_rejected"),
+    t = V.ingest_batch(spark, d).withColumn("text", compose_listing_text())
+    bad = F.col("id").isNull() | (F.col("text") == "")
+    return t.agg(F.count(F.lit(1)).alias("n_listings"), F.sum(bad.cast("long")).alias("n_rejected"),
                  F.sum((~bad).cast("long")).alias("n_embedded"))
 
 
-@register("retrieve_text")
+RETRIEVE_THRESHOLD = 0.1
+
+
+@register("retrieve_text", views=("listings_v",), sql=f"""
+WITH t AS (SELECT id AS k, {COMPOSE_SQL} AS text FROM listings_v),
+q AS (SELECT item_id AS k, text FROM benchmark),
+lb AS (SELECT k, {BUCKET} AS bucket, count(*) AS cnt FROM (SELECT k, unnest({WORDS.format(x='text')}) AS tok FROM t) GROUP BY 1, 2),
+qb AS (SELECT k, {BUCKET} AS bucket, count(*) AS cnt FROM (SELECT k, unnest({WORDS.format(x='text')}) AS tok FROM q) GROUP BY 1, 2),
+ln AS (SELECT k, sqrt(sum(cnt * cnt)) AS n FROM lb GROUP BY 1), qn AS (SELECT k, sqrt(sum(cnt * cnt)) AS n FROM qb GROUP BY 1),
+s AS (SELECT qb.k AS query_id, lb.k AS id, sum(qb.cnt * lb.cnt) / (min(qn.n) * min(ln.n)) AS sim
+      FROM qb JOIN lb USING (bucket) JOIN qn ON qn.k = qb.k JOIN ln ON ln.k = lb.k GROUP BY 1, 2),
+r AS (SELECT query_id, id, round(sim, 4) AS similarity FROM s WHERE sim > {RETRIEVE_THRESHOLD}),
+best AS (SELECT query_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, id FROM r)
+SELECT query_id, CAST(max(similarity) AS DOUBLE) AS best_similarity, count(*) AS n,
+       count(*) FILTER (WHERE id IN (SELECT id FROM listings_v)) AS n_listed
+FROM best WHERE rank <= 5 GROUP BY query_id
+""")
 def retrieve_text(spark, d):
-    """Text search: user turns are embedded with the same hashing embedder as listing
-    texts and matched with the vector search (threshold 0, top 5).  Row check only."""
+    """Text search: the benchmark items are embedded with the same hashing embedder as the
+    listing texts, matched with the vector search, and joined to the listings.  Scores of
+    single-precision vectors tie differently from exact ones, so the check is by query."""
     lst = V.listings(spark, d)
     docs = lst.select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
-    emb = EM.hashed_tf(docs, "listing_id", "text")
-    q = (read_table(spark, d, "conversations").filter(F.col("role") == "user")
-         .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"))
+    emb = EM.hashed_tf(docs, "listing_id", "text").select("listing_id", "embedding")
+    q = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     qe = EM.hashed_tf(q, "query_id", "text").select("query_id", "embedding")
-    return S.knn(emb.select(F.col("listing_id").alias("id"), "embedding"), qe, 0.0, 5)
+    hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)
+    return hits.groupBy("query_id").agg(F.round(F.max("similarity"), 4).alias("best_similarity"), F.count("*").alias("n"),
+                                        F.count("property_type").alias("n_listed"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomgrid import schemas as SC
 from roomgrid.operators import integrity as I
 from roomgrid.plans.registry import register
 from roomgrid.sources import views as V
@@ -15,85 +16,52 @@ from roomgrid.sources.tables import read_table
 EXPECTED_DIM = 64  # dimension of the driver's vectors (the DDL declares 1536)
 
 
-@register("check_constraints", views=("reviews_v", "landlords_v", "complexes_v", "listings_v", "chats_v"), sql="""
-SELECT 'reviews' AS table_name, 'check:rating' AS rule, CAST(id AS VARCHAR) AS row_key
-FROM reviews_v WHERE rating IS NOT NULL AND (rating < 1 OR rating > 5)
-UNION ALL SELECT 'landlords', 'not_null:name', CAST(id AS VARCHAR) FROM landlords_v WHERE name IS NULL
-UNION ALL SELECT 'landlords', 'not_null:contact_number', CAST(id AS VARCHAR) FROM landlords_v WHERE contact_number IS NULL
-UNION ALL SELECT 'complexes', 'not_null:name', CAST(id AS VARCHAR) FROM complexes_v WHERE name IS NULL
-UNION ALL SELECT 'listings', 'not_null:title', CAST(id AS VARCHAR) FROM listings_v WHERE title IS NULL
-UNION ALL SELECT 'chats', 'not_null:user_message', CAST(id AS VARCHAR) FROM chats_v WHERE user_message IS NULL
-""")
+def key_tables(spark, d):
+    """The model's tables as far as keys and declared rules go, from their base tables."""
+    return {"users": V.users(spark, d), "landlords": V.landlords(spark, d), "complexes": V.complexes(spark, d),
+            "listings": V.listing_keys(spark, d), "reviews": V.reviews(spark, d), "chats": V.chat_keys(spark, d),
+            "listings_embeddings": V.listing_embeddings(spark, d)}
+
+
+VIEW_OF = {t: f"{t}_v" for t in SC.PRIMARY_KEYS} | {
+    "listings_embeddings": "(SELECT vec_id AS listing_id FROM embeddings)"}
+
+
+@register("check_constraints", views=("reviews_v", "landlords_v", "complexes_v", "listings_v", "chats_v"),
+          sql="SELECT 'reviews' AS table_name, 'check:rating' AS rule, CAST(id AS VARCHAR) AS row_key FROM reviews_v "
+              "WHERE rating IS NOT NULL AND (rating < 1 OR rating > 5)" + "".join(
+                  f" UNION ALL SELECT '{t}', 'not_null:{c}', CAST(id AS VARCHAR) FROM {t}_v WHERE {c} IS NULL"
+                  for t, cols in SC.NOT_NULL.items() for c in cols))
 def check_constraints(spark, d):
-    parts = [
-        I.check_range(V.reviews(spark, d), "reviews", "rating", 1, 5),
-        I.not_null(V.landlords(spark, d), "landlords", ["name", "contact_number"]),
-        I.not_null(V.complexes(spark, d), "complexes", ["name"]),
-        I.not_null(V.listings(spark, d), "listings", ["title"]),
-        I.not_null(V.chats(spark, d), "chats", ["user_message"]),
-    ]
+    """CHECK and the declared NOT NULL columns."""
+    tables = key_tables(spark, d)
+    parts = [I.check_range(tables["reviews"], "reviews", "rating", 1, 5)]
+    parts += [I.not_null(tables[t], t, cols) for t, cols in SC.NOT_NULL.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("unique_violations", views=("users_v", "landlords_v", "listings_v", "reviews_v", "chats_raw_v"), sql="""
-SELECT 'users' AS table_name, 'phone_number' AS key_cols, phone_number AS key_value, count(*) AS n
-FROM users_v WHERE phone_number IS NOT NULL GROUP BY phone_number HAVING count(*) > 1
-UNION ALL SELECT 'users', 'id', id, count(*) FROM users_v GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'landlords', 'user_id', CAST(user_id AS VARCHAR), count(*) FROM landlords_v
-  WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) > 1
-UNION ALL SELECT 'listings', 'id', CAST(id AS VARCHAR), count(*) FROM listings_v GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'listings_embeddings', 'listing_id', CAST(vec_id AS VARCHAR), count(*) FROM embeddings
-  GROUP BY vec_id HAVING count(*) > 1
-UNION ALL SELECT 'reviews', 'id', CAST(id AS VARCHAR), count(*) FROM reviews_v GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'chats', 'id', CAST(id AS VARCHAR), count(*) FROM chats_raw_v GROUP BY id HAVING count(*) > 1
-""")
+_UNIQUE = [(t, c) for t, cols in SC.UNIQUE_KEYS.items() for c in cols] + list(SC.PRIMARY_KEYS.items())
+
+
+@register("unique_violations", views=("users_v", "landlords_v", "complexes_v", "listings_v", "reviews_v", "chats_v"),
+          sql=" UNION ALL ".join(
+              f"SELECT '{t}' AS table_name, '{c}' AS key_cols, CAST({c} AS VARCHAR) AS key_value, count(*) AS n "
+              f"FROM {VIEW_OF[t]} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1" for t, c in _UNIQUE))
 def unique_violations(spark, d):
-    parts = [
-        I.duplicates(V.users(spark, d), "users", ["phone_number"]),
-        I.duplicates(V.users(spark, d), "users", ["id"]),
-        I.duplicates(V.landlords(spark, d), "landlords", ["user_id"]),
-        I.duplicates(V.listings(spark, d), "listings", ["id"]),
-        I.duplicates(V.listing_embeddings(spark, d), "listings_embeddings", ["listing_id"]),
-        I.duplicates(V.reviews(spark, d), "reviews", ["id"]),
-        I.duplicates(V.chats_raw(spark, d), "chats", ["id"]),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The declared UNIQUE and PRIMARY KEY columns."""
+    tables = key_tables(spark, d)
+    return reduce(DataFrame.unionByName, [I.duplicates(tables[t], t, [c]) for t, c in _UNIQUE])
 
 
-@register("fk_orphans", views=("users_v", "landlords_v", "complexes_v", "listings_v", "reviews_v", "chats_v"), sql="""
-SELECT 'landlords' AS child_table, 'user_id' AS fk_column, CAST(id AS VARCHAR) AS child_key FROM landlords_v
-  WHERE user_id IS NOT NULL AND CAST(user_id AS VARCHAR) NOT IN (SELECT id FROM users_v)
-UNION ALL SELECT 'complexes', 'landlord_id', CAST(id AS VARCHAR) FROM complexes_v
-  WHERE landlord_id IS NOT NULL AND landlord_id NOT IN (SELECT id FROM landlords_v)
-UNION ALL SELECT 'listings', 'landlord_id', CAST(id AS VARCHAR) FROM listings_v
-  WHERE landlord_id IS NOT NULL AND landlord_id NOT IN (SELECT id FROM landlords_v)
-UNION ALL SELECT 'listings', 'complex_id', CAST(id AS VARCHAR) FROM listings_v
-  WHERE complex_id IS NOT NULL AND complex_id NOT IN (SELECT id FROM complexes_v)
-UNION ALL SELECT 'listings_embeddings', 'listing_id', CAST(vec_id AS VARCHAR) FROM embeddings
-  WHERE vec_id NOT IN (SELECT id FROM listings_v)
-UNION ALL SELECT 'reviews', 'listing_id', CAST(id AS VARCHAR) FROM reviews_v
-  WHERE listing_id NOT IN (SELECT id FROM listings_v)
-UNION ALL SELECT 'reviews', 'user_id', CAST(id AS VARCHAR) FROM reviews_v
-  WHERE CAST(user_id AS VARCHAR) NOT IN (SELECT id FROM users_v)
-UNION ALL SELECT 'chats', 'user_id', CAST(id AS VARCHAR) FROM chats_v
-  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users_v)
-""")
+@register("fk_orphans", views=("users_v", "landlords_v", "complexes_v", "listings_v", "reviews_v", "chats_v"),
+          sql=" UNION ALL ".join(
+              f"SELECT '{t}' AS child_table, '{c}' AS fk_column, CAST(x.{SC.PRIMARY_KEYS[t]} AS VARCHAR) AS child_key "
+              f"FROM {VIEW_OF[t]} x WHERE x.{c} IS NOT NULL AND NOT EXISTS "
+              f"(SELECT 1 FROM {VIEW_OF[p]} y WHERE CAST(y.{SC.PRIMARY_KEYS[p]} AS VARCHAR) = CAST(x.{c} AS VARCHAR))"
+              for t, c, p, _ in SC.FOREIGN_KEYS))
 def fk_orphans(spark, d):
-    users, ll, cx = V.users(spark, d), V.landlords(spark, d), V.complexes(spark, d)
-    lst, rv = V.listings(spark, d), V.reviews(spark, d)
-    emb = V.listing_embeddings(spark, d).withColumnRenamed("listing_id", "id") \
-        .withColumn("listing_id", F.col("id"))
-    parts = [
-        I.orphans(ll, "landlords", "user_id", users),
-        I.orphans(cx, "complexes", "landlord_id", ll),
-        I.orphans(lst, "listings", "landlord_id", ll),
-        I.orphans(lst, "listings", "complex_id", cx),
-        I.orphans(emb, "listings_embeddings", "listing_id", lst),
-        I.orphans(rv, "reviews", "listing_id", lst),
-        I.orphans(rv, "reviews", "user_id", users),
-        I.orphans(V.chats(spark, d), "chats", "user_id", users),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All declared foreign keys."""
+    return I.orphans(key_tables(spark, d), SC.PRIMARY_KEYS, SC.FOREIGN_KEYS)
 
 
 @register("check_vector_dim", sql=f"""
@@ -104,38 +72,30 @@ def check_vector_dim(spark, d):
     return I.vector_dims(read_table(spark, d, "embeddings"), EXPECTED_DIM)
 
 
-@register("cascade_delete", views=("landlords_v", "complexes_v", "listings_v", "reviews_v"), sql="""
-WITH dl AS (SELECT id FROM landlords_v WHERE NOT is_verified),
+@register("cascade_delete", views=("users_v", "landlords_v", "complexes_v", "listings_v", "reviews_v", "chats_v"), sql="""
+WITH du AS (SELECT id FROM users_v WHERE CAST(id AS BIGINT) % 7 = 3),
+dl AS (SELECT id FROM landlords_v WHERE CAST(user_id AS VARCHAR) IN (SELECT id FROM du)),
 dc AS (SELECT id FROM complexes_v WHERE landlord_id IN (SELECT id FROM dl)),
-dli AS (SELECT id FROM listings_v WHERE landlord_id IN (SELECT id FROM dl)),
-de AS (SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT id FROM dli)),
-dr AS (SELECT id FROM reviews_v WHERE listing_id IN (SELECT id FROM dli))
-SELECT 'landlords' AS table_name, (SELECT count(*) FROM dl) AS n_deleted,
-       (SELECT count(*) FROM landlords_v) - (SELECT count(*) FROM dl) AS n_remaining
-UNION ALL SELECT 'complexes', (SELECT count(*) FROM dc), (SELECT count(*) FROM complexes_v) - (SELECT count(*) FROM dc)
-UNION ALL SELECT 'listings', (SELECT count(*) FROM dli), (SELECT count(*) FROM listings_v) - (SELECT count(*) FROM dli)
-UNION ALL SELECT 'listings_embeddings', (SELECT count(*) FROM de), (SELECT count(*) FROM embeddings) - (SELECT count(*) FROM de)
-UNION ALL SELECT 'reviews', (SELECT count(*) FROM dr), (SELECT count(*) FROM reviews_v) - (SELECT count(*) FROM dr)
+dli AS (SELECT id FROM listings_v WHERE landlord_id IN (SELECT id FROM dl))
+SELECT 'users' AS table_name, id AS row_key, CAST(NULL AS VARCHAR) AS complex_id FROM users_v WHERE id NOT IN (SELECT id FROM du)
+UNION ALL SELECT 'landlords', CAST(id AS VARCHAR), NULL FROM landlords_v WHERE id NOT IN (SELECT id FROM dl)
+UNION ALL SELECT 'complexes', CAST(id AS VARCHAR), NULL FROM complexes_v WHERE id NOT IN (SELECT id FROM dc)
+UNION ALL SELECT 'listings', CAST(id AS VARCHAR),
+  CASE WHEN complex_id IN (SELECT id FROM dc) THEN NULL ELSE CAST(complex_id AS VARCHAR) END
+  FROM listings_v WHERE id NOT IN (SELECT id FROM dli)
+UNION ALL SELECT 'listings_embeddings', CAST(vec_id AS VARCHAR), NULL FROM embeddings WHERE vec_id NOT IN (SELECT id FROM dli)
+UNION ALL SELECT 'reviews', CAST(id AS VARCHAR), NULL FROM reviews_v
+  WHERE listing_id NOT IN (SELECT id FROM dli) AND CAST(user_id AS VARCHAR) NOT IN (SELECT id FROM du)
+UNION ALL SELECT 'chats', CAST(id AS VARCHAR), NULL FROM chats_v WHERE user_id NOT IN (SELECT id FROM du)
 """)
 def cascade_delete(spark, d):
-    """Delete the unverified landlords and propagate ON DELETE CASCADE level by level
-    (each level is a semi join against the deleted keys of its parent)."""
-    ll = V.landlords(spark, d)
-    tables = {"landlords": ll, "complexes": V.complexes(spark, d), "listings": V.listings(spark, d),
-              "listings_embeddings": V.listing_embeddings(spark, d).withColumn("id", F.col("listing_id")),
-              "reviews": V.reviews(spark, d)}
-    deleted = {"landlords": ll.filter(~F.col("is_verified")).select("id")}
-    deleted["complexes"] = I.semi(tables["complexes"], "landlord_id", deleted["landlords"]).select("id")
-    deleted["listings"] = I.semi(tables["listings"], "landlord_id", deleted["landlords"]).select("id")
-    deleted["listings_embeddings"] = I.semi(tables["listings_embeddings"], "listing_id",
-                                            deleted["listings"]).select("id")
-    deleted["reviews"] = I.semi(tables["reviews"], "listing_id", deleted["listings"]).select("id")
-    parts = []
-    for name in ["landlords", "complexes", "listings", "listings_embeddings", "reviews"]:
-        nd = deleted[name].agg(F.count(F.lit(1)).alias("n_deleted"))
-        nt = tables[name].agg(F.count(F.lit(1)).alias("_n"))
-        parts.append(nd.join(nt).select(F.lit(name).alias("table_name"), "n_deleted",
-                                        (F.col("_n") - F.col("n_deleted")).alias("n_remaining")))
+    """Delete some users and follow the declared foreign keys down to reviews, chats and
+    embeddings; the remaining rows of all tables are the result."""
+    users = V.users(spark, d).filter(F.col("id").cast("long") % 7 == 3).select(F.col("id").alias("key"))
+    left = I.delete(key_tables(spark, d), SC.PRIMARY_KEYS, SC.FOREIGN_KEYS, {"users": users})
+    parts = [df.select(F.lit(t).alias("table_name"), F.col(SC.PRIMARY_KEYS[t]).cast("string").alias("row_key"),
+                       (F.col("complex_id") if t == "listings" else F.lit(None)).cast("string").alias("complex_id"))
+             for t, df in left.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -150,7 +110,7 @@ def set_null_delete(spark, d):
     nat = F.broadcast(read_table(spark, d, "nation").filter(F.col("n_regionkey") == 0)
                       .select(F.col("n_name").alias("location")))
     dc = V.complexes(spark, d).join(nat, "location", "left_semi").select("id")
-    return I.set_null(V.listings(spark, d).select("id", "complex_id"), "complex_id", dc)
+    return I.set_null(V.listing_keys(spark, d).select("id", "complex_id"), "complex_id", dc)
 
 
 _POL_VALUES = ", ".join(f"('{t}', '{c}', {str(u).lower()})" for t, c, u in I.POLICIES)
@@ -173,8 +133,4 @@ SELECT m.t AS table_name, m.c AS command, m.allowed,
 FROM m JOIN tabs USING (t)
 """)
 def row_policies(spark, d):
-    tables = {"users": V.users(spark, d), "landlords": V.landlords(spark, d),
-              "complexes": V.complexes(spark, d), "listings": V.listings(spark, d),
-              "listings_embeddings": V.listing_embeddings(spark, d),
-              "reviews": V.reviews(spark, d), "chats": V.chats(spark, d)}
-    return I.policy_matrix(spark, tables)
+    return I.policy_matrix(spark, key_tables(spark, d))

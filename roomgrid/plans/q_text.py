@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from roomgrid.operators import language as LANG
 from roomgrid.operators import textmodel as NB
-from roomgrid.plans.oracle_views import (keyword_stage_sql, map_code_sql, nb_lang_ctes)
+from roomgrid.plans.oracle_views import (keyword_stage_sql, map_code_sql, nb_intent_ctes,
+                                         nb_lang_ctes)
 from roomgrid.plans.registry import register
-from roomgrid.sources.tables import read_table
+from roomgrid.sources import views as V
+from roomgrid.sources.tables import read_split
 
 
-@register("lang_keywords", sql=f"""
-SELECT doc_id, {keyword_stage_sql('text')} AS lang_kw FROM documents
+@register("lang_keywords", views=("messages_v",), sql=f"""
+SELECT message_id, {keyword_stage_sql('text')} AS lang_kw FROM messages_v
 """)
 def lang_keywords(spark, d):
     """Keyword stage only: 'other' for blank, 'sheng' on a keyword token, else null."""
-    docs = read_table(spark, d, "documents")
-    return docs.select("doc_id", LANG.keyword_stage(F.col("text")).alias("lang_kw"))
+    return V.messages(spark, d).select("message_id", LANG.keyword_stage(F.col("text")).alias("lang_kw"))
 
 
 @register("lang_profile", sql=f"""
@@ -28,7 +29,7 @@ FROM p_counts c JOIN p_cls k USING (label) CROSS JOIN p_voc v
 """)
 def lang_profile(spark, d):
     """Character trigram profile per language from the labelled documents."""
-    model = LANG.train_profile(read_table(spark, d, "documents"))
+    model = LANG.train_profile(read_split(spark, d, "documents"))
     return LANG.profile_table(model).select("lang", "gram", "n",
                                             F.round("logp", 6).alias("logp"))
 
@@ -41,71 +42,44 @@ FROM documents d LEFT JOIN p_best b ON b.k = d.doc_id
 """)
 def lang_ngram(spark, d):
     """Full language id of every document: keyword stage, then the trigram model."""
-    docs = read_table(spark, d, "documents")
+    docs = read_split(spark, d, "documents")
     model = LANG.train_profile(docs)
     out = LANG.detect(model, docs.select("doc_id", "text"), "doc_id")
     return out.select("doc_id", F.col("lang").alias("lang_pred"))
 
 
-# ---- intent / text classifier (naive Bayes on word tokens) ---------------------------
+# ---- intent classifier (naive Bayes on word tokens) ----------------------------------
 INTENT_CUTOFF = 0.6
 
 
-def _labelled(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    lab = read_table(spark, d, "labels").select("doc_id", "quality")
-    return docs.join(lab, "doc_id")
+def intent_model(msgs, path=None):
+    """The five-intent model, from the messages' told intents."""
+    return NB.fit(msgs, NB.word_tokens(F.col("text")), F.col("told_intent"), path)
 
 
-WORDS_SQL = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+def with_intent(msgs, model, key="message_id"):
+    """Messages + ``predicted`` and ``intent``: the class posterior is a real confidence, and
+    below the cutoff the intent is 'fallback'."""
+    p = NB.predict(model, msgs.select(key, "text"), key, NB.word_tokens(F.col("text")))
+    p = p.select(key, F.col("label").alias("predicted"),
+                 F.when(F.col("posterior") >= INTENT_CUTOFF, F.col("label")).otherwise(F.lit("fallback")).alias("intent"))
+    return msgs.join(p, key, "left").withColumn("intent", F.coalesce("intent", F.lit("fallback")))
 
 
-def _words(x: str) -> str:
-    return WORDS_SQL.format(x=x)
-
-
-TRAIN_SQL = f"""
-tr AS (SELECT CAST(l.quality AS VARCHAR) AS label, {_words('d.text')} AS toks
-       FROM documents d JOIN labels l USING (doc_id)),
-cnt AS (SELECT label, token, count(*) AS n FROM (SELECT label, unnest(toks) AS token FROM tr)
-        GROUP BY label, token),
-cls AS (SELECT label, count(*) AS n_docs, sum(len(toks)) AS total FROM tr GROUP BY label),
-voc AS (SELECT count(DISTINCT token) AS v FROM cnt),
-tot AS (SELECT sum(n_docs) AS nd FROM cls)"""
-
-
-@register("intent_train_counts", sql=f"""
-WITH {TRAIN_SQL}
-SELECT label, token, n FROM cnt
+@register("intent_train_counts", views=("messages_v",), sql=f"""
+WITH {nb_intent_ctes(INTENT_CUTOFF)}
+SELECT label, token, n FROM i_cnt
 """)
 def intent_train_counts(spark, d):
-    """Training job: (label, token, count) of the word-token naive Bayes model."""
-    m = NB.fit(_labelled(spark, d), NB.word_tokens(F.col("text")), F.col("quality"))
-    return m.counts
-
-
-@register("intent_predict", sql=f"""
-WITH {TRAIN_SQL},
-pt AS (SELECT doc_id AS k, {_words('text')} AS toks FROM documents),
-tf AS (SELECT k, token, count(*) AS tf FROM (SELECT k, unnest(toks) AS token FROM pt) GROUP BY k, token),
-part AS (SELECT k, label, sum(tf * ln(n + 1.0)) AS s FROM tf JOIN cnt USING (token) GROUP BY k, label),
-sc AS (SELECT pt.k, c.label,
-              ln(c.n_docs / tot.nd) - len(pt.toks) * ln(c.total + voc.v) + coalesce(part.s, 0) AS score
-       FROM pt CROSS JOIN cls c CROSS JOIN voc CROSS JOIN tot
-       LEFT JOIN part ON part.k = pt.k AND part.label = c.label),
-best AS (SELECT k, label, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, label) rn
-                                     FROM sc) WHERE rn = 1),
-post AS (SELECT sc.k, 1.0 / sum(exp(sc.score - b.score)) AS p FROM sc JOIN best b USING (k) GROUP BY sc.k)
-SELECT b.k AS doc_id, b.label AS predicted,
-       CASE WHEN post.p >= {INTENT_CUTOFF} THEN b.label ELSE 'fallback' END AS intent
-FROM best b JOIN post USING (k)
+    """Training job: (intent, token, count) of the word-token naive Bayes model."""
+    return intent_model(V.messages(spark, d)).counts
+
+
+@register("intent_predict", views=("messages_v",), sql=f"""
+WITH {nb_intent_ctes(INTENT_CUTOFF)}
+SELECT k AS message_id, predicted, intent FROM intents
 """)
 def intent_predict(spark, d):
-    """Classify every document with the model trained on the labelled ones; the class
-    posterior is a real confidence, and below the cutoff the label is 'fallback'."""
-    m = NB.fit(_labelled(spark, d), NB.word_tokens(F.col("text")), F.col("quality"))
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    p = NB.predict(m, docs, "doc_id", NB.word_tokens(F.col("text")))
-    return p.select("doc_id", F.col("label").alias("predicted"),
-                    F.when(F.col("posterior") >= INTENT_CUTOFF, F.col("label"))
-                    .otherwise(F.lit("fallback")).alias("intent"))
+    """Classify every message into the five intents."""
+    msgs = V.messages(spark, d)
+    return with_intent(msgs, intent_model(msgs)).select("message_id", "predicted", "intent")

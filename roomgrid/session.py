@@ -80,11 +80,14 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is taken as is.  Only
-    when it is unset (local tests) do we create one under the system temp folder.
+    On a cluster this setting points at shared storage and is taken as is; it must be set
+    there.  Only in local mode, where every task sees the driver's disk, is an unset folder
+    created under the system temp folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="roomgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -100,23 +103,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (for stream sinks/state)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_dir(path: str) -> str:
-    if path.startswith("file:"):
-        path = path[5:]
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
-def spread(df, *keys):
-    """Hash-repartition a frame whose scan yields fewer partitions than the cluster has
-    cores (e.g. one large row group) before CPU-heavy per-row work; a no-op when the
-    input is already split at least that finely, which is the case at scale."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no SparkContext on this client: leave partitioning to the plan
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -21,12 +21,12 @@ def read_nested_records(spark: SparkSession, path: str, multiline: bool = True,
 def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
     """(text, intent) CSV with a header; lines that do not have exactly two fields are
     dropped (PERMISSIVE mode routes them to the corrupt-record column)."""
-    df = (spark.read.schema(SC.LABELLED_TEXT).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("encoding", "UTF-8")
-          .csv(path))
-    df = df.cache()  # Spark requires this before filtering on the corrupt-record column
-    return df.filter(F.col("_corrupt_record").isNull() & F.col("intent").isNotNull()) \
-        .select("text", "intent")
+    # the malformed lines are told apart by a field count on the raw line's parse, without
+    # keeping a cache: FAILFAST of from_csv is not used, a malformed line is null
+    raw = spark.read.schema(SC.LABELLED_TEXT).option("header", True).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", "_corrupt_record").option("encoding", "UTF-8").csv(path)
+    return raw.select("text", "intent", F.col("_corrupt_record").isNull().alias("_ok")) \
+        .filter(F.col("_ok") & F.col("intent").isNotNull()).select("text", "intent")
 
 
 def parse_message_bodies(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 Each function returns a DataFrame in the model's shape whose size grows with the
 driver tables.  Keys stay bigint (the engine treats them as opaque).  The same
-definitions are stated in SQL in ``roomgrid.plans.oracle`` so that DuckDB can
+definitions are stated in SQL in ``roomgrid.plans.oracle_views`` so that DuckDB can
 check every registered query.
 
 Dimension joins (nation: 25 rows by definition of the schema) are broadcast; every
@@ -25,7 +25,8 @@ BASE_EPOCH = 1704067200          # 2024-01-01 00:00:00 UTC
 
 
 def pad8(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 8, "0")
+    """At least eight digits; longer keys stay whole."""
+    return F.format_string("%08d", c.cast("long"))
 
 
 def _nation(spark, sf_dir):
@@ -36,7 +37,8 @@ def landlords(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_suppkey").alias("id"),
-        F.col("s_suppkey").alias("user_id"),
+        # every tenth landlord shares the user of the one before (a UNIQUE violation)
+        (F.col("s_suppkey") - F.when(F.col("s_suppkey") % 10 == 9, 1).otherwise(0)).alias("user_id"),
         F.col("s_name").alias("name"),
         F.concat(F.lit(PHONE_PREFIX), pad8(F.col("s_suppkey"))).alias("contact_number"),
         F.concat(F.lit("landlord"), F.col("s_suppkey").cast("string"),
@@ -51,23 +53,27 @@ def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (s.filter(F.col("s_suppkey") % 2 == 0)
             .join(_nation(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
             .select(F.col("s_suppkey").alias("id"),
-                    F.concat(F.lit("Complex "), F.col("s_suppkey").cast("string")).alias("name"),
+                    # some complexes have the name of another one
+                    F.concat(F.lit("Complex "), (F.col("s_suppkey") - F.when(F.col("s_suppkey") % 20 == 18, 2)
+                                                 .otherwise(0)).cast("string")).alias("name"),
                     F.col("n_name").alias("location"),
                     F.col("s_suppkey").alias("landlord_id")))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> listings.  landlord = p_partkey mod |supplier| (a key of supplier)."""
+    """part -> listings.  landlord = p_partkey mod (|supplier| + 1), so the listings of the
+    last number have a landlord (and, when it is even, a complex) that does not exist; some
+    have none, and some have no title."""
     n_sup = row_count(spark, sf_dir, "supplier")
     p = read_table(spark, sf_dir, "part")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    lid = F.col("p_partkey") % F.lit(n_sup)
+    lid = F.when(F.col("p_partkey") % 97 != 5, F.col("p_partkey") % F.lit(n_sup + 1))
     base = p.select("*", lid.alias("landlord_id"))
-    return (base.join(s, base.landlord_id == s.s_suppkey)
-            .join(_nation(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+    return (base.join(s, base.landlord_id == s.s_suppkey, "left")
+            .join(_nation(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"), "left")
             .select(
                 F.col("p_partkey").alias("id"),
-                F.col("p_name").alias("title"),
+                F.when(F.col("p_partkey") % 89 != 3, F.col("p_name")).alias("title"),
                 F.col("p_brand").alias("description"),
                 F.col("p_type").alias("property_type"),
                 F.col("n_name").alias("location"),
@@ -87,6 +93,34 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+def listing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key columns of ``listings`` from their base table alone, for audits."""
+    n_sup = row_count(spark, sf_dir, "supplier")
+    k = F.col("p_partkey")
+    lid = F.when(k % 97 != 5, k % F.lit(n_sup + 1))
+    return read_table(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 89 != 3, F.col("p_name")).alias("title"), lid.alias("landlord_id"),
+        F.when(lid % 2 == 0, lid).alias("complex_id"))
+
+
+def chat_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key columns of ``chats``, and the user's text, without the join to the replies."""
+    mid = F.col("conv_id") * 1000 + F.col("turn")
+    return read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
+        mid.alias("id"), F.col("conv_id").cast("string").alias("user_id"), F.col("text").alias("user_message"))
+
+
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings as an ingest batch: all of them, plus rows without an id and rows whose every
+    text field is empty."""
+    lst = listings(spark, sf_dir)
+    no_id = lst.filter(F.col("id") % 101 == 7).withColumn("id", F.lit(None).cast("long"))
+    empty = lst.filter(F.col("id") % 103 == 11).select(*[
+        (-F.col("id")).alias(c) if c == "id" else F.col(c) if c == "landlord_id" else F.lit(None).cast(t).alias(c)
+        for c, t in lst.dtypes])
+    return lst.unionByName(no_id).unionByName(empty)
+
+
 def listing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("listing_id"), "embedding", "label")
@@ -114,9 +148,15 @@ def message_ts(message_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(BASE_EPOCH) + message_id)
 
 
+# The command that a user turn carries, by its number (fixed values of the view).
+COMMAND_KINDS = 7
+INTENT_OF_KIND = {0: "save_listing", 1: "create_inquiry", 2: "create_inquiry", 4: "greeting", 5: "search_listings"}
+SLANG_EVERY = 11      # of the plain turns, one in so many begins with a slang word
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as inbound messages.  Every row is kept; the sender format and a
-    command prefix are derived from the ids so that each routing branch occurs."""
+    """User turns as inbound messages.  Every turn is kept with its text; the sender format
+    and a leading command are derived from the ids, and blank messages are rows of their own."""
     return messages_from(read_table(spark, sf_dir, "conversations"), row_count(spark, sf_dir, "part"))
 
 
@@ -127,17 +167,26 @@ def messages_from(conversations: DataFrame, n_part: int) -> DataFrame:
     k = F.col("conv_id") % 5
     from_raw = (F.when(k == 0, F.concat(F.lit("whatsapp:+2547"), pad8(F.col("conv_id"))))
                 .when(k == 1, F.concat(F.lit("+2547"), pad8(F.col("conv_id"))))
-                .when(k == 2, F.concat(F.lit("  whatsapp:2547"), pad8(F.col("conv_id")), F.lit(" ")))
+                .when(k == 2, F.concat(F.lit("  whatsapp:2547"), pad8(F.col("conv_id")), F.lit("\t")))
                 .when(k == 3, F.concat(F.lit("2547"), pad8(F.col("conv_id"))))
                 .otherwise(F.lit("")))
-    m = mid % 7
-    text = (F.when(m == 0, F.concat(F.lit("save "), lid))
+    m = mid % COMMAND_KINDS
+    text = (F.when(m == 0, F.concat(F.lit("save "), lid, F.lit(" "), F.col("text")))
             .when(m == 1, F.concat(F.lit("inquire "), lid, F.lit(" "), F.col("text")))
             .when(m == 2, F.concat(F.lit("book viewing "), F.col("text")))
-            .when(m == 3, F.lit(""))
+            .when(m == 4, F.concat(F.lit("hello there "), F.col("text")))
+            .when(m == 5, F.concat(F.lit("looking for a room to rent "), F.col("text")))
+            .when(mid % SLANG_EVERY == 0, F.concat(F.lit("niko "), F.col("text")))
             .otherwise(F.col("text")))
-    return cv.select(mid.alias("message_id"), F.col("conv_id"), from_raw.alias("from_raw"),
-                     text.alias("text"), message_ts(mid).alias("ts"))
+    intent = F.lit("fallback")
+    for kind, name in INTENT_OF_KIND.items():
+        intent = F.when(m == kind, F.lit(name)).otherwise(intent)
+    base = cv.select(mid.alias("message_id"), F.col("conv_id"), from_raw.alias("from_raw"),
+                     text.alias("text"), message_ts(mid).alias("ts"), intent.alias("told_intent"))
+    blanks = base.filter(F.col("message_id") % COMMAND_KINDS == 3).select(
+        (F.col("message_id") + 500).alias("message_id"), "conv_id", "from_raw", F.lit("\u00a0\n").alias("text"),
+        message_ts(F.col("message_id") + 500).alias("ts"), F.lit("fallback").alias("told_intent"))
+    return base.unionByName(blanks)
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

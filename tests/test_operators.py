@@ -118,12 +118,12 @@ def _vec_df(spark, rows, idc):
     return spark.createDataFrame(rows, f"{idc} long, embedding array<float>")
 
 
-def test_knn_threshold_strict_zero_vector_and_paths_agree(spark):
+def test_knn_threshold_strict_zero_vector_and_blocks(spark):
     emb = _vec_df(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0]),
                           (5, [1.0, 0.0])], "id")
     q = _vec_df(spark, [(10, [1.0, 0.0]), (11, [0.0, 0.0]), (12, [-1.0, 0.0])], "query_id")
-    a = S.knn(emb, q, threshold=0.7071067811865476, k=5, method="broadcast")
-    b = S.knn(emb, q, threshold=0.7071067811865476, k=5, method="blocked", q_block_rows=1, e_block_rows=2)
+    a = S.knn(emb, q, threshold=0.7071067811865476, k=5)
+    b = S.knn(emb, q, threshold=0.7071067811865476, k=5, block_bytes=32)
     ra = sorted((r.query_id, r.rank, r.id, r.similarity) for r in a.collect())
     rb = sorted((r.query_id, r.rank, r.id, r.similarity) for r in b.collect())
     assert ra == rb
@@ -133,6 +133,19 @@ def test_knn_threshold_strict_zero_vector_and_paths_agree(spark):
     assert all(x[0] == 10 for x in ra)
 
 
+def test_knn_string_ids_bad_vectors_and_many_ties(spark):
+    rows = [(f"k{i:05d}", [1.0, 2.0]) for i in range(10_000)]
+    rows += [("null", None), ("short", [1.0]), ("hole", [1.0, None]), ("nan", [float("nan"), 1.0]), (None, [1.0, 2.0])]
+    emb = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = spark.createDataFrame([("q1", [1.0, 2.0]), ("q2", [2.0]), ("q3", None)], "query_id string, embedding array<float>")
+    for size in (1 << 24, 10_000):
+        got = S.knn(emb, q, 0.5, 5, dim=2, block_bytes=size).orderBy("rank").collect()
+        assert [(r.query_id, r.id) for r in got] == [("q1", f"k{i:05d}") for i in range(5)]
+    bad = S.vector_rejects(emb.withColumnRenamed("id", "listing_id"), 2).collect()
+    assert {r.listing_id: r.reject_reason for r in bad} == {
+        "null": "missing vector", "short": "wrong dimension", "hole": "bad component", "nan": "bad component"}
+
+
 def test_knn_native_single_equals_kernel(spark):
     emb = _vec_df(spark, [(i, [float(i % 3), float(i % 5) + 0.5, 1.0]) for i in range(40)], "id")
     q = [0.3, 0.9, 0.1]
@@ -214,12 +227,19 @@ def test_row_policies():
     assert not I.policy_allows("listings_embeddings", "SELECT")
 
 
-def test_cascade_semi_and_set_null(spark):
-    parents = spark.createDataFrame([(1,), (2,)], "id long")
-    kids = spark.createDataFrame([(10, 1), (11, 3), (12, None)], "id long, pid long")
-    assert [r.id for r in I.semi(kids, "pid", parents.filter("id = 1")).collect()] == [10]
-    out = {r.id: r.pid for r in I.set_null(kids, "pid", parents.filter("id = 1")).collect()}
-    assert out == {10: None, 11: 3, 12: None}
+def test_delete_follows_the_foreign_keys(spark):
+    tables = {"p": spark.createDataFrame([(1,), (2,)], "id long"),
+              "c": spark.createDataFrame([(10, 1, None), (11, 2, 10), (12, None, 11), (13, 2, 11)], "id long, pid long, nid long"),
+              "d": spark.createDataFrame([(20, 10), (21, 11)], "id long, cid long")}
+    keys = dict.fromkeys(tables, "id")
+    fks = [("c", "pid", "p", "cascade"), ("d", "cid", "c", "cascade")]
+    left = I.delete(tables, keys, fks, {"p": tables["p"].filter("id = 1").selectExpr("id as key")})
+    assert {t: sorted(r.id for r in df.collect()) for t, df in left.items()} == {"p": [2], "c": [11, 12, 13], "d": [21]}
+    left = I.delete({k: tables[k] for k in "pc"}, keys, [("c", "pid", "p", "set_null")],
+                    {"p": tables["p"].filter("id = 1").selectExpr("id as key")})
+    assert {r.id: r.pid for r in left["c"].collect()} == {10: None, 11: 2, 12: None, 13: 2}
+    out = I.orphans({"p": tables["p"].filter("id = 2"), "c": tables["c"]}, keys, [("c", "pid", "p", "cascade")]).collect()
+    assert [tuple(r) for r in out] == [("c", "pid", "10")]
 
 
 def test_json_bodies_quarantine_and_jsonl_sink(spark, tmp_path):
@@ -234,3 +254,87 @@ def test_json_bodies_quarantine_and_jsonl_sink(spark, tmp_path):
     write_jsonl(good.select("text"), out)
     back = spark.read.schema("text string").json(out)
     assert [r.text for r in back.collect()] == ["habari, niko Kasarani"] * 2
+
+
+def test_numbers_and_whitespace_as_python(spark):
+    from roomgrid.functions.text import blank, num_str, strip_ws
+    values = [0.0, 900.0, 15000000.0, 1.5e7 + 0.25, 123456789012.5, 9.99e15, 1e16, 1.5e300, 0.001, 0.00012, 1.25e-5, -2e8, 0.1]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(num_str(F.col("v")).alias("s")).collect()] == [str(v) for v in values]
+    texts = ["\t+254700\n", "\u00a0 \u2003", "\x1c a\u3000", "", " x y "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(strip_ws(F.col("t")).alias("s"), blank(F.col("t")).alias("b"), normalize_user_key(F.col("t")).alias("k")).collect()
+    assert [r.s for r in got] == [t.strip() for t in texts]
+    assert [r.b for r in got] == [not t.strip() for t in texts]
+    assert [got[0].k, got[1].k] == ["whatsapp:254700", "anon"]
+
+
+def test_keys_beyond_eight_digits_stay_whole(spark):
+    from roomgrid.sources import views as V
+    df = spark.createDataFrame([(5,), (123_456_789,), (12_345_678_901,)], "k long")
+    assert [r.p for r in df.select(V.pad8(F.col("k")).alias("p")).collect()] == ["00000005", "123456789", "12345678901"]
+    cv = spark.createDataFrame([(1_234_567_890, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    m = V.messages_from(cv, 10 ** 12).select("from_raw").collect()
+    assert "1234567890" in m[0].from_raw
+
+
+def test_language_of_featureless_and_short_texts(spark):
+    train = spark.createDataFrame([("the house and the room", "en"), ("la casa y la sala", "es"), ("la casa", "es")],
+                                  "text string, lang string")
+    model = LANG.train_profile(train)
+    df = spark.createDataFrame([(1, "12"), (2, "99 !!"), (3, ""), (4, "la"), (5, "the"), (6, None), (7, "niko")], "id long, text string")
+    got = {r.id: r.lang for r in LANG.detect(model, df, "id").collect()}
+    assert got == {1: "other", 2: "other", 3: "other", 4: "es", 5: "en", 6: "other", 7: "sheng"}
+
+
+def test_text_model_save_and_load(spark, tmp_path):
+    from roomgrid.operators import textmodel as NB
+    rows = [("save this room", "save"), ("hello there", "greet"), ("hello", "greet")]
+    df = spark.createDataFrame(rows, "text string, intent string")
+    model = NB.fit(df, NB.word_tokens(F.col("text")), F.col("intent"), str(tmp_path / "m"))
+    again = NB.load(spark, str(tmp_path / "m"))
+    ask = spark.createDataFrame([(1, "save this please"), (2, "hello you"), (3, "")], "id long, text string")
+    a, b = (sorted(map(tuple, NB.predict(m, ask, "id", NB.word_tokens(F.col("text"))).collect())) for m in (model, again))
+    assert a == b
+    assert [x[1] for x in a] == ["save", "greet", "greet"]
+    assert 0.5 < a[0][3] < 1
+
+
+def test_lookup_keeps_every_row_once(spark):
+    table = spark.createDataFrame([("2", "a"), ("1", "a"), ("3", "b"), ("4", None)], "id string, name string")
+    assert sorted(map(tuple, LD.first_per_key(table, "name", ["id"]).collect())) == [("a", "1"), ("b", "3")]
+
+
+def test_conform_rejects_types_and_nulls(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType()),
+                           T.StructField("title", T.StringType()), T.StructField("ok", T.BooleanType())])
+    df = spark.createDataFrame([("a", "1", "t"), ("b", "x", "t"), ("c", None, None), ("d", "y", None)], "id string, n string, title string")
+    good, bad = LD.conform(df, schema, {"ok": F.lit(True)}, ["title"])
+    assert [tuple(r) for r in good.collect()] == [("a", 1, "t", True)]
+    assert {r.id: r.reject_reason for r in bad.collect()} == {"b": "type:n", "c": "null:title", "d": "type:n,null:title"}
+
+
+def test_ingest_keeps_the_store(spark):
+    import hashlib
+
+    from roomgrid.operators import embed as EM
+    cols = ("id long, title string, description string, location string, property_type string, furnishing string,"
+            " utilities string, renovations string, amenities array<string>, price double, size_sqm double, landlord_id long")
+    row = lambda i, t, ll=1: (i, t, None, None, None, None, None, None, None, None, None, ll)
+    listings = spark.createDataFrame([row(1, "same text"), row(2, "new text"), row(3, "no landlord", None), row(None, "lost"),
+                                      row(5, None)], cols)
+    digest = hashlib.sha256(b"same text").hexdigest()
+    store = spark.createDataFrame([(1, digest, [9.0], dt.datetime(2020, 1, 1)), (2, "old", [8.0], dt.datetime(2020, 1, 1)),
+                                   (7, "x", [7.0], dt.datetime(2020, 1, 1))],
+                                  "listing_id long, text_hash string, embedding array<float>, updated_at timestamp")
+    now = dt.datetime(2024, 1, 1)
+    got = {r.listing_id: r for r in EM.ingest(listings, store, F.lit(now)).collect()}
+    assert {k: r.action for k, r in got.items()} == {1: "unchanged", 2: "update", 3: "insert", 7: "kept"}
+    assert got[1].embedding == [9.0] and got[7].embedding == [7.0] and got[1].updated_at == dt.datetime(2020, 1, 1)
+    assert len(got[2].embedding) == EM.HASH_DIM and abs(sum(x * x for x in got[2].embedding) - 1) < 1e-5
+    assert got[2].updated_at == now and got[3].updated_at == now
+    _, bad = EM.ingest_split(listings)
+    assert {(r.id, r.reject_reason) for r in bad.collect()} == {(None, "missing id"), (5, "empty text")}
+    embed = EM.model_udf(lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    assert spark.createDataFrame([("abc",), (None,)], "t string").select(embed("t").alias("v")).collect()[0].v == [3.0, 1.0]

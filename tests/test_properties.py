@@ -15,8 +15,7 @@ def test_knn_equals_brute_force(spark, seed, k, t):
                                 "id long, embedding array<float>")
     qs = spark.createDataFrame([(100 + j, [float(x) for x in v]) for j, v in enumerate(q)],
                                "query_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.id) for r in S.knn(emb, qs, t, k, method="blocked",
-                                                           q_block_rows=2, e_block_rows=7).collect())
+    got = sorted((r.query_id, r.rank, r.id) for r in S.knn(emb, qs, t, k, block_bytes=7 * 5 * 8).collect())
     ef, qf = e.astype(np.float32).astype(np.float64), q.astype(np.float32).astype(np.float64)
     want = []
     for j, qv in enumerate(qf):

@@ -1,39 +1,61 @@
-"""Batch = stream: the streaming limiter over several time-ordered micro-batches (and a
-restart from the checkpoint) gives the batch operator's result."""
+"""Batch = stream: several time-ordered micro-batches, and a second run from the checkpoint."""
+import json
+
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from roomgrid.operators import ratelimit as RL
-from roomgrid.streaming.ratelimit import run_limiter
+from roomgrid.schemas import DRIVER
 from roomgrid.sources.tables import read_table
+from roomgrid.streaming.files import file_stream, write_in_order
+from roomgrid.streaming.ratelimit import run_limiter
 
 
-def test_stream_limiter_equals_batch(spark, sf, tmp_path):
+def test_limiter_resumes_and_equals_batch(spark, sf, tmp_path):
     t = pq.read_table(f"{sf}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
-    n = t.num_rows
-    for i, (lo, hi) in enumerate([(0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)]):
-        pq.write_table(t.slice(lo, hi - lo), tmp_path / f"events_{i}.parquet")
-    got = run_limiter(spark, str(tmp_path), 6 * 3600, 2, max_files_per_trigger=1)
-    want = RL.sessions(read_table(spark, sf, "events"), 6 * 3600, 2)
-    cols = ["event_id", "user_id", "session_no", "ordinal", "allowed"]
+    cuts = [0, t.num_rows // 3, 2 * t.num_rows // 3, t.num_rows]
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    src.mkdir()
+
+    def run():
+        ev = file_stream(spark, str(src), DRIVER["events"], "events*.parquet").withColumn("user_id", F.col("user_id").cast("string"))
+        return run_limiter(spark, ev, 6 * 3600, 2, out, ck)
+
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        pq.write_table(t.slice(lo, hi - lo), src / f"events_{i}.parquet")
+        if i != 1:       # the second and third file are two micro-batches of the second run
+            got = run()
+    want = RL.sessions(read_table(spark, sf, "events").withColumn("user_id", F.col("user_id").cast("string")), 6 * 3600, 2)
+    cols = ["event_id", "user_id", "ordinal", "allowed"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert run().count() == t.num_rows      # nothing new: nothing added
+
+
+def test_limiter_state_expires(spark, tmp_path):
+    import datetime as dt
+    src = tmp_path / "in"
+    day = dt.datetime(2024, 1, 1)
+    for i, (user, hour) in enumerate([("a", 0), ("b", 30), ("b", 60), ("b", 90)]):
+        rows = [(i, user, day + dt.timedelta(hours=hour))]
+        spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(src))
+    ev = file_stream(spark, str(src), "event_id long, user_id string, ts timestamp")
+    run_limiter(spark, ev, 3600, 2, str(tmp_path / "out"), str(tmp_path / "ck"))
+    state = spark.read.format("statestore").load(str(tmp_path / "ck"))
+    assert {r.key.user_id for r in state.collect()} <= {"b"}
 
 
 def test_trace_log_stream_and_append_sink(spark, sf, tmp_path):
-    import json
     from roomgrid.sources.files import append_table
     from roomgrid.sources.views import chats, chats_from
     from roomgrid.streaming.route import run_trace_log
-    t = pq.read_table(f"{sf}/conversations.parquet")
-    n = t.num_rows
-    pq.write_table(t.slice(0, n // 2), tmp_path / "conversations_0.parquet")
-    pq.write_table(t.slice(n // 2, n - n // 2), tmp_path / "conversations_1.parquet")
-    got = run_trace_log(spark, str(tmp_path), chats_from)
+    folder = write_in_order(read_table(spark, sf, "conversations"), "conv_id", 2, str(tmp_path / "in"))
+    got = run_trace_log(spark, file_stream(spark, folder, DRIVER["conversations"]), chats_from,
+                        str(tmp_path / "log"), str(tmp_path / "ck"))
     rows = got.collect()
-    # turns split across files lose their reply partner only at the cut; every user turn
-    # still yields exactly one trace with four ordered steps
     assert len(rows) == chats(spark, sf).count()
     steps = json.loads(rows[0].payload)["steps"]
     assert [s["step_type"] for s in steps] == ["plan", "act", "critique", "decision"]
+    assert json.loads(steps[0]["content"])["substeps"] and json.loads(steps[1]["content"])["tool"]
     out = str(tmp_path / "agent_traces")
     append_table(got, out)
     append_table(got, out)
