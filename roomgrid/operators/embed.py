@@ -31,8 +31,8 @@ def token_buckets(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> Da
         .agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFrame:
-    """-> (key, embedding array<float> of length dim, n_tokens, nnz).  Rows without any
+def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str = "float") -> DataFrame:
+    """-> (key, embedding of ``kind`` components and length dim, n_tokens, nnz).  Rows without any
     token get a zero vector (their similarity is null, never a match)."""
     b = token_buckets(df, key, text, dim)
     per = b.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("m"),
@@ -41,7 +41,7 @@ def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFr
     j = df.select(key).join(per, key, "left")
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.coalesce(F.col("m")[i.cast("bigint")].cast("double")
-                                           / F.col("norm"), F.lit(0.0)).cast("float"))
+                                           / F.col("norm"), F.lit(0.0)).cast(kind))
     return j.select(key, vec.alias("embedding"),
                     F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"),
                     F.coalesce(F.col("nnz"), F.lit(0)).cast("bigint").alias("nnz"))

@@ -131,21 +131,20 @@ qb AS (SELECT k, {BUCKET} AS bucket, count(*) AS cnt FROM (SELECT k, unnest({WOR
 ln AS (SELECT k, sqrt(sum(cnt * cnt)) AS n FROM lb GROUP BY 1), qn AS (SELECT k, sqrt(sum(cnt * cnt)) AS n FROM qb GROUP BY 1),
 s AS (SELECT qb.k AS query_id, lb.k AS id, sum(qb.cnt * lb.cnt) / (min(qn.n) * min(ln.n)) AS sim
       FROM qb JOIN lb USING (bucket) JOIN qn ON qn.k = qb.k JOIN ln ON ln.k = lb.k GROUP BY 1, 2),
-r AS (SELECT query_id, id, round(sim, 4) AS similarity FROM s WHERE sim > {RETRIEVE_THRESHOLD}),
+r AS (SELECT query_id, id, round(sim, 6) AS similarity FROM s WHERE sim > {RETRIEVE_THRESHOLD}),
 best AS (SELECT query_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, id FROM r)
-SELECT query_id, CAST(max(similarity) AS DOUBLE) AS best_similarity, count(*) AS n,
+SELECT query_id, round(CAST(max(similarity) AS DOUBLE), 4) AS best_similarity, count(*) AS n,
        count(*) FILTER (WHERE id IN (SELECT id FROM listings_v)) AS n_listed
 FROM best WHERE rank <= 5 GROUP BY query_id
 """)
 def retrieve_text(spark, d):
     """Text search: the benchmark items are embedded with the same hashing embedder as the
-    listing texts, matched with the vector search, and joined to the listings.  Scores of
-    single-precision vectors tie differently from exact ones, so the check is by query."""
+    listing texts, matched with the vector search in double precision, and joined to the listings."""
     lst = V.listings(spark, d)
     docs = lst.select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
-    emb = EM.hashed_tf(docs, "listing_id", "text").select("listing_id", "embedding")
+    emb = EM.hashed_tf(docs, "listing_id", "text", kind="double").select("listing_id", "embedding")
     q = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    qe = EM.hashed_tf(q, "query_id", "text").select("query_id", "embedding")
+    qe = EM.hashed_tf(q, "query_id", "text", kind="double").select("query_id", "embedding")
     hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)
     return hits.groupBy("query_id").agg(F.round(F.max("similarity"), 4).alias("best_similarity"), F.count("*").alias("n"),
                                         F.count("property_type").alias("n_listed"))
