@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomgrid.functions.vectors import block_top, cosine_expr, unit_rows, usable
+from roomgrid.schemas import VECTOR_DIM_DECLARED
 
 # The reference's caller defaults.
 DEFAULT_THRESHOLD = 0.5
@@ -93,7 +94,7 @@ def searchable(embeddings: DataFrame, listings: DataFrame) -> DataFrame:
     return e.join(listings.select("id"), "id", "left_semi")
 
 
-def vector_rejects(embeddings: DataFrame, dim: int, key: str = "listing_id") -> DataFrame:
+def vector_rejects(embeddings: DataFrame, dim: int = VECTOR_DIM_DECLARED, key: str = "listing_id") -> DataFrame:
     """The vectors that no search uses, with the reason."""
     v = F.col("embedding")
     reason = (F.when(v.isNull(), "missing vector").when(F.size(v) != dim, "wrong dimension").otherwise("bad component"))

@@ -41,6 +41,10 @@ INQUIRIES = _struct(("user_id", S), ("listing_id", S), ("message", S), ("created
 UNITS = _struct(("id", S), ("complex_id", S), ("title", S))
 AGENT_TRACES = _struct(("id", S), ("payload", S), ("created_at", TS))
 
+TABLES = {"users": USERS, "landlords": LANDLORDS, "complexes": COMPLEXES, "listings": LISTINGS,
+          "listings_embeddings": EMBEDDINGS, "reviews": REVIEWS, "chats": CHATS, "favorites": FAVORITES,
+          "inquiries": INQUIRIES, "units": UNITS, "agent_traces": AGENT_TRACES}
+
 # nested load record: {landlord, complex | null, listing}
 LANDLORD_IN = _struct(("name", S), ("contact_number", S), ("email", S), ("is_verified", B))
 COMPLEX_IN = _struct(("name", S), ("location", S))
@@ -73,7 +77,7 @@ FOREIGN_KEYS = [
     ("reviews", "user_id", "users", "cascade"),
     ("chats", "user_id", "users", "cascade"),
 ]
-VECTOR_DIM_DECLARED = 1536
+VECTOR_DIM_DECLARED = 1536   # default of the vector audit and quarantine
 
 # ---- driver tables -----------------------------------------------------------------
 DRIVER = {

@@ -29,6 +29,11 @@ def read_labelled_text(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.col("_ok") & F.col("intent").isNotNull()).select("text", "intent")
 
 
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Inbound form messages (message_id, from_raw, text, ts) as JSON lines."""
+    return spark.read.schema(SC.MESSAGE_IN).json(path)
+
+
 def parse_message_bodies(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """JSON request bodies -> (messages, quarantine).  A body without a ``message`` field
     (or not JSON at all) is quarantined instead of failing the batch."""
@@ -44,6 +49,15 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_rows(df: DataFrame, table: str, path: str) -> DataFrame:
+    """Append rows to a model table (``chats``, ``favorites``, ...) in its declared columns and
+    types; columns that the rows lack are null.  Returns the rows that do not conform."""
+    from roomgrid.operators.load import conform
+    good, bad = conform(df, SC.TABLES[table], not_null=SC.NOT_NULL.get(table))
+    append_table(good, path)
+    return bad
+
+
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows to a table folder, creating it when it does not exist yet (the
     reference tolerates a missing trace table; here the first append creates it).

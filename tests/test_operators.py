@@ -338,3 +338,19 @@ def test_ingest_keeps_the_store(spark):
     assert {(r.id, r.reject_reason) for r in bad.collect()} == {(None, "missing id"), (5, "empty text")}
     embed = EM.model_udf(lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
     assert spark.createDataFrame([("abc",), (None,)], "t string").select(embed("t").alias("v")).collect()[0].v == [3.0, 1.0]
+
+
+def test_message_source_and_chat_append(spark, tmp_path):
+    from roomgrid.sources.files import append_rows, read_messages
+    p = tmp_path / "in.json"
+    p.write_text('{"message_id": 1, "from_raw": "+254", "text": "habari", "ts": "2024-01-01T00:00:00Z"}\n{"message_id": 2}\n')
+    m = read_messages(spark, str(p)).orderBy("message_id").collect()
+    assert [(r.message_id, r.from_raw, r.text) for r in m] == [(1, "+254", "habari"), (2, None, None)]
+    rows = spark.createDataFrame([("a", "u", "hi", "yo", 1), ("b", "u", None, "yo", 2)],
+                                 "id string, user_id string, user_message string, bot_response string, extra int")
+    out = str(tmp_path / "chats")
+    bad = append_rows(rows, "chats", out)
+    append_rows(rows, "chats", out)
+    back = spark.read.parquet(out)
+    assert back.columns == ["id", "user_id", "user_message", "bot_response", "created_at"] and back.count() == 2
+    assert [(r.id, r.reject_reason) for r in bad.collect()] == [("b", "null:user_message")]
