@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomgrid.llm import chat, pivots
+from roomgrid.llm import chat, mixing, pivots
 from roomgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,9 +64,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-@query("op4_mixing")
+@query("op4_mixing", mixing.oracle_sql())
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomgrid.llm import mixing
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
