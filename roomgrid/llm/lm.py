@@ -41,16 +41,16 @@ from roomgrid.llm import words as W
 from roomgrid.llm.ngram_trie import Trie
 
 PRIOR = 1000.0              # m
-SEGMENT_BYTES = 6 << 20
+SEGMENT_BYTES = 9 << 20
 WORD_ENTRIES = 2_000_000    # words of all segments that a vocabulary shard gets, about
-PAIR_TOKENS = 1_500_000     # tokens that a pair shard gets, about
+PAIR_TOKENS = 2_000_000     # tokens that a pair shard gets, about
 END = np.uint64(0x454E44)   # hash of the end token
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of non-negative integers, each in its smallest type, compressed."""
     import zstandard
-    c = zstandard.ZstdCompressor(level=1)
+    c = zstandard.ZstdCompressor(level=3)
     out = []
     for a in arrays:
         top = int(a.max()) if len(a) else 0
@@ -87,12 +87,13 @@ def segments(docs: DataFrame, id_col: str, text_col: str, train: Column) -> Data
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(ids, train, text, seg) -> pa.RecordBatch:
-        w = W.Words(text, lower=True)
-        n = w.count + 1
+        parts = [W.Words(text.slice(a, b - a), lower=True) for a, b in W.slices(text)]
+        n = np.concatenate([w.count for w in parts]) + 1
+        own = np.concatenate([w.hash for w in parts])
         hashes = np.full(int(n.sum()), END, np.uint64)
         word = np.ones(len(hashes), bool)
         word[np.cumsum(n) - 1] = False
-        hashes[word] = np.where(w.hash == END, END + np.uint64(1), w.hash)
+        hashes[word] = np.where(own == END, END + np.uint64(1), own)
         vocab, place = np.unique(hashes, return_inverse=True)
         learn = np.repeat(train, n)
         count = np.bincount(place[learn], minlength=len(vocab))
