@@ -58,10 +58,13 @@ def detect(model: nb.NBModel, df: DataFrame, key: str, text: str = "text",
            n: int = GRAM) -> DataFrame:
     """-> df + lang: keyword stage first; otherwise the n-gram model's best language; a text
     without any letter has no feature and is 'other'."""
-    kw = df.select(key, keyword_stage(F.col(text)).alias("kw"), nb.letter_text(F.col(text)).alias("_letters"))
-    todo = kw.filter(F.col("kw").isNull() & (F.col("_letters") != ""))
+    # no filter here: it would be pushed below a repartition and run where the scan runs; and
+    # the keyword stage belongs below the join, whose output may be few partitions
+    todo = df.select(key, nb.letter_text(F.col(text)).alias("_letters"))
     pred = nb.predict(model, todo, key, nb.char_grams(F.col("_letters"), n),
                       nb.n_char_grams(F.col("_letters"), n)) \
         .select(key, F.col("label").alias("code"))
-    return df.join(pred, key, "left").withColumn(
-        "lang", F.coalesce(keyword_stage(F.col(text)), map_code(F.col("code")))).drop("code")
+    kw = df.withColumn("_kw", keyword_stage(F.col(text))) \
+        .withColumn("_has", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return kw.join(pred, key, "left").withColumn(
+        "lang", F.coalesce("_kw", map_code(F.when(F.col("_has"), F.col("code"))))).drop("code", "_kw", "_has")
