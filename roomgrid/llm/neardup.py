@@ -1,20 +1,21 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
 Texts are sets of shingles (five words; a shorter text with words is one shingle) with a
-weight of 1 + ln(occurrences).  Each weighted shingle is a Poisson process whose arrivals,
+weight of 1 to ``MOST``, rising with the occurrences.  Each weighted shingle is a Poisson process whose arrivals,
 at a rate equal to its weight, fall on one of ``m`` registers; a register keeps the shingle
 of its earliest arrival.  Arrivals later than the latest register minimum cannot matter, so
 the drawing stops there (early termination).  Two texts agree in a register with their
-probability Jaccard similarity.
+probability Jaccard similarity, which is at least the Jaccard similarity of the shingle sets
+over ``MOST``, however differently the shared passages repeat.
 
 1. One pass over the texts yields a 128-bit digest of the word sequence, the signature and
    its band keys.  Exact copies collapse to their smallest id by a keyed minimum.
 2. Band buckets of two or more texts propose pairs with a centre only: the member whose
    buckets are the largest, as the origin of a group of copies is.  So a bucket of n texts
-   gives n - 1 pairs.
-3. A pair whose signatures agree in under ``prefilter`` of the registers is dropped (a pair at
-   0.8 falls under 0.55 of 64 registers about once in ten million); the others are verified
-   on their whole texts: Jaccard of the shingle sets at or above ``threshold``.
+   gives n - 1 pairs.  Two texts at 0.8 share a bucket with a probability of 0.9996 or more
+   (24 bands of 4 at 0.8 / 1.1).
+3. Pairs are verified on their whole texts: Jaccard of the shingle sets at or above
+   ``threshold``.  Only pairs that the numbers of their shingles alone keep under it are spared.
 4. Linked texts form classes (connected components).  Buckets that still hold texts of
    several classes are the rest: in tiles of bounded size, each text of a smaller class is
    compared with all texts of other classes at once, and only links are emitted, one for each
@@ -41,9 +42,9 @@ from roomgrid.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-REGISTERS = 64
-BANDS = 16
-PREFILTER = 0.55
+REGISTERS = 96
+BANDS = 24
+MOST = 1.1             # weight of a shingle without end of occurrences
 TILE_CHARS = 4 << 20   # text of a bucket's tile; two tiles are compared in one piece
 FILTER_BITS = 26       # places of the fixed-size membership filter (8 MB)
 
@@ -84,7 +85,7 @@ def signatures(words: W.Words, m: int = REGISTERS, n: int = SHINGLE) -> np.ndarr
         return out
     _, at, tf = np.unique(W.chain(doc.astype(np.uint64), h), return_index=True, return_counts=True)
     order = np.argsort(at, kind="stable")
-    h, doc, rate = h[at[order]], doc[at[order]], 1.0 + np.log(tf[order])
+    h, doc, rate = h[at[order]], doc[at[order]], MOST - (MOST - 1.0) / tf[order]
     present, row = np.unique(doc, return_inverse=True)
     best = np.full(len(present) * m, np.inf)
     who = np.zeros(len(present) * m, np.uint64)
@@ -116,7 +117,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys
 
 
-SIG_SCHEMA = "id {}, has_text boolean, d1 long, d2 long, chars long, sig binary, bands array<long>"
+SIG_SCHEMA = "id {}, has_text boolean, d1 long, d2 long, chars long, size long, bands array<long>"
 
 
 def fingerprint(docs: DataFrame, id_col: str, text_col: str, m: int, bands: int, n: int) -> DataFrame:
@@ -128,30 +129,24 @@ def fingerprint(docs: DataFrame, id_col: str, text_col: str, m: int, bands: int,
             known = batch.column(1).is_valid()
             for a, b in W.slices(text):
                 w = W.Words(text.slice(a, b - a))
-                sig = signatures(w, m, n)
                 some = w.count > 0
-                keys = band_keys(sig, bands).view(np.int64)
+                keys = band_keys(signatures(w, m, n), bands).view(np.int64)
+                h, doc = shingles(w, n)
+                _, at = np.unique(W.chain(doc.astype(np.uint64), h), return_index=True)
+                size = np.bincount(doc[at], minlength=w.n_docs)
                 d1, d2 = sequence_digest(w)
                 flat = pa.array(keys[some].ravel())
                 offs = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), known.slice(a, b - a),
                      pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(w.offs)),
-                     pa.array([s.tobytes() if k else None for s, k in zip(sig, some)], pa.binary()),
+                     pa.array(size.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(offs), flat)],
-                    names=["id", "has_text", "d1", "d2", "chars", "sig", "bands"])
+                    names=["id", "has_text", "d1", "d2", "chars", "size", "bands"])
 
     return rows.mapInArrow(run, SIG_SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
 
 
-@F.arrow_udf(T.DoubleType())
-def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Share of registers in which two signatures agree."""
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(len(b), -1)
-    return pa.array((x == y).mean(axis=1) if len(x) else np.zeros(0))
-
-
 def jaccard_texts(a: pa.Array, b: pa.Array, n: int = SHINGLE) -> np.ndarray:
     """Jaccard similarity of the shingle sets of paired texts."""
     a, b = W.as_large_strings(a), W.as_large_strings(b)
@@ -189,12 +184,9 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.filter(maybe(F.xxhash64("id")))
 
 
-def _verify(pairs: DataFrame, sig: DataFrame, texts: DataFrame, threshold: float, prefilter: float, n: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
     """Pairs (a, b) of ids -> links whose texts are similar enough."""
-    one = sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    two = sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    pairs = (pairs.join(one, "a").join(two, "b")
-             .filter(agreement("sa", "sb") >= prefilter).select("a", "b").checkpoint())
+    pairs = pairs.checkpoint()
     few = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
 
     @F.arrow_udf(T.DoubleType())
@@ -206,11 +198,11 @@ def _verify(pairs: DataFrame, sig: DataFrame, texts: DataFrame, threshold: float
             .filter(jaccard("ta", "tb") >= threshold - 1e-12).select("a", "b").checkpoint())
 
 
-def links_in_piece(reps: np.ndarray, classes: np.ndarray, minor: np.ndarray, sig: np.ndarray, col: pa.Array,
-                   threshold: float, prefilter: float, n: int) -> list[tuple[int, int]]:
+def links_in_piece(reps: np.ndarray, classes: np.ndarray, minor: np.ndarray, col: pa.Array,
+                   threshold: float, n: int) -> list[tuple[int, int]]:
     """Row pairs of a piece that link different classes, one for each text of a smaller class
-    and other class.  A text is compared with all others at once: its shingles are marked and
-    counted in each of them."""
+    and other class.  A text is compared with all others at once: the texts of each of its
+    shingles are counted."""
     w = W.Words(col)
     h, doc = shingles(w, n)
     _, at = np.unique(W.chain(doc.astype(np.uint64), h), return_index=True)
@@ -219,26 +211,27 @@ def links_in_piece(reps: np.ndarray, classes: np.ndarray, minor: np.ndarray, sig
     _, code = np.unique(h, return_inverse=True)
     size = np.bincount(doc, minlength=len(reps))
     cut = np.concatenate([[0], np.cumsum(size)])
-    has = np.flatnonzero(size)
-    mark = np.zeros(code.max() + 1 if len(code) else 1, dtype=np.int64)
+    holders = doc[np.argsort(code, kind="stable")]        # the texts of each shingle, by code
+    many = np.bincount(code)
+    start = np.cumsum(many) - many
+    least = threshold - 1e-12
     out = []
     for x in np.flatnonzero(minor & (size > 0)):
-        other = classes != classes[x]
-        if not ((sig[other] == sig[x]).mean(axis=1) >= prefilter).any():
+        other = (classes != classes[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]))
+        if not other.any():
             continue
         own = code[cut[x]:cut[x + 1]]
-        mark[own] = 1
-        shared = np.zeros(len(reps), np.int64)
-        shared[has] = np.add.reduceat(mark[code], cut[has])
-        mark[own] = 0
-        near = np.flatnonzero(other & (shared >= (threshold - 1e-12) * (size + size[x] - shared)))
+        c = many[own]
+        at = np.arange(c.sum()) + np.repeat(start[own] - np.cumsum(c) + c, c)
+        shared = np.bincount(holders[at], minlength=len(reps))
+        near = np.flatnonzero(other & (shared >= least * (size + size[x] - shared)))
         _, first = np.unique(classes[near], return_index=True)
         out += [(int(x), int(y)) for y in near[first]]
     return out
 
 
 def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float,
-          prefilter: float, n: int) -> DataFrame:
+          n: int) -> DataFrame:
     """Verified links between different classes that share a bucket.
 
     A bucket is dealt into tiles of about ``TILE_CHARS`` of text, those of its largest class
@@ -263,17 +256,15 @@ def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
     rows = rows.select("key", "rep", "class", "minor", F.explode(pieces).alias("p")).checkpoint()
     few = _texts_of(rows.select(F.col("rep").alias("id")).distinct(), texts)
     one = few.groupBy(F.col("id").alias("rep")).agg(F.min("t").alias("t"))
-    rows = (rows.join(reps.select("rep", "sig"), "rep").join(one, "rep")
-            .select("key", "p.x", "p.y", "rep", "class", "minor", "sig", "t")
+    rows = (rows.join(one, "rep").select("key", "p.x", "p.y", "rep", "class", "minor", "t")
             .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep"))
     kind = dict(rows.dtypes)["rep"]
 
     def links_of(t: pa.Table) -> pa.RecordBatch:
         ids = t.column("rep").combine_chunks()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
         cls = t.column("class").to_pandas().factorize()[0]
         minor = t.column("minor").to_numpy().astype(bool)
-        found = links_in_piece(ids, cls, minor, sig, W.as_large_strings(t.column("t")), threshold, prefilter, n)
+        found = links_in_piece(ids, cls, minor, W.as_large_strings(t.column("t")), threshold, n)
         return pa.RecordBatch.from_arrays([ids.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)],
                                           names=["a", "b"])
 
@@ -303,28 +294,29 @@ def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD, shingle: int = SHINGLE, m: int = REGISTERS,
-                    bands: int = BANDS, prefilter: float = PREFILTER) -> DataFrame:
+                    bands: int = BANDS) -> DataFrame:
     """One row (id, class_id) for each row of ``docs``."""
     base = fingerprint(docs, id_col, text_col, m, bands, shingle).checkpoint()
     part = base.filter(F.col("id").isNotNull() & F.col("has_text"))
     copies = part.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = (part.filter(F.col("bands").isNotNull() & (F.size("bands") > 0))
             .join(copies, ["d1", "d2"]).filter("id = rep")
-            .groupBy("rep").agg(F.min_by(F.struct("sig", "bands", "chars"), F.struct("d1", "d2")).alias("s"))
-            .select("rep", "s.sig", "s.bands", "s.chars").checkpoint())
-    sig = reps.select("rep", "sig")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+            .groupBy("rep").agg(F.min_by(F.struct("size", "bands", "chars"), F.struct("d1", "d2")).alias("s"))
+            .select("rep", "s.size", "s.bands", "s.chars").checkpoint())
+    keys = reps.select("rep", "size", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = keys.join(sizes, "key").checkpoint()
     weight = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
-    best = buckets.select("key", "rep").join(weight, "rep")
-    centres = best.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.xxhash64("rep"), "rep")).alias("centre"))
+    best = buckets.select("key", "rep", "size").join(weight, "rep")
+    centres = (best.groupBy("key").agg(F.max_by(F.struct("rep", "size"), F.struct("weight", F.xxhash64("rep"), "rep")).alias("c"))
+               .select("key", F.col("c.rep").alias("centre"), F.col("c.size").alias("centre_size")))
     star = (buckets.join(centres, "key").filter("rep != centre")
+            .filter(F.least("size", "centre_size") >= (threshold - 1e-12) * F.greatest("size", "centre_size"))
             .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
-    links = _verify(star, sig, texts, threshold, prefilter, shingle)
+    links = _verify(star, texts, threshold, shingle)
     classes = connected_components(links, "a", "b").checkpoint()
-    more = _rest(buckets, reps, classes, texts, threshold, prefilter, shingle)
+    more = _rest(buckets, reps, classes, texts, threshold, shingle)
     if not more.isEmpty():
         classes = connected_components(
             classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")),

@@ -65,6 +65,20 @@ def test_rest_finds_links_that_the_centre_misses(spark):
     assert got == brute(rows)
 
 
+def test_shared_passages_that_repeat_differently(spark):
+    """Set similarity over 0.8, half of the shared passage 50 times in one text only."""
+    r = random.Random(8)
+    rows = []
+    for g in range(80):
+        w = [f"g{g}w{k}" for k in range(200)]
+        own = [[f"g{g}{x}{k}" for k in range(r.randint(15, 22))] for x in "ab"]
+        rows += [(2 * g, " ".join(w + own[0])), (2 * g + 1, " ".join(w[:100] * 50 + w[100:] + own[1]))]
+    want = brute(rows)
+    assert len(set(want.values())) < 100
+    got = dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
 def test_edge_cases(spark):
     rows = [(5, None), (6, None), (None, "a b c"), (None, None), (7, ""), (8, " \n"), (9, "a"), (10, "a"),
             (11, "a b c"), (11, "a b c"), (12, "a  b\tc"), (13, "long " * 30_000), (14, "long " * 30_001)]
