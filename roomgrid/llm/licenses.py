@@ -6,7 +6,9 @@ GRAM + WINDOW - 1 words shares one.  The fingerprints of the templates form an i
 (small and fixed by the template table, so it goes along with the task).  A hit names a
 template and a diagonal; the template is then aligned with the words around that diagonal in a
 band, and a match is reported with its coverage (aligned template words that are equal), its
-matched words and its span in characters.  Of matches that overlap, the one with more matched
+matched words and its span in characters.  The phrases of a template that name its license and
+version (``NAMES`` and version numbers) must stand in the span whole and in order; a template
+of under ``SHORT`` words that has none must be covered whole.  Of matches that overlap, the one with more matched
 words stays, then the one with more coverage, then the earlier name.
 
 Templates are a parameter: rows (name, text).  ``TEMPLATES`` has short notices of common
@@ -18,6 +20,7 @@ repeated rows repeat their matches; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +59,33 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY", "Licensed under CC BY"),
+    ("CC-BY-SA", "Licensed under CC BY-SA"),
+    ("CC-BY-NC", "Licensed under CC BY-NC"),
+    ("CC-BY-NC-SA", "Licensed under CC BY-NC-SA"),
+    ("CC-BY-ND", "Licensed under CC BY-ND"),
+    ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND"),
+    ("GPL", "licensed under the GNU General Public License"),
+    ("LGPL", "licensed under the GNU Lesser General Public License"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("AGPL", "licensed under the GNU Affero General Public License"),
+    ("MPL", "Licensed under the Mozilla Public License"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
+    ("zlib", "Licensed under the zlib License"),
+    ("Apache", "Licensed under the Apache License"),
+    ("Apache-2.0", "Licensed under the Apache 2.0 License"),
+    ("BSD", "Licensed under the new BSD License"),
+    ("BSD", "Licensed under the 3-Clause BSD License"),
 )
 
+# What names a license (a version number after these words counts with them).
+NAMES = ("apache license", "apache 2 0", "mit license", "bsd license", "zlib license", "gnu general public license",
+         "gnu lesser general public license", "gnu affero general public license", "mozilla public license",
+         "cc0", "cc by nc sa", "cc by nc nd", "cc by nc", "cc by sa", "cc by nd", "cc by")
+SHORT = 10
+_PHRASE = re.compile(rf"\b(?:(?:{'|'.join(NAMES)})(?: \d+)*|(?:version|v) \d+(?: \d+)*)\b")
+
 _BREAK = np.ones(256, dtype=bool)      # everything but letters, digits and non-ASCII bytes
 for _c in range(256):
     if chr(_c).isalnum() and _c < 128 or _c >= 128:
@@ -110,6 +138,9 @@ class Index:
         w = tokenised(W.as_large_strings(pa.array([t for _, t in templates], pa.string())))
         cut = w.first_word
         self.words = [w.hash[cut[i]:cut[i + 1]] for i in range(len(self.names))]
+        plain = [" ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.lower())) for _, t in templates]
+        self.phrases = [[self.words[i][(k := t[:m.start()].count(" ")):k + m[0].count(" ") + 1]
+                         for m in _PHRASE.finditer(t)] for i, t in enumerate(plain)]
         h, at = grams(w)       # every gram: whichever the text's windows choose, it is here
         order = np.argsort(h, kind="stable")
         self.hash, self.template = h[order], w.doc[at][order]
@@ -151,6 +182,18 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return int(row[d][1]), max(0, row[d][2]), n + shift + d - band
 
 
+def named(phrases: list[np.ndarray], text: np.ndarray) -> bool:
+    """Whether all phrases stand in the text, each without a gap, one after the other."""
+    at = 0
+    for p in phrases:
+        while at + len(p) <= len(text) and not np.array_equal(text[at:at + len(p)], p):
+            at += 1
+        if at + len(p) > len(text):
+            return False
+        at += len(p)
+    return True
+
+
 def matches(col: pa.Array, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     """(row, name, template, coverage, words, first byte, end byte) of a batch."""
     w = tokenised(col)
@@ -171,7 +214,9 @@ def matches(col: pa.Array, index: Index, coverage: float = COVERAGE) -> list[tup
         text = w.hash[cut[d]:cut[d + 1]]
         equal, a, b = align(index.words[t], text, s)
         part = equal / len(index.words[t])
-        if part >= coverage and b > a:
+        phrases = index.phrases[t]
+        least = 1.0 if not phrases and len(index.words[t]) < SHORT else coverage
+        if part >= least and b > a and named(phrases, text[a:b]):
             while b > a and text[b - 1] not in index.words[t]:
                 b -= 1
             found.setdefault(d, []).append((-equal, -part, index.names[t], t, a, b))

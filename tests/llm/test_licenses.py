@@ -47,6 +47,34 @@ def test_planted_notices(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
+def test_names_and_versions_decide(spark):
+    want = {
+        "Licensed under the BSD License": {"BSD"}, "Licensed under the new BSD License": {"BSD"},
+        "Licenced under the MIT License": {"MIT"}, "Licensed under the terms of the MIT License": {"MIT"},
+        "Licensed under the Frobnicate License": set(), "Licensed under the very free Frobnicate License": set(),
+        "licensed under the GNU General Public License": {"GPL"},
+        "licensed under the GNU Library General Public License": set(),
+        "licensed under the GNU Lesser General Public License": {"LGPL"},
+        "licensed under the GNU Lesser General Public License, version 2.1": {"LGPL-2.1"},
+        "licensed under the GNU Affero General Public License": {"AGPL"},
+        "licensed under the GNU General Public License, version 2": {"GPL-2.0"},
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License": set(),
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 1 of the License": set(),
+        "Licensed under the Mozilla Public License": {"MPL"}, "Licensed under the zlib License": {"zlib"},
+        "Licensed under the Apache 2.0 License": {"Apache-2.0"}, "Licensed under the Apache License": {"Apache"},
+        "Licensed under CC BY 3.0": {"CC-BY"}, "Licensed under CC BY-SA 3.0": {"CC-BY-SA"},
+        "Licensed under CC BY-NC-ND 4.0": {"CC-BY-NC-ND-4.0"}, "Licensed under CC BY 4.0": {"CC-BY-4.0"},
+    }
+    notices = list(want)
+    rows = [(i, f"some prose before\n{t}\nother prose after it") for i, t in enumerate(notices)]
+    got = {t: set() for t in notices}
+    for m in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[notices[m["doc_id"]]].add(m["license"])
+    assert got == want
+
+
 def naive(template, text):
     """Most equal words over all alignments (longest common subsequence in the region)."""
     m = [[0] * (len(text) + 1) for _ in range(len(template) + 1)]
