@@ -112,3 +112,9 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import lm
     scored = lm.score(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomgrid.llm import simhash
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
