@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomgrid.llm import chat, mixing, pivots
+from roomgrid.llm import chat, mixing, pivots, prefix_trie
 from roomgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,20 @@ def crc_mod(col, n: int):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(-1))
 
 
+# CRC-32 in SQL, as DuckDB has none: ``crc`` is its byte table, made by rule; a query that uses
+# ``crc_sql`` has it in its FROM.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n,
+  list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def crc_sql(ascii_text: str) -> str:
+    """DuckDB: CRC-32 of a non-empty ASCII text, by the table ``tab`` of ``crc``."""
+    return ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(" + ascii_text + ", ''), "
+            "lambda s: CAST(ord(s) AS BIGINT))), lambda c, b: "
+            "xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import quality
@@ -118,3 +132,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomgrid.llm import simhash
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", prefix_trie.oracle_sql(CRC_TABLE, "c - c % 20", crc_sql("CAST(c AS VARCHAR)") + " % 4"))
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(read_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    rebuilt = prefix_trie.with_heads(lists, conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3)
+    return prefix_trie.trie(rebuilt)
