@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomgrid.llm import chat, mixing, pivots, prefix_trie
+from roomgrid.llm import chat, mixing, pivots, prefix_trie, repair
 from roomgrid.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,38 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     rebuilt = prefix_trie.with_heads(lists, conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3)
     return prefix_trie.trie(rebuilt)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults by a hash of id and turn: rows dropped, emptied, without
+    full stops, repeated, or said by the user; nulls are one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = blank("text")
+    return (rows.select("conv_id", "turn", blank("role").alias("role"), text.alias("text"), kind.alias("kind")).filter("kind <> 0")
+            .select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+                    F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+                    .otherwise(F.col("text")).alias("text"),
+                    F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+            .drop("copy"))
+
+
+_DAMAGED_SQL = f"""{CRC_TABLE},
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations),
+kinds AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations, crc),
+damaged AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0))"""
+
+
+@query("op11_repair", repair.oracle_sql(_DAMAGED_SQL))
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    done = repair.repair(damaged(rows))
+    zero = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return (ids.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+            .na.fill(zero | {"audit": "", "repaired_sha256": repair.EMPTY_SHA})
+            .select(F.col("id").alias("conv_id"), *done.columns[1:]))
