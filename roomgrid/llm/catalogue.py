@@ -17,10 +17,16 @@ ORACLES: dict[str, str] = {}
 ARROW_ROWS = 1000  # rows of an Arrow batch: texts are long
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches for long texts.  It stays set: the frames that are
+    returned run later, and a batch size changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            small_batches(spark)
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         QUERIES[name] = run

@@ -9,7 +9,7 @@ probability Jaccard similarity, which is at least the Jaccard similarity of the
 over ``MOST``, however differently the shared passages repeat.
 
 1. One pass over the texts yields a 128-bit digest of the word sequence, the signature and
-   its band keys.  Exact copies collapse to their smallest id by a keyed minimum.
+   its band keys.  Exact copies collapse to one node, their digest, by a keyed minimum.
 2. Band buckets of two or more texts propose pairs with a centre only: the member whose
    buckets are the largest, as the origin of a group of copies is.  So a bucket of n texts
    gives n - 1 pairs.  Two texts at 0.8 share a bucket with a probability of 0.9996 or more
@@ -24,7 +24,9 @@ over ``MOST``, however differently the shared passages repeat.
 
 Defined results: a null text or null id is alone (its class is its own id); texts without any
 word are copies of each other; rows of equal words are exact copies, whatever their spaces;
-repeated rows stay rows, in one class; rows that share an id are one document; an empty table gives an empty result.
+repeated rows stay rows, in one class; rows that share an id are classed by their own texts, and
+any of them may give a class its id; other columns, whatever their names, are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomgrid.llm import words as W
 from roomgrid.llm.components import connected_components
+from roomgrid.session import scratch_path
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -46,7 +49,6 @@ REGISTERS = 96
 BANDS = 24
 MOST = 1.1             # weight of a shingle without end of occurrences
 TILE_CHARS = 4 << 20   # text of a bucket's tile; two tiles are compared in one piece
-FILTER_BITS = 26       # places of the fixed-size membership filter (8 MB)
 
 
 def shingles(words: W.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -166,35 +168,49 @@ def jaccard_texts(a: pa.Array, b: pa.Array, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (id, t) of the given ids and of few others: a filter of fixed size, however many
-    ids there are, only spares most other texts the shuffle; the join that follows decides."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    words64 = (ids.select((place / 64).cast("int").alias("w"), F.pmod(place, F.lit(64)).cast("int").alias("k"))
-               .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits")))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for part in words64.toLocalIterator():
-        bits[part["w"]] = part["bits"]
+def node(d1: Column, d2: Column) -> Column:
+    """126 bits of a digest as one number, which stands for all texts with that word sequence."""
+    high = F.shiftrightunsigned(d1, 2).cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return (high + d2.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(38,0)")
 
-    @F.arrow_udf(T.BooleanType())
-    def maybe(h: pa.Array) -> pa.Array:
-        p = np.mod(h.to_numpy(zero_copy_only=False).astype(np.int64), 1 << FILTER_BITS)
-        return pa.array(((bits[p >> 6] >> (p & 63)) & 1).astype(bool))
 
-    return texts.filter(maybe(F.xxhash64("id")))
+@F.arrow_udf(T.StructType().add("d1", T.LongType()).add("d2", T.LongType()))
+def digest(text: pa.Array) -> pa.Array:
+    col = W.as_large_strings(text)
+    d1, d2 = np.zeros(len(col), np.uint64), np.zeros(len(col), np.uint64)
+    for a, b in W.slices(col):
+        d1[a:b], d2[a:b] = sequence_digest(W.Words(col.slice(a, b - a)))
+    return pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["d1", "d2"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Pairs (a, b) of ids -> links whose texts are similar enough."""
+def text_node(text: str) -> Column:
+    d = digest(F.col(text))
+    return node(d["d1"], d["d2"])
+
+
+def _texts_of(reps: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, t): one text of each of the given nodes.  The nodes and their smallest ids are
+    written first, so that Spark knows how many there are when it plans the join: few are
+    broadcast, many are shuffled behind its runtime filter."""
+    spark = reps.sparkSession
+    path = scratch_path(spark, "wanted")
+    reps.select("rep").distinct().join(copies.select("rep", "low"), "rep").write.parquet(path)
+    wanted = spark.read.parquet(path)
+    few = texts.join(wanted, F.col("id") == F.col("low")).filter(text_node("t") == F.col("rep"))   # an id may have other texts
+    return few.groupBy("rep").agg(F.min("t").alias("t"))
+
+
+def _verify(pairs: DataFrame, copies: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Pairs (a, b) of nodes -> links whose texts are similar enough."""
     pairs = pairs.checkpoint()
-    few = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
+    few = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), copies, texts)
 
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(jaccard_texts(a, b, n))
 
-    return (pairs.join(few.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-            .join(few.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    return (pairs.join(few.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a")
+            .join(few.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
             .filter(jaccard("ta", "tb") >= threshold - 1e-12).select("a", "b").checkpoint())
 
 
@@ -230,8 +246,8 @@ def links_in_piece(reps: np.ndarray, classes: np.ndarray, minor: np.ndarray, col
     return out
 
 
-def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float,
-          n: int) -> DataFrame:
+def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, copies: DataFrame, texts: DataFrame,
+          threshold: float, n: int) -> DataFrame:
     """Verified links between different classes that share a bucket.
 
     A bucket is dealt into tiles of about ``TILE_CHARS`` of text, those of its largest class
@@ -254,9 +270,7 @@ def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
                         transform(sequence(0, t_minor - 1), i -> struct(least(i, tile) as x, greatest(i, tile) as y)),
                         transform(sequence(0, t_major - 1), j -> struct(tile as x, -1 - j as y)))"""))
     rows = rows.select("key", "rep", "class", "minor", F.explode(pieces).alias("p")).checkpoint()
-    few = _texts_of(rows.select(F.col("rep").alias("id")).distinct(), texts)
-    one = few.groupBy(F.col("id").alias("rep")).agg(F.min("t").alias("t"))
-    rows = (rows.join(one, "rep").select("key", "p.x", "p.y", "rep", "class", "minor", "t")
+    rows = (rows.join(_texts_of(rows, copies, texts), "rep").select("key", "p.x", "p.y", "rep", "class", "minor", "t")
             .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep"))
     kind = dict(rows.dtypes)["rep"]
 
@@ -292,16 +306,13 @@ def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct().checkpoint()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = THRESHOLD, shingle: int = SHINGLE, m: int = REGISTERS,
-                    bands: int = BANDS) -> DataFrame:
-    """One row (id, class_id) for each row of ``docs``."""
-    base = fingerprint(docs, id_col, text_col, m, bands, shingle).checkpoint()
-    part = base.filter(F.col("id").isNotNull() & F.col("has_text"))
-    copies = part.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = (part.filter(F.col("bands").isNotNull() & (F.size("bands") > 0))
-            .join(copies, ["d1", "d2"]).filter("id = rep")
-            .groupBy("rep").agg(F.min_by(F.struct("size", "bands", "chars"), F.struct("d1", "d2")).alias("s"))
+def _classes(base: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Signatures and texts (id, t) -> (rep, low, class): the nodes, their smallest ids, and
+    the node that stands for their class."""
+    part = base.filter(F.col("id").isNotNull() & F.col("has_text")).withColumn("rep", node(F.col("d1"), F.col("d2")))
+    copies = part.groupBy("rep").agg(F.min("id").alias("low")).checkpoint()
+    reps = (part.filter(F.size("bands") > 0).join(copies, "rep").filter("id = low")
+            .groupBy("rep").agg(F.first(F.struct("size", "bands", "chars")).alias("s"))
             .select("rep", "s.size", "s.bands", "s.chars").checkpoint())
     keys = reps.select("rep", "size", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -313,17 +324,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = (buckets.join(centres, "key").filter("rep != centre")
             .filter(F.least("size", "centre_size") >= (threshold - 1e-12) * F.greatest("size", "centre_size"))
             .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
-    links = _verify(star, texts, threshold, shingle)
-    classes = connected_components(links, "a", "b").checkpoint()
-    more = _rest(buckets, reps, classes, texts, threshold, shingle)
+    links = _verify(star, copies, texts, threshold, shingle)
+    classes = connected_components(links, "a", "b")
+    more = _rest(buckets, reps, classes, copies, texts, threshold, shingle)
     if not more.isEmpty():
         classes = connected_components(
-            classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")),
-            "a", "b").checkpoint()
-    groups = (copies.join(classes, F.col("rep") == F.col("node"), "left")
-              .select("d1", "d2", F.coalesce("component", "rep").alias("class_id")))
+            classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")), "a", "b")
+    return (copies.join(classes, F.col("rep") == F.col("node"), "left")
+            .select("rep", "low", F.coalesce("component", "rep").alias("class")))
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str, m: int, bands: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    base = fingerprint(docs, id_col, text_col, m, bands, shingle).checkpoint()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
+    return base, texts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = THRESHOLD, shingle: int = SHINGLE, m: int = REGISTERS,
+                    bands: int = BANDS) -> DataFrame:
+    """One row (id, class_id) for each row of ``docs``."""
+    base, texts = _read(docs, id_col, text_col, m, bands, shingle)
+    classes = _classes(base, texts, threshold, shingle).checkpoint()
+    least = classes.groupBy("class").agg(F.min("low").alias("class_id"))
+    named = classes.join(least, "class").select("rep", "class_id")
     alone = F.col("id").isNull() | ~F.col("has_text")
-    return (base.select("id", *[F.when(~alone, F.col(c)).alias(c) for c in ("d1", "d2")])
-            .join(groups, ["d1", "d2"], "left")
+    return (base.select("id", F.when(~alone, node(F.col("d1"), F.col("d2"))).alias("rep"))
+            .join(named, "rep", "left")
             .select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                  shingle: int = SHINGLE, m: int = REGISTERS, bands: int = BANDS) -> DataFrame:
+    """The documents with one of each class: that of the smallest id, and of several rows with
+    that id and word sequence the one with the smallest text.  Rows without an id or a text stay.
+
+    Only ids with several rows need their texts' digests again; for the others the id decides."""
+    base, texts = _read(docs, id_col, text_col, m, bands, shingle)
+    classes = _classes(base, texts, threshold, shingle)
+    first = (classes.groupBy("class").agg(F.min(F.struct("low", "rep")).alias("f"))
+             .select(F.col("f.low").alias("low"), F.col("f.rep").alias("rep")).checkpoint())
+    several = (base.filter(F.col("id").isNotNull() & F.col("has_text")).groupBy("id").agg(F.count("*").alias("n"))
+               .filter("n > 1").select(F.col("id").alias("low")).checkpoint())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("low"),
+                       F.col(text_col).alias("t"))
+    known = rows.filter("low is not null and t is not null")
+    once = known.join(first.join(several, "low", "left_anti"), "low", "left_semi").select("row")
+    again = (known.join(several, "low", "left_semi").join(first, "low").filter(text_node("t") == F.col("rep"))
+             .groupBy("low", "rep").agg(F.min_by("row", "t").alias("row")).select("row"))
+    kept = rows.filter("low is null or t is null").select("row").unionAll(once).unionAll(again)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -107,3 +107,21 @@ def test_join_parts_tile_large_buckets(spark, monkeypatch):
     rows = corpus(9)
     got = dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), m=16, bands=16).collect())
     assert got == brute(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Two texts of one id: none is lost, and neither is a copy of either."""
+    r = random.Random(17)
+    a, b, c = (" ".join(r.choice("abcdefghij") * 3 + str(r.randrange(50)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (9, b.replace(" ", "  "), "z"), (1, b, "w"), (2, c, "v"), (2, c + " more", "u"), (None, a, "n"),
+            (3, None, "t"), (3, None, "t"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep string").selectExpr("*", "rep as low", "rep as row", "rep as t", "rep as `_d`")
+    out = N.first_of_each(df)
+    assert out.columns == df.columns
+    kept = sorted((x["doc_id"], x["text"]) for x in out.collect() if x["doc_id"] is not None and x["text"] is not None)
+    assert kept in ([(1, a), (1, b), (2, c)], [(1, a), (1, b), (2, c + " more")], sorted([(1, a), (1, b), (2, c)]),
+                    sorted([(1, a), (1, b), (2, c + " more")]))
+    rest = [tuple(x)[:3] for x in out.collect() if x["doc_id"] is None or x["text"] is None]
+    assert sorted(rest, key=repr) == sorted([(None, a, "n"), (3, None, "t"), (3, None, "t"), (None, None, "s")], key=repr)
+    classes = [tuple(x) for x in N.near_duplicates(df).collect()]
+    assert len(classes) == len(rows) and (9, 1) in classes
