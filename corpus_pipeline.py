@@ -5,8 +5,8 @@ returns a DataFrame; all but the last return the columns of ``documents``.  ``ru
 each stage's rows below the shared checkpoint folder and reads them as the next one's docs.
 
 Defined results, besides those of the operators: documents whose score is under 0.7 go; of a
-group of near duplicates the smallest id stays (of rows that share it, the first by text),
-and rows without an id or a text are groups of their own; secrets are masked in the texts; a
+group of near duplicates the smallest id stays (of its rows with those words, the first by
+text), and rows without an id or a text are groups of their own; secrets are masked in the texts; a
 mixed document appears once for each whole copy and once more for its extra blocks, and one
 without words is not in a mix.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomgrid.llm import catalogue, mixing, neardup, packing, quality, secrets
@@ -32,10 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = (neardup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct())
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_one", one).filter("_one = 1").drop("_one")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return neardup.first_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +49,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _batched(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", catalogue.ARROW_ROWS)
+        catalogue.small_batches(spark)
         return fn(spark, docs, sf_dir)
     run_stage.__name__ = fn.__name__
     return run_stage
