@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomgrid.operators import dialogue as DLG
+from roomgrid.operators import requests as REQ
 from roomgrid.operators import search as S
 from roomgrid.plans.registry import register
 from roomgrid.sources import views as V
@@ -226,6 +227,45 @@ def search_listings(spark, d):
     return out.select("id", "title", "property_type", "location", "price")
 
 
+# Requests as a table: one for each customer, with patterns cut from nation and part names,
+# some with signs of patterns, some short, some empty or null.
+REQUESTS_SQL = f"""
+SELECT c_custkey AS request_id,
+       CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN left(lower(n_name), 2) WHEN 3 THEN substring(n_name, 2, 3)
+            WHEN 4 THEN left(n_name, 1) || '%' || right(n_name, 2) WHEN 5 THEN left(n_name, 2) || '_' || substring(lower(n_name), 4)
+            ELSE n_name END AS location,
+       CASE c_custkey % 5 WHEN 0 THEN p_type WHEN 1 THEN lower(substring(p_type, 3, 6)) WHEN 2 THEN right(p_type, 1)
+            WHEN 3 THEN '%' END AS property_type,
+       CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 900 + c_custkey % 1100 END AS max_price
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN part ON p_partkey = c_custkey % 500 + 1"""
+
+
+@register("search_by_requests", views=("listings_v",), sql=f"""
+WITH asked AS ({REQUESTS_SQL}),
+hits AS (SELECT r.request_id, l.id, row_number() OVER (PARTITION BY r.request_id ORDER BY l.id) AS rank
+         FROM asked r JOIN listings_v l ON (coalesce(r.location, '') = '' OR l.location ILIKE '%' || r.location || '%')
+          AND (coalesce(r.property_type, '') = '' OR l.property_type ILIKE '%' || r.property_type || '%')
+          AND (r.max_price IS NULL OR l.price <= r.max_price))
+SELECT request_id, rank, id FROM hits WHERE rank <= {REQ.LIMIT}
+""")
+def search_by_requests(spark, d):
+    """Attribute search for every customer's request at once, through the gram index."""
+    c, n, p = (read_table(spark, d, t) for t in ("customer", "nation", "part"))
+    k, name, kind = F.col("c_custkey"), F.col("n_name"), F.col("p_type")
+    rows = (c.join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+            .join(p.select("p_partkey", "p_type"), F.col("p_partkey") == k % 500 + 1, "left"))
+    asked = rows.select(
+        k.alias("request_id"),
+        F.when(k % 7 == 1, "").when(k % 7 == 2, F.left(F.lower(name), F.lit(2))).when(k % 7 == 3, F.substring(name, 2, 3))
+        .when(k % 7 == 4, F.concat(F.left(name, F.lit(1)), F.lit("%"), F.right(name, F.lit(2))))
+        .when(k % 7 == 5, F.concat(F.left(name, F.lit(2)), F.lit("_"), F.substring(F.lower(name), 4, 100)))
+        .when(k % 7 == 6, name).alias("location"),
+        F.when(k % 5 == 0, kind).when(k % 5 == 1, F.lower(F.substring(kind, 3, 6))).when(k % 5 == 2, F.right(kind, F.lit(1)))
+        .when(k % 5 == 3, "%").alias("property_type"),
+        F.when(k % 4 == 1, 0).when(k % 4 > 1, 900 + k % 1100).alias("max_price"))
+    return REQ.search_by_requests(V.listings(spark, d), asked)
+
+
 # ---- cards / replies ---------------------------------------------------------------
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
