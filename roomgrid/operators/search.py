@@ -59,7 +59,8 @@ def knn(emb: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD
     if dim is None:
         dim = queries.select(F.max(F.size("embedding"))).first()[0] or 1
     emb = emb.filter(F.col("id").isNotNull() & usable(F.col("embedding"), dim)).select("id", "embedding")
-    queries = queries.filter(usable(F.col("embedding"), dim)).select("query_id", "embedding")
+    # named anew, as queries may come from the same frame as the embeddings
+    queries = queries.filter(usable(F.col("embedding"), dim)).select("query_id", F.col("embedding").alias("vector"))
     # a count, not the rows: the sides stay where they are
     n_q, n_e = queries.count(), emb.count()
     qb, eb = block_count(n_q, dim, block_bytes), block_count(n_e, dim, block_bytes)
@@ -75,7 +76,7 @@ def knn(emb: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD
         ids, q_ids = epdf["id"], qpdf["query_id"]
         if len(ids) and len(q_ids):
             e, ev = unit_rows(epdf["embedding"].tolist(), dim)
-            q, qv = unit_rows(qpdf["embedding"].tolist(), dim)
+            q, qv = unit_rows(qpdf["vector"].tolist(), dim)
             qi, ri, s = block_top(e, ev, q, qv, ids.rank(method="first").to_numpy(), threshold, k)
         else:
             qi, ri, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)

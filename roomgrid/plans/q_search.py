@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomgrid.operators import dialogue as DLG
+from roomgrid.operators import ivf as IVF
 from roomgrid.operators import requests as REQ
 from roomgrid.operators import search as S
 from roomgrid.plans.registry import register
 from roomgrid.sources import views as V
 from roomgrid.sources.tables import read_table
 
-# Parameters of the registered searches.  A query is the mean vector of a label: the query
-# table is made from all vectors but grows with the labels only, so a search is not the
-# product of a table with itself.
+# Parameters of the registered searches.  Queries are the vectors whose id is divisible by 50,
+# against all vectors.
 DIM = 64
-BATCH_THRESHOLD = 0.05
+BATCH_THRESHOLD = 0.2
 BATCH_K = 5
-QUERIES_SQL = """
-qe AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-q AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS embedding
-      FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM qe GROUP BY label, i) GROUP BY label)"""
+QUERY_EVERY = 50
+QUERIES_SQL = f"""
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0)"""
 RESULT_COLS = ["title", "property_type", "location", "price"]
 
 
 def _queries(spark, d):
-    """The mean vector of every label ("listings like these")."""
-    q = S.centroids(read_table(spark, d, "embeddings"), "label")
-    return q.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    e = read_table(spark, d, "embeddings").filter(F.col("vec_id") % QUERY_EVERY == 0)
+    return e.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @register("knn_batch", views=("listings_v",), sql=f"""
@@ -93,29 +91,50 @@ def knn_best_match(spark, d):
         F.max("similarity").alias("similarity"))
 
 
-LSH_RECALL = 0.8
+RECALL, SCORED = 0.9, 0.2
+EXACT_SQL = f"""
+WITH le AS (SELECT vec_id AS id, embedding FROM embeddings
+            WHERE vec_id IN (SELECT id FROM listings_v)),{QUERIES_SQL},
+s AS (SELECT q.query_id, le.id,
+             list_cosine_similarity(le.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+      FROM q, le),
+f AS (SELECT query_id, id, round(sim, 6) AS similarity FROM s WHERE sim > {BATCH_THRESHOLD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM f)
+SELECT query_id, rank, id, similarity, true AS precise, true AS recalled FROM r WHERE rank <= {BATCH_K}
+"""
 
 
-@register("knn_lsh", sql="SELECT DISTINCT CAST(label AS BIGINT) AS query_id, true AS precise, true AS recalled FROM embeddings")
+def _held_against_exact(near, exact):
+    """The exact hits, with whether all scores of the approximate hits are exact and whether
+    these hold at least ``RECALL`` of all exact hits of all queries together."""
+    j = exact.join(near.select("query_id", "id", F.col("similarity").alias("_found")), ["query_id", "id"], "left").checkpoint()
+    n, found, gap = j.agg(F.count("*"), F.count("_found"), F.max(F.abs(F.col("_found") - F.col("similarity")))).first()
+    return j.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "similarity",
+                    F.lit((gap or 0.0) <= 1e-6).alias("precise"), F.lit(found >= RECALL * n).alias("recalled"))
+
+
+@register("knn_lsh", views=("listings_v",), sql=EXACT_SQL)
 def knn_lsh(spark, d):
-    """Approximate search (hyperplane keys + exact scores) held against the exact one: every
-    score it reports is exact, and it finds at least LSH_RECALL of the exact top-k."""
+    """Approximate search (hyperplane keys + exact scores) held against the exact one."""
+    emb = S.searchable(V.listing_embeddings(spark, d), V.listings(spark, d))
+    queries = _queries(spark, d)
+    near = S.lsh_candidates(emb, queries, BATCH_THRESHOLD, BATCH_K, DIM)
+    return _held_against_exact(near, S.knn(emb, queries, BATCH_THRESHOLD, BATCH_K, dim=DIM))
+
+
+@register("knn_ivf", views=("listings_v",), sql=EXACT_SQL.replace("AS recalled", "AS recalled, true AS few_scored"))
+def knn_ivf(spark, d):
+    """Approximate search (inverted file, compressed vectors, exact scores of the best) held
+    against the exact one; and whether under ``SCORED`` of all pairs were scored exactly."""
     emb = S.searchable(V.listing_embeddings(spark, d), V.listings(spark, d))
     queries = _queries(spark, d)
-    near = S.lsh_candidates(emb, queries, BATCH_THRESHOLD, BATCH_K, DIM).select(
-        "query_id", "id", F.col("similarity").alias("_found"))
-    exact = S.knn(emb, queries, BATCH_THRESHOLD, BATCH_K, dim=DIM).select("query_id", "id", "similarity")
-    worst = exact.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("worst"))
-    j = near.join(exact, ["query_id", "id"], "full_outer")
-    got = j.groupBy("query_id").agg(
-        F.sum((F.col("_found").isNotNull() & F.col("similarity").isNotNull()).cast("int")).alias("both"),
-        F.max(F.abs(F.col("_found") - F.col("similarity"))).alias("gap"), F.max(
-            F.when(F.col("similarity").isNull(), F.col("_found"))).alias("extra"))
-    out = queries.select("query_id").join(got, "query_id", "left").join(worst, "query_id", "left")
-    return out.select(
-        "query_id", (F.coalesce(F.col("gap"), F.lit(0.0)) <= 1e-6).__and__(
-            F.coalesce(F.col("extra") <= F.col("worst") + 1e-6, F.lit(True))).alias("precise"),
-        (F.coalesce(F.col("both"), F.lit(0)) >= F.floor(LSH_RECALL * F.coalesce(F.col("n"), F.lit(0)))).alias("recalled"))
+    centroids = IVF.fit(emb, DIM)
+    lists = IVF.index(emb, centroids).checkpoint()
+    scored = IVF.refined(lists, emb, queries, centroids).checkpoint()
+    pairs = queries.count() * emb.count()
+    near = S.rank_topk(scored.filter(F.col("sim") > F.lit(BATCH_THRESHOLD)), BATCH_K)
+    out = _held_against_exact(near, S.knn(emb, queries, BATCH_THRESHOLD, BATCH_K, dim=DIM))
+    return out.withColumn("few_scored", F.lit(scored.count() <= SCORED * pairs))
 
 
 @register("vector_rejects", sql=f"""
@@ -307,7 +326,7 @@ cards AS (SELECT r.query_id, pages.page, r.rank, {CARD_SQL} AS card
           WHERE r.rank <= {REPLY_K}),
 agg AS (SELECT query_id, page, string_agg(card, chr(10) || chr(10) ORDER BY rank) AS cards
         FROM cards GROUP BY query_id, page),
-asks AS (SELECT query_id FROM q UNION ALL SELECT query_id + 1000 FROM q),
+asks AS (SELECT query_id FROM q UNION ALL SELECT -query_id - 1 FROM q),
 w AS (SELECT query_id, page, CASE query_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'sw' ELSE 'sheng' END AS lang,
              CASE query_id % 3 WHEN 0 THEN 'en' ELSE 'sw' END AS grp FROM asks CROSS JOIN pages)
 SELECT w.query_id, w.page, w.lang,
@@ -323,7 +342,7 @@ def search_replies(spark, d):
     from pyspark.sql import DataFrame
     lst = V.listings(spark, d)
     queries = _queries(spark, d)
-    none = queries.select((F.col("query_id") + 1000).alias("query_id"),
+    none = queries.select((-F.col("query_id") - 1).alias("query_id"),
                           F.transform("embedding", lambda x: F.lit(0.0)).alias("embedding"))
     queries = queries.unionByName(none)
     hits = S.knn(S.searchable(V.listing_embeddings(spark, d), lst), queries, BATCH_THRESHOLD, REPLY_K, dim=DIM)
