@@ -17,16 +17,29 @@ ORACLES: dict[str, str] = {}
 ARROW_ROWS = 1000  # rows of an Arrow batch: texts are long
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches for long texts.  It stays set: the frames that are
-    returned run later, and a batch size changes no result."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+# Arrow batches for long texts, and Spark's runtime Bloom filter (at most 8 MB) for joins of
+# the texts with a written list of ids, whatever the size of either side.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS,
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": 4_000_000,
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": 1 << 26,
+}
+
+
+def settings(spark: SparkSession) -> None:
+    """Set the session's ``SETTINGS``.  They stay set: the frames that are returned run later,
+    and none of them changes a result."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
 
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            small_batches(spark)
+            settings(spark)
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         QUERIES[name] = run

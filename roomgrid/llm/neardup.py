@@ -191,11 +191,12 @@ def text_node(text: str) -> Column:
 def _texts_of(reps: DataFrame, copies: DataFrame, texts: DataFrame) -> DataFrame:
     """(rep, t): one text of each of the given nodes.  The nodes and their smallest ids are
     written first, so that Spark knows how many there are when it plans the join: few are
-    broadcast, many are shuffled behind its runtime filter."""
+    broadcast, many are shuffled, and the texts pass Spark's runtime Bloom filter before.  That
+    is built for a side which a comparison narrows, hence the one that holds for all."""
     spark = reps.sparkSession
     path = scratch_path(spark, "wanted")
-    reps.select("rep").distinct().join(copies.select("rep", "low"), "rep").write.parquet(path)
-    wanted = spark.read.parquet(path)
+    reps.groupBy("rep").agg(F.count("*").alias("n")).join(copies.select("rep", "low"), "rep").write.parquet(path)
+    wanted = spark.read.parquet(path).filter("n > 0").select("rep", "low")
     few = texts.join(wanted, F.col("id") == F.col("low")).filter(text_node("t") == F.col("rep"))   # an id may have other texts
     return few.groupBy("rep").agg(F.min("t").alias("t"))
 
@@ -364,8 +365,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = _classes(base, texts, threshold, shingle)
     first = (classes.groupBy("class").agg(F.min(F.struct("low", "rep")).alias("f"))
              .select(F.col("f.low").alias("low"), F.col("f.rep").alias("rep")).checkpoint())
-    several = (base.filter(F.col("id").isNotNull() & F.col("has_text")).groupBy("id").agg(F.count("*").alias("n"))
-               .filter("n > 1").select(F.col("id").alias("low")).checkpoint())
+    path = scratch_path(docs.sparkSession, "several")      # written, as usually none has, and the plan should know
+    (base.filter(F.col("id").isNotNull() & F.col("has_text")).groupBy(F.col("id").alias("low")).agg(F.count("*").alias("n"))
+     .filter("n > 1").write.parquet(path))
+    several = docs.sparkSession.read.parquet(path).filter("n > 1").select("low")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("low"),
                        F.col(text_col).alias("t"))
     known = rows.filter("low is not null and t is not null")
