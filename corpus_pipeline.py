@@ -49,7 +49,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _batched(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        catalogue.small_batches(spark)
+        catalogue.settings(spark)
         return fn(spark, docs, sf_dir)
     run_stage.__name__ = fn.__name__
     return run_stage
