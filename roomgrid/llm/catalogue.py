@@ -17,15 +17,14 @@ ORACLES: dict[str, str] = {}
 ARROW_ROWS = 1000  # rows of an Arrow batch: texts are long
 
 
-# Arrow batches for long texts, and Spark's runtime Bloom filter (at most 8 MB) for joins of
-# the texts with a written list of ids, whatever the size of either side.
+# Arrow batches for long texts, and Spark's runtime Bloom filter for joins of the
+# texts with a written list of ids, whatever the size of either side.  Its size stays Spark's
+# (1 MB, good for about a million ids): with many more, raise numBits and the driver's memory.
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS,
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16MB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": 4_000_000,
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": 1 << 26,
 }
 
 
