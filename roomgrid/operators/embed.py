@@ -48,17 +48,47 @@ def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str
 
 
 def model_udf(fn, dim: int):
-    """Wrap a batch embedding function (list[str] -> list[list[float]]) as a pandas UDF; a
-    vector of another length than ``dim`` fails the row's task with a clear error."""
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        out = [list(map(float, v)) for v in fn(texts.fillna("").tolist())]
-        if any(len(v) != dim for v in out):
-            raise ValueError(f"the embedding function must return vectors of length {dim}")
-        return pd.Series(out, index=texts.index)
+    """Wrap a batch embedding function (list[str] -> list[list[float]]) as a pandas UDF.  It
+    returns (embedding, error): a call that fails is halved until the rows that fail are alone,
+    so they carry the error's text and no vector, and all others their vector.  A vector of
+    another length than ``dim`` is such a failure.  A batch with r failing rows of n takes at
+    most about 2 r log2(n) more calls."""
+    def vectors(texts: list[str]) -> list[list[float]]:
+        out = [list(map(float, v)) for v in fn(texts)]
+        if len(out) != len(texts) or any(len(v) != dim for v in out):
+            raise ValueError(f"the embedding function must return a vector of length {dim} for each text")
+        return out
+
+    def isolated(texts: list[str]) -> list[tuple]:
+        done, todo = [], [texts]
+        while todo:
+            part = todo.pop()
+            try:
+                done.extend((v, None) for v in vectors(part))
+            except Exception as e:  # whatever the model raises belongs to its rows
+                if len(part) == 1:
+                    done.append((None, f"{type(e).__name__}: {e}"))
+                else:
+                    half = len(part) // 2
+                    todo += [part[half:], part[:half]]
+        return done
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        rows = isolated(texts.fillna("").tolist()) if len(texts) else []
+        return pd.DataFrame(rows, columns=["embedding", "error"], index=texts.index)
     return embed
 
 
+def embed_rows(df: DataFrame, text: str, fn, dim: int) -> DataFrame:
+    """Rows + embedding + reject_reason (one of the two is null): the model is called once for a
+    row, so a caller that keeps both kinds writes this frame and splits what it reads back."""
+    model = model_udf(fn, dim).asNondeterministic()  # no second call where the plan uses it twice
+    made = df.withColumn("_made", model(F.col(text)))
+    return made.withColumn("embedding", F.col("_made.embedding")) \
+        .withColumn("reject_reason", F.col("_made.error")).drop("_made")
+
+
 def ingest_split(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compose the text of every listing.  Rows without an id, and rows with an empty text
     (which stands for a call of the embedding model that fails), are rejected with a reason

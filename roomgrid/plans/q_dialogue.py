@@ -3,6 +3,8 @@ favorites, inquiries, replies, critique, label normalisation, user upsert."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from roomgrid.functions.text import ANON, SPACE, normalize_user_key
@@ -14,6 +16,8 @@ from roomgrid.plans.oracle_views import (blank_sql, keyword_stage_sql, map_code_
                                          nb_lang_ctes, strip_sql)
 from roomgrid.plans.q_text import INTENT_CUTOFF, intent_model, with_intent
 from roomgrid.plans.registry import register
+from roomgrid.session import scratch_path
+from roomgrid.sources import snapshots as SNAP
 from roomgrid.sources import views as V
 from roomgrid.sources.tables import read_split, read_table
 
@@ -208,6 +212,54 @@ def upsert_users(spark, d):
         .select("id", "phone_number", "full_name", "is_new")
 
 
+def snapshot_sql(name: str, base: str, batch: str) -> str:
+    """The users ``base`` after the senders that satisfy ``batch``."""
+    return f"""
+{name} AS (SELECT coalesce(u.id, 'u-' || sha256(i.phone_number)) AS id,
+               coalesce(u.phone_number, i.phone_number) AS phone_number, u.full_name
+        FROM {base} u FULL OUTER JOIN
+             (SELECT DISTINCT user_key AS phone_number FROM keyed WHERE user_key <> 'anon' AND {batch}) i
+          ON i.phone_number = u.phone_number)"""
+
+
+@register("user_snapshots", views=("messages_v", "users_v"), sql=f"""
+WITH none AS (SELECT id, phone_number, full_name FROM users_v WHERE false),
+keyed AS (SELECT message_id, {user_key_sql('from_raw')} AS user_key FROM messages_v),
+{snapshot_sql('one', 'none', 'message_id % 3 = 0')},
+{snapshot_sql('two', 'one', 'message_id % 3 <> 0')}
+SELECT 2 AS version, id, phone_number, full_name FROM one
+UNION ALL SELECT 3, id, phone_number, full_name FROM two
+UNION ALL SELECT 4, coalesce(two.id, u.id), coalesce(two.phone_number, u.phone_number), coalesce(u.full_name, two.full_name)
+          FROM two FULL OUTER JOIN users_v u ON u.phone_number = two.phone_number
+""")
+def user_snapshots(spark, d):
+    """Upserts that stick: an empty table, two batches of senders, then the known users, whose
+    names go to the rows of their keys; each is committed as a version of its own, and the first
+    batch once more changes nothing.  All versions are read by number."""
+    keyed = V.messages(spark, d).select("message_id", normalize_user_key(F.col("from_raw")).alias("user_key")) \
+        .filter(F.col("user_key") != ANON)
+    path = f"{scratch_path(spark, 'users')}/table"
+
+    def batch(name, where):
+        SNAP.commit(spark, path, name, lambda users: upsert(users, _keys(keyed.filter(where)))
+                    .select("id", "phone_number", "full_name"))
+
+    def named(users):
+        u = V.users(spark, d).select(F.col("id").alias("_id"), "phone_number", F.col("full_name").alias("_name"))
+        return users.join(u, "phone_number", "full_outer").select(
+            F.coalesce("id", "_id").alias("id"), "phone_number", F.coalesce("_name", "full_name").alias("full_name"))
+
+    third = F.col("message_id") % 3 == 0
+    SNAP.commit(spark, path, "empty", lambda _: V.users(spark, d).limit(0))
+    batch("first", third)
+    batch("second", ~third)
+    SNAP.commit(spark, path, "names", named)
+    batch("first", third)
+    out = [SNAP.read(spark, path, v.number).withColumn("version", F.lit(v.number))
+           for v in SNAP.versions(spark, path)]
+    return reduce(lambda a, b: a.unionByName(b), out).select("version", "id", "phone_number", "full_name")
+
+
 def commands(parsed):
     return parsed.filter(F.col("route").isin("save", "inquiry") & F.col("listing_ref").isNotNull())
 

@@ -107,6 +107,37 @@ def ingest_rejects(spark, d):
     return bad.select("id", "title", "reject_reason")
 
 
+PLAIN_DIM = 3
+
+
+def plain_model(texts):
+    """A stand-in for a hosted model, with its faults: a batch with an empty text or one that
+    names parking fails as a whole."""
+    if any(t == "" for t in texts):
+        raise ValueError("no input")
+    if any("arking" in t for t in texts):
+        raise RuntimeError("refused")
+    return [[len(t), t.count(" "), t.count("|")] for t in texts]
+
+
+@register("model_embeddings", views=("ingest_v",), sql=f"""
+WITH t AS (SELECT id, title, {COMPOSE_SQL} AS text FROM ingest_v)
+SELECT id, title,
+       CASE WHEN text = '' THEN 'ValueError: no input' WHEN contains(text, 'arking') THEN 'RuntimeError: refused' END AS reject_reason,
+       CASE WHEN text <> '' AND NOT contains(text, 'arking')
+            THEN len(text) || ',' || (len(text) - len(replace(text, ' ', ''))) || ',' || (len(text) - len(replace(text, '|', '')))
+       END AS vector
+FROM t
+""")
+def model_embeddings(spark, d):
+    """Embedding by a model that fails on some rows: the others keep their vectors, the failing
+    ones are rejects with the model's error."""
+    t = V.ingest_batch(spark, d).withColumn("text", compose_listing_text())
+    vector = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
+    return EM.embed_rows(t, "text", plain_model, PLAIN_DIM) \
+        .select("id", "title", "reject_reason", vector.alias("vector"))
+
+
 @register("ingest_summary", views=("ingest_v",), sql=f"""
 WITH t AS (SELECT id, {COMPOSE_SQL} AS text FROM ingest_v)
 SELECT count(*) AS n_listings, count(*) FILTER (WHERE id IS NULL OR text = '') AS n_rejected,

@@ -337,7 +337,28 @@ def test_ingest_keeps_the_store(spark):
     _, bad = EM.ingest_split(listings)
     assert {(r.id, r.reject_reason) for r in bad.collect()} == {(None, "missing id"), (5, "empty text")}
     embed = EM.model_udf(lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
-    assert spark.createDataFrame([("abc",), (None,)], "t string").select(embed("t").alias("v")).collect()[0].v == [3.0, 1.0]
+    got = spark.createDataFrame([("abc",), (None,)], "t string").select(embed("t").alias("v")).collect()
+    assert [(r.v.embedding, r.v.error) for r in got] == [([3.0, 1.0], None), ([0.0, 1.0], None)]
+
+
+def test_model_failures_stay_with_their_rows(spark):
+    from roomgrid.operators import embed as EM
+
+    def model(texts):
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("refused")
+        return [[1.0, 2.0] if t != "long" else [1.0] for t in texts]
+    rows = [(i, "bad" if i % 97 == 5 else "long" if i == 400 else None if i == 7 else "ok") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    out = EM.embed_rows(df, "t", model, 2)
+    wrong = {i: "RuntimeError: refused" for i, t in rows if t == "bad"}
+    wrong[400] = "ValueError: the embedding function must return a vector of length 2 for each text"
+    got = out.collect()
+    assert len(got) == 1000
+    assert {r.id: r.reject_reason for r in got if r.reject_reason is not None} == wrong
+    assert all(r.embedding == (None if r.id in wrong else [1.0, 2.0]) for r in got)
+    assert out.filter("reject_reason is null").count() == 1000 - len(wrong)
+    assert EM.embed_rows(df.filter("id < 0"), "t", model, 2).count() == 0
 
 
 def test_message_source_and_chat_append(spark, tmp_path):

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from tests.oracle_check import TABLES, rows_of
 
 SQLS = E.oracle_sql()
-OWN_TESTS = tuple(f"op{n}_" for n in range(1, 11)) + ("pipeline",)   # held in tests/llm
+OWN_TESTS = tuple(f"op{n}_" for n in range(1, 14)) + ("pipeline",)   # held in tests/llm
 
 
 @pytest.fixture(scope="module")
