@@ -15,7 +15,7 @@ from roomgrid.plans.registry import REGISTRY, register
 from roomgrid.session import scratch_path
 from roomgrid.sources import views as V
 from roomgrid.sources.tables import read_split, read_table, row_count
-from roomgrid.streaming.files import file_stream, write_in_order
+from roomgrid.streaming.files import addressed, file_stream, message_stream, run_to_end, write_in_order
 from roomgrid.streaming.ratelimit import run_limiter
 from roomgrid.streaming.route import run_dedupe, run_sinks
 
@@ -95,3 +95,19 @@ def stream_dedupe_chats(spark, d):
     folder = write_in_order(chats, "t", FILES, f"{base}/in")
     out = run_dedupe(spark, file_stream(spark, folder, chats.schema), QH.DEDUPE_SECONDS, f"{base}/out", f"{base}/checkpoint")
     return out.select("user_id", "user_message", "bot_response")
+
+
+@register("stream_messages", views=("messages_v",), sql=f"""
+SELECT message_id, {QD.user_key_sql('from_raw')} AS user_key, text, ts FROM messages_v
+""")
+def stream_messages(spark, d):
+    """Form messages as a stream named by configuration: files of JSON lines, some to a trigger,
+    appended with their user keys to a table that a second start adds nothing to."""
+    base = scratch_path(spark, "messages")
+    V.messages(spark, d).select("message_id", "from_raw", "text", "ts").write.json(f"{base}/in")
+    source = {"format": "json", "path": f"{base}/in", "options": {"maxFilesPerTrigger": "2"}}
+    for _ in range(2):
+        good, _rejected = addressed(message_stream(spark, source))
+        run_to_end(good.select("message_id", "user_key", "text", "ts").writeStream.format("parquet")
+                   .option("path", f"{base}/out"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")

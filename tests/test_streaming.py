@@ -60,3 +60,26 @@ def test_trace_log_stream_and_append_sink(spark, sf, tmp_path):
     append_table(got, out)
     append_table(got, out)
     assert spark.read.parquet(out).count() == 2 * len(rows)
+
+
+def test_form_messages_by_configuration(spark, tmp_path):
+    from roomgrid.streaming.files import addressed, message_stream, run_to_end
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"message_id": 1, "from_raw": "+254", "text": "habari", "ts": "2024-01-01T00:00:00Z"}\n'
+                                   '{"message_id": 2}\nnot json\n')
+    (folder / "b.json").write_text('{"message_id": 3, "from_raw": null, "text": "", "other": 1}\n')
+    (folder / "c.skip").write_text('{"message_id": 9, "text": "no"}\n')
+    source = {"path": str(folder), "options": {"pathGlobFilter": "*.json", "maxFilesPerTrigger": "1"}}
+
+    def start():
+        for name, df in zip(("good", "bad"), addressed(message_stream(spark, source))):
+            run_to_end(df.writeStream.format("parquet").option("path", str(tmp_path / name)), str(tmp_path / f"c-{name}"))
+        return (sorted((r.message_id, r.user_key, r.text) for r in spark.read.parquet(str(tmp_path / "good")).collect()),
+                sorted(r.reject_reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()))
+
+    first = start()
+    assert first == ([(1, "whatsapp:254", "habari"), (3, "anon", "")], ["missing message_id", "missing text"])
+    assert start() == first
+    (folder / "d.json").write_text('{"message_id": 4, "from_raw": "whatsapp:+7", "text": "x"}\n')
+    assert [r[0] for r in start()[0]] == [1, 3, 4]
