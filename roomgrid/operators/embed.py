@@ -2,14 +2,14 @@
 
 The reference calls a hosted embedding model per row.  Here the embedder is pluggable:
 ``hashed_tf`` is a native feature-hashing embedder (word tokens -> sha256 bucket ->
-L2-normalised term frequencies), computed with joins/aggregations; a real model can be
-plugged in as an Arrow ``pandas_udf`` over the composed text (``model_udf``).
+L2-normalised term frequencies), computed with joins/aggregations; ``hashed_tfidf`` weighs
+the buckets by document frequencies that grow batch by batch; a real model can be plugged in as an Arrow ``pandas_udf`` over the composed text (``model_udf``).
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomgrid.functions.text import compose_listing_text
@@ -31,13 +31,11 @@ def token_buckets(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> Da
         .agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str = "float") -> DataFrame:
-    """-> (key, embedding of ``kind`` components and length dim, n_tokens, nnz).  Rows without any
-    token get a zero vector (their similarity is null, never a match)."""
-    b = token_buckets(df, key, text, dim)
-    per = b.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("m"),
-                             F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("nnz"),
-                             F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
+def _dense(df: DataFrame, weighted: DataFrame, key: str, dim: int, kind: str) -> DataFrame:
+    """(key, bucket, cnt, w) -> (key, embedding, n_tokens, nnz) of every row of ``df``."""
+    per = weighted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"),
+                                    F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("nnz"),
+                                    F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     j = df.select(key).join(per, key, "left")
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.coalesce(F.col("m")[i.cast("bigint")].cast("double")
@@ -47,6 +45,45 @@ def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str
                     F.coalesce(F.col("nnz"), F.lit(0)).cast("bigint").alias("nnz"))
 
 
+def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str = "float") -> DataFrame:
+    """-> (key, embedding of ``kind`` components and length dim, n_tokens, nnz).  Rows without any
+    token get a zero vector (their similarity is null, never a match)."""
+    return _dense(df, token_buckets(df, key, text, dim).withColumn("w", F.col("cnt")), key, dim, kind)
+
+
+DOCS = -1      # the bucket that counts texts
+
+
+def add_document_frequencies(df: DataFrame, key: str, text: str, path: str, batch: str, dim: int = HASH_DIM) -> None:
+    """Count in how many texts of a batch each bucket occurs, and the texts, into the folder
+    ``path``: one part for each batch, of at most ``dim`` + 1 rows.  Earlier texts are not read;
+    a batch that runs again replaces its own part.  A text that arrives in two batches counts
+    in both; texts without a token count as texts."""
+    # one row for each text and bucket, or one without a bucket: both counts in one aggregation
+    rows = df.select(key, F.explode(F.array_append(F.array_distinct(F.transform(
+        F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>")),
+        lambda t: bucket_of(t, dim))), F.lit(DOCS).cast("bigint"))).alias("bucket"))
+    rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def inverse_frequencies(spark: SparkSession, path: str, dim: int = HASH_DIM) -> DataFrame:
+    """(bucket, idf) of every bucket: ln((1 + texts) / (1 + texts with the bucket)) + 1 over all
+    batches; a bucket that no text has weighs most."""
+    n = spark.read.schema("bucket long, n long, batch string").parquet(path).groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = spark.range(DOCS, dim).withColumnRenamed("id", "bucket").join(n, "bucket", "left").fillna(0, ["n"])
+    texts = F.max(F.when(F.col("bucket") == DOCS, F.col("n"))).over(Window.partitionBy())
+    return rows.select("bucket", (F.log((1 + texts) / (1 + F.col("n"))) + 1).alias("idf")).filter(F.col("bucket") != DOCS)
+
+
+def hashed_tfidf(df: DataFrame, key: str, text: str, idf: DataFrame, dim: int = HASH_DIM,
+                 kind: str = "float") -> DataFrame:
+    """``hashed_tf`` with each bucket's count times its ``inverse_frequencies``; texts and queries
+    need the same ones.  ``idf`` has ``dim`` rows, so it is broadcast."""
+    weighted = token_buckets(df, key, text, dim).join(F.broadcast(idf), "bucket") \
+        .withColumn("w", F.col("cnt") * F.col("idf"))
+    return _dense(df, weighted, key, dim, kind)
+
+
 def model_udf(fn, dim: int):
     """Wrap a batch embedding function (list[str] -> list[list[float]]) as a pandas UDF.  It
     returns (embedding, error): a call that fails is halved until the rows that fail are alone,

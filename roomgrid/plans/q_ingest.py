@@ -9,6 +9,7 @@ from roomgrid.functions.text import compose_listing_text
 from roomgrid.operators import embed as EM
 from roomgrid.operators import search as S
 from roomgrid.plans.registry import register
+from roomgrid.session import scratch_path
 from roomgrid.sources import views as V
 from roomgrid.sources.tables import read_table
 
@@ -179,3 +180,60 @@ def retrieve_text(spark, d):
     hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)
     return hits.groupBy("query_id").agg(F.round(F.max("similarity"), 4).alias("best_similarity"), F.count("*").alias("n"),
                                         F.count("property_type").alias("n_listed"))
+
+
+# Document frequencies come from two batches; the first one runs twice and counts once.
+TFIDF_SQL = f"""
+t AS (SELECT id AS k, {COMPOSE_SQL} AS text FROM listings_v),
+tk AS (SELECT k, {BUCKET} AS bucket, count(*) AS cnt FROM (SELECT k, unnest({WORDS.format(x='text')}) AS tok FROM t) GROUP BY 1, 2),
+idf AS (SELECT bucket, ln((1 + (SELECT count(*) FROM t)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM tk GROUP BY 1),
+lb AS (SELECT k, bucket, cnt, cnt * idf AS w FROM tk JOIN idf USING (bucket)),
+ln AS (SELECT k, sqrt(sum(w * w)) AS n FROM lb GROUP BY 1)"""
+
+
+def _listing_texts(spark, d):
+    return V.listings(spark, d).select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
+
+
+def _idf(spark, docs):
+    path = scratch_path(spark, "document-frequencies")
+    halves = [docs.filter(F.col("listing_id") % 2 == r) for r in (0, 1)]
+    for batch, part in (("0", halves[0]), ("1", halves[1]), ("0", halves[0])):
+        EM.add_document_frequencies(part, "listing_id", "text", path, batch)
+    return EM.inverse_frequencies(spark, path)
+
+
+@register("embed_tfidf", views=("listings_v",), sql=f"""
+WITH {TFIDF_SQL}, dims AS (SELECT unnest(generate_series(0, {EM.HASH_DIM - 1})) AS i)
+SELECT t.k AS listing_id, string_agg(CAST(CAST(round(coalesce(lb.w / ln.n, 0.0) * 1000) AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS vector,
+       coalesce(sum(lb.cnt), 0)::BIGINT AS n_tokens, count(lb.bucket)::BIGINT AS nnz
+FROM t CROSS JOIN dims LEFT JOIN lb ON lb.k = t.k AND lb.bucket = dims.i LEFT JOIN ln ON ln.k = t.k GROUP BY t.k
+""")
+def embed_tfidf(spark, d):
+    """Hashed TF-IDF vectors of all listing texts, frequencies counted batch by batch."""
+    docs = _listing_texts(spark, d)
+    e = EM.hashed_tfidf(docs, "listing_id", "text", _idf(spark, docs), kind="double")
+    return e.select("listing_id", digits(F.col("embedding")).alias("vector"), "n_tokens", "nnz")
+
+
+@register("retrieve_tfidf", views=("listings_v",), sql=f"""
+WITH {TFIDF_SQL}, q AS (SELECT item_id AS k, text FROM benchmark),
+qt AS (SELECT k, {BUCKET} AS bucket, count(*) AS cnt FROM (SELECT k, unnest({WORDS.format(x='text')}) AS tok FROM q) GROUP BY 1, 2),
+qb AS (SELECT k, bucket, cnt * coalesce(idf, ln(1 + (SELECT count(*) FROM t)) + 1) AS w FROM qt LEFT JOIN idf USING (bucket)),
+qn AS (SELECT k, sqrt(sum(w * w)) AS n FROM qb GROUP BY 1),
+s AS (SELECT qb.k AS query_id, lb.k AS id, sum(qb.w * lb.w) / (min(qn.n) * min(ln.n)) AS sim
+      FROM qb JOIN lb USING (bucket) JOIN qn ON qn.k = qb.k JOIN ln ON ln.k = lb.k GROUP BY 1, 2),
+r AS (SELECT query_id, id, round(sim, 6) AS similarity FROM s WHERE sim > {RETRIEVE_THRESHOLD}),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM r)
+SELECT query_id, rank, b.id, l.property_type, similarity FROM b JOIN listings_v l ON l.id = b.id WHERE rank <= 5
+""")
+def retrieve_tfidf(spark, d):
+    """Text search with weighted terms: the benchmark items against the listing texts, both under
+    the same frequencies; every hit with its rank."""
+    lst, docs = V.listings(spark, d), _listing_texts(spark, d)
+    idf = _idf(spark, docs)
+    emb = EM.hashed_tfidf(docs, "listing_id", "text", idf, kind="double").select("listing_id", "embedding")
+    q = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    qe = EM.hashed_tfidf(q, "query_id", "text", idf, kind="double").select("query_id", "embedding")
+    hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)
+    return hits.select("query_id", "rank", "id", "property_type", "similarity")

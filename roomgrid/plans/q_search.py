@@ -8,6 +8,7 @@ from roomgrid.operators import dialogue as DLG
 from roomgrid.operators import ivf as IVF
 from roomgrid.operators import requests as REQ
 from roomgrid.operators import search as S
+from roomgrid.operators import search_sql as SQ
 from roomgrid.plans.registry import register
 from roomgrid.sources import views as V
 from roomgrid.sources.tables import read_table
@@ -384,3 +385,26 @@ def units_by_landlord(spark, d):
     j = units.join(c, "complex_id")
     return j.select(F.col("complexes.landlord_id").alias("complexes_landlord_id"), "id",
                     "complex_id", "title")
+
+
+@register("match_listings_sql", views=("listings_v",), sql=f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+      FROM embeddings e, q WHERE e.vec_id IN (SELECT id FROM listings_v)),
+r AS (SELECT id, round(sim, 6) AS similarity FROM s WHERE sim > {BATCH_THRESHOLD}
+      ORDER BY similarity DESC, id LIMIT {SINGLE_K})
+SELECT l.id, title, description, property_type, location, price, is_bargainable, size_sqm,
+       CAST(NULL AS INTEGER) AS floor_number, CAST(NULL AS INTEGER) AS year_built, furnishing,
+       array_to_string(amenities, ',') AS amenities, utilities, CAST(NULL AS VARCHAR) AS internet_speed,
+       CAST(NULL AS VARCHAR) AS minimum_lease_duration, CAST(NULL AS DATE) AS availability_date,
+       CAST(NULL AS VARCHAR) AS photos, CAST(NULL AS VARCHAR) AS video_tour_url, CAST(NULL AS VARCHAR) AS floor_plan_url,
+       neighborhood_rating, renovations, landlord_id, complex_id, created_at, r.similarity
+FROM r JOIN listings_v l ON l.id = r.id
+""")
+def match_listings_sql(spark, d):
+    """The search function called from SQL, with the whole listing row."""
+    SQ.register_match_listings(spark, V.listings(spark, d), V.listing_embeddings(spark, d))
+    return spark.sql(f"""
+        SELECT * EXCEPT (amenities, photos), array_join(amenities, ',') AS amenities, array_join(photos, ',') AS photos
+        FROM match_listings((SELECT CAST(embedding AS ARRAY<DOUBLE>) FROM match_listings_embeddings WHERE listing_id = 0),
+                            {BATCH_THRESHOLD}D, {SINGLE_K})""")
