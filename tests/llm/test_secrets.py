@@ -167,3 +167,20 @@ def test_columns_of_any_name(spark):
         want = docs[x["doc_id"]][1].replace(planted.get(x["doc_id"], "\0"), S.MASK)
         assert x["text"] == want and x["n_chars"] == len(want)
         assert [x[n] for n in names] == [f"{n}{x['doc_id']}" for n in names]
+
+
+def test_words_are_learned_from_whole_texts_of_all_rows(spark):
+    far = "zqzq zqzq " + "the report " * 40          # far beyond the words beside a candidate
+    secret = h(3, 18)
+    docs = [(1, f"{far} password={secret} then", "a"), (1, f"{far} password={secret} then", "a"), (2, "plain qjqj qjqj", "b"), (3, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    hits = S.with_candidates(df, "text", path=S.F.col("source"), key=S.text_key("text", "source"))
+    found = S.candidates(hits.dropDuplicates(["key"]))
+    got = {r.word: r.n for r in S.said_words(df.select("text"), hits, found).collect()}
+    want = {}
+    for _, t, _ in docs:
+        for w in re.split("[^a-z]+", (t or "").replace(secret, "").lower()):
+            if len(w) > 1:
+                want[w] = want.get(w, 0) + 1
+    assert got == want and got["zqzq"] == 4 and got["qjqj"] == 2
+    assert {"zqzq", "qjqj"} <= {r.word for r in S.dictionary(S.said_words(df.select("text"), hits, found)).collect()}
