@@ -135,26 +135,53 @@ def centroids(emb: DataFrame, by: str | None = None, out: str = "query_id") -> D
 
 
 def lsh_candidates(emb: DataFrame, queries: DataFrame, threshold: float, k: int, dim: int,
-                   tables: int = 32, bits: int = 4, seed: int = 7) -> DataFrame:
+                   tables: int = 32, bits: int = 4, seed: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Approximate path: each of ``tables`` keys is the side of ``bits`` random hyperplanes a
     vector lies on; vectors that share a key with a query are scored exactly and ranked.
     Recall < 1 by design (a pair at angle a shares a key with probability
-    1 - (1 - (1 - a / pi) ** bits) ** tables); exact paths are ``knn``."""
+    1 - (1 - (1 - a / pi) ** bits) ** tables); exact paths are ``knn``.
+
+    A table's vectors and queries are dealt into pairs of blocks as in ``knn``; in a block those
+    of equal keys are scored as matrices and only the k best of a query leave it.  So no pair
+    of vectors is ever a row, but for at most k of each query, table and block."""
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
 
     @F.pandas_udf("array<int>")
     def keys(v: pd.Series) -> pd.Series:
         m = np.array(v.tolist(), dtype=np.float64).reshape(len(v), dim)
         side = (m @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((side @ (1 << np.arange(bits))).astype(np.int32) + (np.arange(tables) << bits)))
+        return pd.Series(list((side @ (1 << np.arange(bits))).astype(np.int32)))
+
+    vectors = emb.filter(F.col("id").isNotNull() & usable(F.col("embedding"), dim)).select("id", "embedding")
+    asked = queries.filter(F.col("query_id").isNotNull() & usable(F.col("embedding"), dim)) \
+        .select("query_id", F.col("embedding").alias("vector"))
+    qb, eb = block_count(asked.count(), dim, block_bytes), block_count(vectors.count(), dim, block_bytes)
+
+    def dealt(df: DataFrame, key: str, vector: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
+        return (df.select("*", F.posexplode(keys(vector)).alias("table", "key"))
+                .withColumn(mine, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))))
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.filter(usable(F.col("embedding"), dim)).withColumn("_key", F.explode(keys("embedding")))
+    kinds = dict(queries.dtypes)["query_id"], dict(emb.dtypes)["id"]
 
-    e = keyed(emb.select("id", "embedding")).select("_key", "id")
-    q = keyed(queries.select("query_id", "embedding")).select("_key", "query_id")
-    pairs = e.join(q, "_key").select("query_id", "id").distinct()
-    scored = (pairs.join(emb.select("id", F.col("embedding").alias("_e")), "id")
-              .join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    def block(epdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        ids, q_ids, best_q, best_e = epdf["id"], qpdf["query_id"], [], []
+        if len(ids) and len(q_ids):
+            e, ev = unit_rows(epdf["embedding"].tolist(), dim)
+            q, qv = unit_rows(qpdf["vector"].tolist(), dim)
+            rank, ek, qk = ids.rank(method="first").to_numpy(), epdf["key"].to_numpy(), qpdf["key"].to_numpy()
+            for key in np.unique(qk):
+                eat, qat = np.flatnonzero(ek == key), np.flatnonzero(qk == key)
+                qi, ri, _ = block_top(e[eat], ev[eat], q[qat], qv[qat], rank[eat], threshold - 1e-9, k)
+                best_q.append(qat[qi])
+                best_e.append(eat[ri])
+        qi, ri = (np.concatenate(x) if x else np.zeros(0, int) for x in (best_q, best_e))
+        return pd.DataFrame({"query_id": q_ids.iloc[qi].array, "id": ids.iloc[ri].array})
+
+    pairs = (dealt(vectors, "id", "embedding", "eb", eb, "qb", qb).groupBy("table", "qb", "eb")
+             .cogroup(dealt(asked, "query_id", "vector", "qb", qb, "eb", eb).groupBy("table", "qb", "eb"))
+             .applyInPandas(block, f"query_id {kinds[0]}, id {kinds[1]}").distinct())
+    scored = (pairs.join(vectors.select("id", F.col("embedding").alias("_e")), "id")
+              .join(asked.select("query_id", F.col("vector").alias("_q")), "query_id")
               .select("query_id", "id", cosine_expr(F.col("_e"), F.col("_q")).alias("sim")))
     return rank_topk(scored.filter(F.col("sim") > F.lit(threshold)), k)
