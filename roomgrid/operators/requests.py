@@ -9,6 +9,8 @@ No request meets every listing:
 * **Pairs.**  Requests with equal patterns share their matches.  A pair of patterns reaches the
   listings through the values of that pattern which fewer listings have, and the other pattern
   filters by a semi join with its values.
+* **Listings** of equal attributes are in the same answers, so of these only those are kept that
+  can be among the first: a listing goes that has ``limit`` cheaper or equal ones before it.
 * **Prices** are numbers of ``LEVELS`` digits.  For a pair, each run of leading digits keeps its
   first ``limit`` listings.  The prices below a request's are, on each level, the runs that
   share its digits up to there and go on with a smaller one: a few short lists, however many
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 LIMIT = 100
 LEVELS = 12      # digits of a price, each of DIGIT bits
 DIGIT = 4
+SHARDS = 32      # of equal attributes, at first
 
 
 def grams_of(text: Column, n: int) -> Column:
@@ -72,17 +75,45 @@ def pattern_values(patterns: DataFrame, values: DataFrame) -> DataFrame:
     return met.select("pattern", "value").join(values, "value")
 
 
+def can_be_first(offers: DataFrame, limit: int) -> DataFrame:
+    """(id, location, property_type, price) without the listings that no request can get.  Those
+    of equal attributes, by id, lie in runs of ``limit``, ``limit``, 2 ``limit``, 4 ``limit``, ...;
+    the ``limit``-th lowest price of a run is a bound for the prices in all later ones.  The
+    first run stays whole, for requests without a price.  Runs are first found in shards of the
+    ids, so that attributes which most listings have are not one group; what a shard drops, the
+    whole would drop."""
+    for shards in (SHARDS, 1):
+        group = ["location", "property_type", "_shard"]
+        rows = offers.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("id", "price")) - 1
+        rows = rows.withColumn("_place", place).withColumn("_run", F.when(F.col("_place") < limit, 0).otherwise(
+            F.floor(F.log2(F.floor(F.col("_place") / limit))) + 1).cast("int"))
+        cheap = F.row_number().over(Window.partitionBy(*group, "_run").orderBy(F.col("price").asc_nulls_last()))
+        rows = rows.withColumn("_bound", F.when(cheap == limit, F.col("price")))
+        earlier = Window.partitionBy(*group).orderBy("_run").rangeBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_bound", F.min("_bound").over(earlier))
+        stays = (F.col("_run") == 0) | (F.col("price").isNotNull() & (F.col("_bound").isNull() | (F.col("price") < F.col("_bound"))))
+        offers = rows.filter(stays).select("id", "location", "property_type", "price").checkpoint()
+    return offers
+
+
 def price_number(price: Column) -> Column:
     """Hundredths of a price as a number of ``LEVELS`` digits that keeps the order."""
     half = 1 << (LEVELS * DIGIT - 1)
     return (F.floor(F.greatest(F.lit(-half / 128.0), F.least(F.lit(half / 128.0), price)) * 100) + half).cast("long")
 
 
-def leading(number: str) -> Column:
-    """One (level, above, digit) for each level: the digits before it, and its own."""
+def first_level(*numbers: DataFrame) -> int:
+    """The first level whose digits differ among all ``number``s; the ones before decide nothing."""
+    ends = [x for df in numbers for x in df.agg(F.min("number"), F.max("number")).first() if x is not None]
+    return next((k for k in range(LEVELS) if ends and min(ends) >> (LEVELS - 1 - k) * DIGIT != max(ends) >> (LEVELS - 1 - k) * DIGIT), LEVELS - 1)
+
+
+def leading(number: str, first: int = 0) -> Column:
+    """One (level, above, digit) for each level from ``first`` on: the digits before it, and its own."""
     return F.explode(F.array(*[F.struct(
         F.lit(k).alias("level"), F.shiftright(number, (LEVELS - k) * DIGIT).alias("above"),
-        F.shiftright(number, (LEVELS - 1 - k) * DIGIT).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")) for k in range(LEVELS)]))
+        F.shiftright(number, (LEVELS - 1 - k) * DIGIT).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit")) for k in range(first, LEVELS)]))
 
 
 def search_by_requests(listings: DataFrame, requests: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -92,7 +123,8 @@ def search_by_requests(listings: DataFrame, requests: DataFrame, limit: int = LI
                             F.col("max_price").cast("double").alias("max_price"))
     asked = asked.withColumn("pair", F.to_json(F.struct("lp", "tp")))
     pairs = asked.select("pair", "lp", "tp").distinct()
-    offers = listings.select("id", "location", "property_type", F.col("price").cast("double").alias("price"))
+    price = F.col("price").cast("double")
+    offers = can_be_first(listings.select("id", "location", "property_type", F.when(~F.isnan(price), price).alias("price")), limit)
 
     def met(pattern: str, column: str) -> DataFrame:
         values = offers.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
@@ -118,19 +150,20 @@ def search_by_requests(listings: DataFrame, requests: DataFrame, limit: int = LI
     open_ = sized.filter("first is null").select("pair").first()      # the pair without patterns, if asked
     if open_:
         found = found.unionByName(offers.select(F.lit(open_["pair"]).alias("pair"), "id", "price"))
-    found = found.withColumn("price", F.when(~F.isnan("price"), F.col("price"))).checkpoint()
+    found = found.checkpoint()
 
     def lowest(rows: DataFrame, *group: str) -> DataFrame:
         w = Window.partitionBy(*group).orderBy("id")
         return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
     priced = found.filter("price is not null").withColumn("number", price_number(F.col("price")))
-    runs = lowest(priced.select("pair", "id", leading("number").alias("run")).select("pair", "id", "run.*"),
-                  "pair", "level", "above", "digit").select("pair", "level", "above", F.col("digit").alias("lower"), "id")
-    equal = lowest(priced, "pair", "price").select("pair", "number", "price", "id")
     point = (asked.filter("max_price is not null").select("pair", "max_price").distinct()
              .withColumn("number", price_number(F.col("max_price"))))
-    below = (point.select("pair", "max_price", leading("number").alias("run")).select("pair", "max_price", "run.*")
+    first = first_level(priced, point)
+    runs = lowest(priced.select("pair", "id", leading("number", first).alias("run")).select("pair", "id", "run.*"),
+                  "pair", "level", "above", "digit").select("pair", "level", "above", F.col("digit").alias("lower"), "id")
+    equal = lowest(priced, "pair", "price").select("pair", "number", "price", "id")
+    below = (point.select("pair", "max_price", leading("number", first).alias("run")).select("pair", "max_price", "run.*")
              .join(runs, ["pair", "level", "above"]).filter("lower < digit").select("pair", "max_price", "id"))
     beside = point.join(equal, ["pair", "number"]).filter("price <= max_price").select("pair", "max_price", "id")
     limited = lowest(below.unionByName(beside), "pair", "max_price")
