@@ -2,7 +2,7 @@
 
 The reference calls a hosted embedding model per row.  Here the embedder is pluggable:
 ``hashed_tf`` is a native feature-hashing embedder (word tokens -> sha256 bucket ->
-L2-normalised term frequencies), computed with joins/aggregations; ``hashed_tfidf`` weighs
+L2-normalised term frequencies), counted inside the rows; ``hashed_tfidf`` weighs
 the buckets by document frequencies that grow batch by batch; a real model can be plugged in as an Arrow ``pandas_udf`` over the composed text (``model_udf``).
 """
 
@@ -24,31 +24,43 @@ def bucket_of(token: Column, dim: int = HASH_DIM) -> Column:
     return F.pmod(h, F.lit(dim))
 
 
-def token_buckets(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFrame:
-    """(key, bucket, cnt) sparse term counts; partial aggregation before the shuffle."""
-    t = df.select(key, F.explode_outer(word_tokens(F.col(text))).alias("tok")).filter(F.col("tok").isNotNull())
-    return t.groupBy(key, bucket_of(F.col("tok"), dim).alias("bucket")) \
-        .agg(F.count(F.lit(1)).alias("cnt"))
+def bucket_counts(df: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFrame:
+    """One row for each row of ``df``: (key, cnt), how many tokens each bucket has over all texts
+    of its key; none for a null key.  A text's tokens are counted inside its row; only those of
+    keys with several rows become rows, and are added up."""
+    buckets = F.transform(F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>")), lambda t: bucket_of(t, dim))
+    # bound to a variable first: inside the inner lambda the tokens would be hashed for every bucket
+    own = F.map_from_entries(F.transform(F.array(buckets), lambda b: F.transform(F.array_distinct(b), lambda x: F.struct(
+        x, F.size(F.filter(b, lambda y: y == x)).cast("bigint"))))[0])
+    several = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    added = (df.join(several, key, "left_semi").select(key, F.explode(own).alias("bucket", "cnt"))
+             .groupBy(key, "bucket").agg(F.sum("cnt").alias("cnt"))
+             .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_added")))
+    j = df.select(key, own.alias("_own")).join(added, key, "left")
+    return j.select(key, F.when(F.col(key).isNotNull(), F.coalesce("_added", "_own"))
+                    .otherwise(F.create_map().cast("map<bigint,bigint>")).alias("cnt"))
 
 
-def _dense(df: DataFrame, weighted: DataFrame, key: str, dim: int, kind: str) -> DataFrame:
-    """(key, bucket, cnt, w) -> (key, embedding, n_tokens, nnz) of every row of ``df``."""
-    per = weighted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"),
-                                    F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("nnz"),
-                                    F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    j = df.select(key).join(per, key, "left")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.col("m")[i.cast("bigint")].cast("double")
-                                           / F.col("norm"), F.lit(0.0)).cast(kind))
-    return j.select(key, vec.alias("embedding"),
-                    F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"),
-                    F.coalesce(F.col("nnz"), F.lit(0)).cast("bigint").alias("nnz"))
+def _dense(counts: DataFrame, key: str, dim: int, kind: str) -> DataFrame:
+    """(key, cnt, w), maps by bucket -> (key, embedding, n_tokens, nnz, cnt)."""
+    c = counts.withColumn("_norm", F.sqrt(F.aggregate(F.map_values("w"), F.lit(0.0), lambda a, x: a + x * x)))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.try_divide(F.try_element_at("w", i.cast("bigint")), F.col("_norm")), F.lit(0.0)).cast(kind))
+    return c.select(key, vec.alias("embedding"),
+                    F.aggregate(F.map_values("cnt"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+                    F.size("cnt").cast("bigint").alias("nnz"), "cnt")
+
+
+def heaviest(cnt: Column) -> Column:
+    """The bucket with the most tokens, the smallest of equal ones; null without tokens."""
+    return -F.array_max(F.transform(F.map_entries(cnt), lambda e: F.struct(e["value"].alias("n"), (-e["key"]).alias("i"))))["i"]
 
 
 def hashed_tf(df: DataFrame, key: str, text: str, dim: int = HASH_DIM, kind: str = "float") -> DataFrame:
-    """-> (key, embedding of ``kind`` components and length dim, n_tokens, nnz).  Rows without any
+    """-> (key, embedding of ``kind`` components and length dim, n_tokens, nnz, cnt by bucket).  Rows without any
     token get a zero vector (their similarity is null, never a match)."""
-    return _dense(df, token_buckets(df, key, text, dim).withColumn("w", F.col("cnt")), key, dim, kind)
+    counts = bucket_counts(df, key, text, dim)
+    return _dense(counts.withColumn("w", F.transform_values("cnt", lambda _, n: n.cast("double"))), key, dim, kind)
 
 
 DOCS = -1      # the bucket that counts texts
@@ -78,10 +90,12 @@ def inverse_frequencies(spark: SparkSession, path: str, dim: int = HASH_DIM) ->
 def hashed_tfidf(df: DataFrame, key: str, text: str, idf: DataFrame, dim: int = HASH_DIM,
                  kind: str = "float") -> DataFrame:
     """``hashed_tf`` with each bucket's count times its ``inverse_frequencies``; texts and queries
-    need the same ones.  ``idf`` has ``dim`` rows, so it is broadcast."""
-    weighted = token_buckets(df, key, text, dim).join(F.broadcast(idf), "bucket") \
-        .withColumn("w", F.col("cnt") * F.col("idf"))
-    return _dense(df, weighted, key, dim, kind)
+    need the same ones.  ``idf`` has ``dim`` rows, so it is one broadcast row; tokens of a bucket
+    that it lacks do not count."""
+    one = idf.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("bigint"), "idf"))).alias("_idf"))
+    counts = bucket_counts(df, key, text, dim).crossJoin(F.broadcast(one))
+    counts = counts.withColumn("cnt", F.map_filter("cnt", lambda b, _: F.try_element_at("_idf", b).isNotNull()))
+    return _dense(counts.withColumn("w", F.transform_values("cnt", lambda b, n: n * F.try_element_at("_idf", b))), key, dim, kind)
 
 
 def model_udf(fn, dim: int):

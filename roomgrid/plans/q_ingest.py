@@ -11,7 +11,7 @@ from roomgrid.operators import search as S
 from roomgrid.plans.registry import register
 from roomgrid.session import scratch_path
 from roomgrid.sources import views as V
-from roomgrid.sources.tables import read_table
+from roomgrid.sources.tables import read_split, read_table
 
 COMPOSE_SQL = """
 substring(concat_ws(' | ', nullif(title, ''), nullif(description, ''), nullif(location, ''),
@@ -26,6 +26,18 @@ WORDS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'),
 BUCKET = f"(('0x' || substring(sha256(tok), 1, 8))::BIGINT % {EM.HASH_DIM})"
 
 
+def _listing_texts(spark, d):
+    """The listings' texts, made and read by all cores however few files the table has."""
+    return V.listings(spark, d, read_split).select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
+
+
+def _written(emb):
+    """The vectors, written once: the search counts them before it reads them."""
+    path = scratch_path(emb.sparkSession, "listing-vectors")
+    emb.select("listing_id", "embedding").write.parquet(path)
+    return emb.sparkSession.read.parquet(path)
+
+
 @register("compose_text", views=("listings_v",), sql=f"SELECT id, {COMPOSE_SQL} AS text FROM listings_v")
 def compose_text(spark, d):
     """Embedding text per listing: present fields in order, amenities, price, size."""
@@ -43,12 +55,8 @@ FROM t LEFT JOIN b USING (id) GROUP BY t.id
 def embed_hash(spark, d):
     """Feature-hashing embedder over the composed text (sparse counts, then the dense
     normalised vector); reported as token count, non-zero buckets, heaviest bucket."""
-    t = V.listings(spark, d).select(F.col("id").alias("listing_id"),
-                                    compose_listing_text().alias("text"))
-    b = EM.token_buckets(t, "listing_id", "text")
-    top = b.groupBy("listing_id").agg(F.max_by("bucket", F.struct("cnt", -F.col("bucket"))).alias("top_bucket"))
-    e = EM.hashed_tf(t, "listing_id", "text")
-    return e.join(top, "listing_id", "left").select("listing_id", "n_tokens", "nnz", "top_bucket")
+    e = EM.hashed_tf(_listing_texts(spark, d), "listing_id", "text")
+    return e.select("listing_id", "n_tokens", "nnz", EM.heaviest(F.col("cnt")).alias("top_bucket"))
 
 
 # A stored vector's text hash: the current one for ids divisible by three, else an old one.
@@ -173,8 +181,7 @@ def retrieve_text(spark, d):
     """Text search: the benchmark items are embedded with the same hashing embedder as the
     listing texts, matched with the vector search in double precision, and joined to the listings."""
     lst = V.listings(spark, d)
-    docs = lst.select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
-    emb = EM.hashed_tf(docs, "listing_id", "text", kind="double").select("listing_id", "embedding")
+    emb = _written(EM.hashed_tf(_listing_texts(spark, d), "listing_id", "text", kind="double"))
     q = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     qe = EM.hashed_tf(q, "query_id", "text", kind="double").select("query_id", "embedding")
     hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)
@@ -191,8 +198,6 @@ lb AS (SELECT k, bucket, cnt, cnt * idf AS w FROM tk JOIN idf USING (bucket)),
 ln AS (SELECT k, sqrt(sum(w * w)) AS n FROM lb GROUP BY 1)"""
 
 
-def _listing_texts(spark, d):
-    return V.listings(spark, d).select(F.col("id").alias("listing_id"), compose_listing_text().alias("text"))
 
 
 def _idf(spark, docs):
@@ -232,7 +237,7 @@ def retrieve_tfidf(spark, d):
     the same frequencies; every hit with its rank."""
     lst, docs = V.listings(spark, d), _listing_texts(spark, d)
     idf = _idf(spark, docs)
-    emb = EM.hashed_tfidf(docs, "listing_id", "text", idf, kind="double").select("listing_id", "embedding")
+    emb = _written(EM.hashed_tfidf(docs, "listing_id", "text", idf, kind="double"))
     q = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     qe = EM.hashed_tfidf(q, "query_id", "text", idf, kind="double").select("query_id", "embedding")
     hits = S.match_listings(emb, lst, qe, RETRIEVE_THRESHOLD, 5, columns=["id", "property_type"], dim=EM.HASH_DIM)

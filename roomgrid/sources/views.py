@@ -60,12 +60,12 @@ def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("s_suppkey").alias("landlord_id")))
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> listings.  landlord = p_partkey mod (|supplier| + 1), so the listings of the
+def listings(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
+    """part (read by ``read``) -> listings.  landlord = p_partkey mod (|supplier| + 1), so the listings of the
     last number have a landlord (and, when it is even, a complex) that does not exist; some
     have none, and some have no title."""
     n_sup = row_count(spark, sf_dir, "supplier")
-    p = read_table(spark, sf_dir, "part")
+    p = read(spark, sf_dir, "part")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     lid = F.when(F.col("p_partkey") % 97 != 5, F.col("p_partkey") % F.lit(n_sup + 1))
     base = p.select("*", lid.alias("landlord_id"))
