@@ -44,9 +44,15 @@ def parse_message_bodies(raw: DataFrame, body: str = "body") -> tuple[DataFrame,
     return good, bad
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """Append one JSON object per line (non-ASCII kept as is)."""
-    df.write.mode("append").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None, rows: int | None = None) -> None:
+    """Append one JSON object per line (non-ASCII kept as is).  A compressed file is read by one
+    task, so ``rows`` limits the lines of a file; the rest goes to further files."""
+    out = df.write.mode("append")
+    if compression:
+        out = out.option("compression", compression)
+    if rows:
+        out = out.option("maxRecordsPerFile", rows)
+    out.json(path)
 
 
 def append_rows(df: DataFrame, table: str, path: str) -> DataFrame:
