@@ -43,7 +43,8 @@ def write_in_order(df: DataFrame, column: str, parts: int, folder: str) -> str:
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = df if lo is None else df.filter(F.col(column) >= lo)
         part = part if hi is None else part.filter(F.col(column) < hi)
-        part.coalesce(1).sortWithinPartitions(column).write.mode("append").parquet(folder)
+        # all cores read and filter; only the rows of the part come to the one that writes its file
+        part.repartition(1).sortWithinPartitions(column).write.mode("append").parquet(folder)
     return folder
 
 
