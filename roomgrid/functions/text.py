@@ -32,7 +32,7 @@ def split_ws(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(strip_ws(c), F.lit("")) == F.lit("")
+    return ~F.coalesce(c.rlike(f"[^{SPACE[1:]}"), F.lit(False))
 
 
 def nonempty(c: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomgrid.functions.text import blank, split_ws
+from roomgrid.functions.text import SPACE, blank, split_ws
 from roomgrid.operators import textmodel as nb
 
 # The reference's Sheng keyword list, in its order.  Membership is tested
@@ -23,10 +23,11 @@ GRAM = 3
 
 def keyword_stage(text: Column, strip_punct: bool = False) -> Column:
     """'other' for blank text, 'sheng' when a whitespace token is a keyword, else null."""
-    toks = split_ws(F.lower(text))
     if strip_punct:
-        toks = F.transform(toks, lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", ""))
-    hit = F.arrays_overlap(toks, F.array(*[F.lit(k) for k in SHENG_KEYWORDS]))
+        toks = F.transform(split_ws(F.lower(text)), lambda t: F.regexp_replace(t, r"^\p{P}+|\p{P}+$", ""))
+        hit = F.arrays_overlap(toks, F.array(*[F.lit(k) for k in SHENG_KEYWORDS]))
+    else:  # one search, no list of tokens
+        hit = F.lower(text).rlike(rf"(?:\A|{SPACE})(?:{'|'.join(k for k in SHENG_KEYWORDS if ' ' not in k)})(?:{SPACE}|\z)")
     return F.when(blank(text), F.lit("other")).when(hit, F.lit("sheng"))
 
 
@@ -41,7 +42,7 @@ def map_code(code: Column) -> Column:
 def train_profile(labelled: DataFrame, text: str = "text", lang: str = "lang",
                   n: int = GRAM, path: str | None = None) -> nb.NBModel:
     """Gram counts per language over the letters of labelled texts, saved at ``path``."""
-    return nb.fit(labelled, nb.char_grams(nb.letter_text(F.col(text)), n), F.col(lang), path)
+    return nb.fit_grams(labelled, nb.letter_text(F.col(text)), n, F.col(lang), path)
 
 
 def profile_table(model: nb.NBModel) -> DataFrame:
@@ -61,9 +62,7 @@ def detect(model: nb.NBModel, df: DataFrame, key: str, text: str = "text",
     # no filter here: it would be pushed below a repartition and run where the scan runs; and
     # the keyword stage belongs below the join, whose output may be few partitions
     todo = df.select(key, nb.letter_text(F.col(text)).alias("_letters"))
-    pred = nb.predict(model, todo, key, nb.char_grams(F.col("_letters"), n),
-                      nb.n_char_grams(F.col("_letters"), n)) \
-        .select(key, F.col("label").alias("code"))
+    pred = nb.predict_grams(model, todo, key, F.col("_letters"), n).select(key, F.col("label").alias("code"))
     kw = df.withColumn("_kw", keyword_stage(F.col(text))) \
         .withColumn("_has", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     return kw.join(pred, key, "left").withColumn(

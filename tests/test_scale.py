@@ -5,8 +5,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roomgrid.operators import embed as EM
+from roomgrid.operators import language as LANG
 from roomgrid.operators import requests as REQ
 from roomgrid.operators import search as S
+from roomgrid.operators import textmodel as NB
 
 
 def test_lsh_blocks_hold_the_best_of_every_query(spark):
@@ -65,3 +67,45 @@ def test_parts_of_a_stream_are_read_by_all_cores(spark, tmp_path):
     assert len(list((tmp_path / "in").glob("*.parquet"))) == 2
     back = spark.read.parquet(folder)
     assert back.count() == 100 and back.select("task").distinct().count() == 4
+
+
+def test_language_grams_are_counted_inside_rows(spark, monkeypatch):
+    """No row for an occurrence, and the same model and predictions as with such rows."""
+    r = random.Random(3)
+    text = lambda: r.choice([None, "", "4!", "a", "Ab", "".join(r.choice("abé ßж語.9\n") for _ in range(r.randint(1, 90)))])
+    rows = [(r.choice([None, 1, 2, *range(3, 200)]), text(), r.choice(["en", "sw", "de", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    letters = NB.letter_text(F.col("text"))
+    monkeypatch.setattr(NB, "SLICE_BYTES", 500)
+    for n in (1, 3, 5):
+        old, new = NB.fit(df, NB.char_grams(letters, n), F.col("lang")), NB.fit_grams(df, letters, n, F.col("lang"))
+        assert sorted(map(tuple, new.counts.collect())) == sorted(map(tuple, old.counts.collect()))
+        assert (new.classes, new.vocab) == (old.classes, old.vocab)
+        key = lambda p: sorted(((x.id, x.label, round(x.score, 6), round(x.posterior, 6)) for x in p.collect()), key=str)
+        inside = NB.predict_grams(new, df, "id", letters, n)
+        joined = NB.predict(old, df, "id", NB.char_grams(letters, n), NB.n_char_grams(letters, n))
+        assert key(inside) == key(joined)
+        large = NB.load(spark, new.path)
+        large.table = None        # as a model over the limit has it
+        assert key(NB.predict_grams(large, df, "id", letters, n)) == key(joined)
+    out = LANG.detect(LANG.train_profile(df), df, "id")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    blank = LANG.train_profile(df.limit(0).union(spark.createDataFrame([(1, "4!", "en")], df.schema)))
+    assert {x.lang for x in LANG.detect(blank, df.filter("text = 'a'"), "id").collect()} <= {"en"}
+    assert {x.lang for x in LANG.detect(LANG.train_profile(df.limit(0)), df.filter("text = 'a'"), "id").collect()} <= {"other"}
+
+
+def test_grams_are_code_points(spark):
+    df = spark.createDataFrame([(1, "x𐐀𐐨y𝒜")], "id long, text string")
+    m = LANG.train_profile(df.withColumn("lang", F.lit("en")), n=2)
+    assert {x.token for x in m.counts.collect()} == {" x", "x𐐨", "𐐨𐐨", "𐐨y", "y𝒜", "𝒜 "}
+
+
+def test_keywords_stand_between_spaces(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["poa", "Sasa", "mat", "x", " ", "\n", "\u3000", "\x1c", ",", "", "bed moja", "Bed moja"]) for _ in range(4)) for _ in range(400)]
+    got = [tuple(x) for x in spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+           .select("t", LANG.keyword_stage(F.col("t"))).collect()]
+    for t, k in got:
+        words = (t or "").lower().split()
+        assert k == ("other" if not words else "sheng" if set(words) & set(LANG.SHENG_KEYWORDS) else None), repr(t)
