@@ -20,14 +20,14 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
          .checkpoint())
     before = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # both directions by explode: a union would have twice the tasks in every stage that reads it
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("l")).select("l.u", "l.v")
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = (both.join(low, "u").filter(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter(F.col("u") != F.col("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-             .union(low.select("u", F.col("m").alias("v")))
+        e = (large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
              .filter(F.col("u") != F.col("v")).distinct().checkpoint())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

@@ -38,6 +38,7 @@ SHARDS = 8
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 6.0
+SLICE_BYTES = 1 << 20  # text whose features are held at a time, some 60 times its size
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 upper, 2 lower or non-ASCII, 4 digit, 8 punctuation
 for _b in range(256):
@@ -94,7 +95,7 @@ def _train_shard(texts: pd.Series, labels: np.ndarray, bits: int, epochs: int) -
     z, n2 = np.zeros(dim + 1), np.zeros(dim + 1)
     col = W.as_large_strings(pa.array(texts, type=pa.string(), from_pandas=True))
     rows = []
-    for a, b in W.slices(col):
+    for a, b in W.slices(col, SLICE_BYTES):
         r, p, v = features(col.slice(a, b - a), bits)
         key, back = np.unique(r * dim + p, return_inverse=True)
         val = np.bincount(back, weights=v)
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_texts(col: pa.Array, model: np.ndarray, bits: int = BITS) -> np.ndarray:
     col = W.as_large_strings(col)
     out = []
-    for a, b in W.slices(col):
+    for a, b in W.slices(col, SLICE_BYTES):
         r, p, v = features(col.slice(a, b - a), bits)
         dot = np.bincount(r, weights=model[p] * v, minlength=b - a) + model[-1]
         out.append(1.0 / (1.0 + np.exp(-np.clip(dot, -35, 35))))

@@ -125,3 +125,21 @@ def test_rows_that_share_an_id(spark):
     assert sorted(rest, key=repr) == sorted([(None, a, "n"), (3, None, "t"), (3, None, "t"), (None, None, "s")], key=repr)
     classes = [tuple(x) for x in N.near_duplicates(df).collect()]
     assert len(classes) == len(rows) and (9, 1) in classes
+
+
+def test_components_take_few_tasks(spark):
+    from roomgrid.llm.components import connected_components
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(60, 140)] + [(5, None), (3, 3)], "u long, v long")
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sc.setJobGroup("few-tasks", "components")
+        got = {(x.node, x.component) for x in connected_components(links).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(i, 1) for i in range(1, 41)} | {(i, 60) for i in range(60, 140)}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert 0 < tasks < 600      # 715 with a union of both directions

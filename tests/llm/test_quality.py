@@ -68,3 +68,21 @@ def test_words_match_the_pattern():
     flat = [x for ws in want for x in ws]
     assert [bytes(w.buf[a:b]).decode() for a, b in zip(w.start, w.end)] == flat
     assert len(set(w.hash.tolist())) == len(set(flat))
+
+
+def test_features_of_few_texts_are_held_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+    r = np.random.default_rng(5)
+    words = np.array(["w%d" % i for i in range(3000)])
+    texts = [" ".join(r.choice(words, 2000)) for _ in range(400)]
+    labels = (np.arange(400) % 2).astype(float)
+    peaks = []
+    for run in (lambda: Q._train_shard(pd.Series(texts), labels, Q.BITS, 1),
+                lambda: Q.score_texts(pa.array(texts), np.zeros((1 << Q.BITS) + 1, np.float32))):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert max(peaks) < 150, peaks
