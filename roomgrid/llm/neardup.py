@@ -252,10 +252,11 @@ def _rest(buckets: DataFrame, reps: DataFrame, classes: DataFrame, copies: DataF
     """Verified links between different classes that share a bucket.
 
     A bucket is dealt into tiles of about ``TILE_CHARS`` of text, those of its largest class
-    (major) apart from all others (minor), and each minor tile meets every tile once."""
+    (major) apart from all others (minor), and each minor tile meets every tile once.  The
+    members are written before that, so that the driver plans their joins once and alone."""
     rows = (buckets.filter("n > 2").select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left")
             .join(reps.select("rep", "chars"), "rep")
-            .select("key", "rep", "chars", F.coalesce("component", "rep").alias("class")))
+            .select("key", "rep", "chars", F.coalesce("component", "rep").alias("class")).checkpoint())
     per = rows.groupBy("key", "class").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
     tiles = lambda c: F.ceil(c / F.lit(TILE_CHARS)).cast("int") + 1
     split = (per.groupBy("key").agg(F.count("*").alias("k"), F.sum("chars").alias("all"),

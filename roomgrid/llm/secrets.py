@@ -182,19 +182,20 @@ def featured(found: DataFrame, transitions: Column, dictionary: DataFrame) -> Da
 def told_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     """A table of labelled findings made by rule from digests: (path, value, left, right,
     label)."""
-    h, u = F.sha2(F.concat(F.lit("k"), F.col("id").cast("string")), 512), F.col("id") % 40
-    letters = F.translate(h, "0123456789", "ghijklmnop")
-    size = (F.lit(16) + F.col("id") % 29).cast("int")
+    # A digest and its forms are columns, each made once; inside the kinds they would be written
+    # out in every one of them, and the driver would compile a megabyte of code.
+    conv = lambda k: F.conv(F.substring("h", k, 4), 16, 10).cast("int")
+    said = F.split(F.lit("the and with for report value index order point state water house paper north"), " ")
+    shown = F.split(F.lit("required optional incorrect disabled unknown string undefined password protected expired"), " ")
+    d = spark.range(rows).select("id", (F.col("id") % 40).cast("int").alias("u"), F.sha2(F.concat(F.lit("k"), F.col("id").cast("string")), 512).alias("h"),
+                                 (F.lit(16) + F.col("id") % 29).cast("int").alias("size"), (F.lit(6) + F.col("id") % 7).cast("int").alias("small"))
+    d = d.select("*", F.translate("h", "0123456789", "ghijklmnop").alias("letters"), F.translate(F.base64(F.unhex("h")), "+/=", "xyz").alias("b64"),
+                 F.concat(*[F.element_at(said, conv(1 + 4 * k) % 14 + 1) for k in range(5)]).alias("word"))
+    spaced = F.regexp_replace("word", "(the|and|with|for|report|value|index|order|point|state|water|house|paper|north)", "$1 ")
+    d = d.select("*", F.translate("b64", "0123456789", "qWxZvKjGyB").alias("mixed"), F.regexp_replace(F.initcap(spaced), " ", "").alias("title"))
+    h, letters, b64, word, title, mixed, size, small = (F.col(c) for c in ("h", "letters", "b64", "word", "title", "mixed", "size", "small"))
     some = lambda c, n: F.substring(c, 1, n) if isinstance(n, int) else c.substr(F.lit(1), n)
-    b64 = F.translate(F.base64(F.unhex(h)), "+/=", "xyz")
-    word = F.concat(*[F.element_at(F.split(F.lit("the and with for report value index order point state water house paper north")
-                                           , " "), (F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("int") % 14 + 1))
-                      for k in range(5)])
-    one = lambda k: F.element_at(F.split(F.lit("required optional incorrect disabled unknown string undefined password protected expired"), " "),
-                                 (F.conv(F.substring(h, k, 4), 16, 10).cast("int") % 10 + 1).cast("int"))
-    title = F.regexp_replace(F.initcap(F.regexp_replace(word, "(the|and|with|for|report|value|index|order|point|state|water|house|paper|north)", "$1 ")), " ", "")
-    small = (F.lit(6) + F.col("id") % 7).cast("int")
-    mixed = F.translate(b64, "0123456789", "qWxZvKjGyB")
+    one = lambda k: F.element_at(shown, conv(k) % 10 + 1)
     kinds = [   # (value, left, right, label)
         (some(h, size), "password=", " then", 1), (some(b64, size), "api_key: \"", "\"", 1),
         (some(h, 40), "token = \"", "\" and", 1), (F.concat(F.lit("AKIA"), some(F.upper(F.translate(h, "0189", "MNPQ")), 16)), "with ", " for", 1),
@@ -217,14 +218,14 @@ def told_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         (some(mixed, small), "api_key='", "'", 1), (one(1), "password: ", " for", 0), (one(5), "token=", " ", 0), (one(9), "secret: ", ", ", 0),
         (F.concat(F.lit("${"), F.upper(some(word, 8)), F.lit("}")), "password=", " ", 0), (F.concat(F.lit("os.environ["), some(word, 6)), "secret = ", " ", 0),
         (F.lit("********"), "password: ", " ", 0), (some(title, 22), "call ", " for", 0), (F.concat(F.lit("get"), some(title, 16)), "the ", "(", 0)]
-    value, left, right, label = (F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int"))
-    for k, (v, a, b, y) in enumerate(kinds):
-        value, left = F.when(u == k, v).otherwise(value), F.when(u == k, F.lit(a)).otherwise(left)
-        right, label = F.when(u == k, F.lit(b)).otherwise(right), F.when(u == k, F.lit(y)).otherwise(label)
-    return spark.range(rows).select(
+    u, value = F.col("u"), F
+    for k, (v, _, _, _) in enumerate(kinds):
+        value = value.when(u == k, v)
+    of_kind = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in kinds]), u + 1)
+    return d.select(
         F.concat(F.lit("told"), F.col("id").cast("string")).alias("key"), F.lit(0).alias("n"),
-        F.concat(F.lit("path"), (F.col("id") % 7).cast("string")).alias("path"), value.alias("value"), left.alias("left"),
-        right.alias("right"), label.cast("double").alias("label"))
+        F.concat(F.lit("path"), (F.col("id") % 7).cast("string")).alias("path"), value.alias("value"), of_kind(1).alias("left"),
+        of_kind(2).alias("right"), of_kind(3).cast("double").alias("label"))
 
 
 def rule_labels(f: DataFrame) -> DataFrame:

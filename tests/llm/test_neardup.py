@@ -143,3 +143,20 @@ def test_components_take_few_tasks(spark):
     stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
     tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
     assert 0 < tasks < 600      # 715 with a union of both directions
+
+
+def test_no_step_plans_many_exchanges_at_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i % 7 * 50:i % 7 * 50 + 50] + ["x"] * (i % 3)), "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame, seen = type(df), []
+    before = frame.checkpoint
+
+    def checkpoint(self, *a, **k):
+        seen.append(self._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return before(self, *a, **k)
+
+    monkeypatch.setattr(frame, "checkpoint", checkpoint)
+    got = dict(N.near_duplicates(df).collect())
+    assert [got[i] for i in range(60)] == [i % 7 for i in range(60)]
+    assert 0 < max(seen) <= 10, seen

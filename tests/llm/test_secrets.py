@@ -184,3 +184,15 @@ def test_words_are_learned_from_whole_texts_of_all_rows(spark):
                 want[w] = want.get(w, 0) + 1
     assert got == want and got["zqzq"] == 4 and got["qjqj"] == 2
     assert {"zqzq", "qjqj"} <= {r.word for r in S.dictionary(S.said_words(df.select("text"), hits, found)).collect()}
+
+
+# (rows, sum of their hashes, values): the rows that the forest has always learned from
+TOLD = (8000, 73284737282500635015, 8000)
+
+
+def test_told_findings_compile_little_code(spark, capsys):
+    told = S.told_findings(spark)
+    told.explain("codegen")
+    assert len(capsys.readouterr().out) < 200_000      # 1,099,905 with the digest's forms inside every kind
+    n, total, value = told.agg(S.F.count("*"), S.F.sum(S.F.xxhash64(*told.columns).cast("decimal(38,0)")), S.F.count("value")).first()
+    assert (n, int(total), value) == TOLD
